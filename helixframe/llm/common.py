@@ -6,6 +6,7 @@ import gc
 import math
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -62,8 +63,10 @@ class Shelf:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of finished steps: it acts once the driver's references are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python's references first, and what the JVM then finds dead
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def input_bytes(df: DataFrame) -> int:

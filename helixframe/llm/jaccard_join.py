@@ -8,10 +8,12 @@ at distance k or less agree, in some group, on n2 - k2 of its partitions when
 n1 * (k2 + 1) > k.  Each such subset of partitions, with the set's features in
 it, is a signature.  A set signs its own band and the next.
 
-Partitions that hold nothing of a set would match by the thousand.  There are
-some more groups than needed, so a set with few groups that hold an empty subset
-still agrees with a similar set in a group without; only sets with more such
-groups sign their empty subsets too.  So no pair is lost and no bucket capped.
+There are more partitions than a match needs, so similar sets share not one
+signature but at least ``need`` of them: what is left of all when k differences
+fall where they spoil most.  A set whose shared signatures number less than its
+need, less its empty subsets (which it needn't sign then), has no partner and
+goes; what only it shared goes with it.  That drops sets which merely hold a
+passage of others before any pair is made, and no pair is lost or bucket capped.
 
 Equal sets are one node.  Tasks aggregate before they deal signatures, and each
 bucket gives a star, not pairs.  Rounds of stars then compare what verified
@@ -28,6 +30,7 @@ what both texts link; extra columns are left out.
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -49,23 +52,23 @@ def bands(num: int, den: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(starts), np.array(ends)
 
 
-def plan(start: int, end: int, num: int, den: int, cover: float = 3.0) -> tuple[int, int, int, int, list[tuple[int, ...]]]:
-    """n1, n2, k2, spare groups and subsets for a band: the fewest signatures whose subsets hold ``cover`` features on average."""
+def need_of(n1: int, n2: int, k2: int, k: int) -> int:
+    """Of n1 * C(n2, k2) signatures, those that any k differences leave: a group's first spoils most, so they spread."""
+    left = [comb(max(0, n2 - e), n2 - k2) for e in range(n2 + 1)]
+    total, k = n1 * left[0], k
+    for e in range(n2):
+        hit = min(k, n1)
+        total, k = total - hit * (left[e] - left[e + 1]), k - hit
+    return max(0, total)
+
+
+def plan(end: int, num: int, den: int, spare: float = 1.5) -> tuple[int, int, int, list[tuple[int, ...]]]:
+    """n1, n2, need and subsets for the band up to ``end``: halves of groups, ``spare`` times as many as one match needs."""
     k = 2 * end * (den - num) // (den + num)
-    best = None
-    for n2 in (2, 3, 4, 5):
-        for k2 in range(1, n2):
-            least = k // (k2 + 1) + 1
-            spare = 0 if k == 0 else 1 + least // 8
-            subsets = list(combinations(range(n2), n2 - k2))
-            n1 = least + spare
-            cost, holds = n1 * len(subsets), start * (n2 - k2) / (n1 * n2)
-            rank = (holds < min(cover, start / 2), cost if holds >= cover else -holds)
-            if best is None or rank < best[0]:
-                best = rank, (n1, n2, k2, spare, subsets)
     if k == 0:
-        return 1, 1, 0, 0, [(0,)]
-    return best[1]
+        return 1, 1, 1, [(0,)]
+    n1, n2, k2 = ceil(spare * (k + 1) / 2), 2, 1
+    return n1, n2, need_of(n1, n2, k2, k), list(combinations(range(n2), n2 - k2))
 
 
 def _sets(part: pa.RecordBatch, size: int):
@@ -108,18 +111,19 @@ class _Signer:
         self.num, self.den, self.size = num, den, 0
         self.plans: dict[int, tuple] = {}
 
-    def __call__(self, u: np.ndarray) -> np.ndarray:
+    def __call__(self, u: np.ndarray):
+        """For the set's own band and the next: signatures, and 2 * need + (0 or 1)."""
         if len(u) > self.size:
             self.size = 2 * len(u)
             self.starts, self.ends = bands(self.num, self.den, self.size)
         own = int(np.searchsorted(self.ends, len(u)))
         where, what = mix(u ^ U(_S)) >> U(32), mix(u ^ U(_C))
         low, high = (what & U(0x3FFFFFF)).astype(float), (what >> U(38)).astype(float)
-        out = []
-        for band in (own, own + 1):
+        for step in (0, 1):
+            band = own + step
             if band not in self.plans:
-                self.plans[band] = plan(int(self.starts[band]), int(self.ends[band]), self.num, self.den)
-            n1, n2, _, spare, subsets = self.plans[band]
+                self.plans[band] = plan(int(self.ends[band]), self.num, self.den)
+            n1, n2, need, subsets = self.plans[band]
             p = (where % U(n1 * n2)).astype(np.int64)
             count = np.bincount(p, minlength=n1 * n2).reshape(n1, n2)
             held = np.bincount(p, low, n1 * n2).astype(np.uint64) * U(_P) + np.bincount(p, high, n1 * n2).astype(np.uint64)
@@ -127,25 +131,25 @@ class _Signer:
             sig = np.stack([np.add.reduce(held[:, s], axis=1) + U(j) for j, s in enumerate(map(list, subsets))], axis=1)
             full = np.stack([count[:, s].sum(axis=1) > 0 for s in map(list, subsets)], axis=1)
             sig = mix(sig ^ U(band * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-            out.append(sig.ravel() if (~full).any(axis=1).sum() > spare else sig[full])
-        return np.concatenate(out)
+            empty = int(full.size - full.sum())
+            yield (sig[full], 2 * (need - empty) + step) if need > empty else (sig.ravel(), 2 + step)
 
 
 def _shared(df: DataFrame, size: int, seed: int, num: int, den: int, buckets: int) -> DataFrame:
-    """(sig, id, low): the members of each signature that different sets share; low is a member no larger than id."""
+    """(sig, id, need): the members of each signature that different sets share."""
 
-    def settle(sig, key, several):
+    def settle(sig, key, need, several):
         o = np.lexsort((key, sig))
-        sig, key, several = sig[o], key[o], several[o]
+        sig, key, need, several = sig[o], key[o], need[o], several[o]
         new = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]
         f = np.flatnonzero(new)
         several = np.maximum.reduceat(several, f)
-        sig, key = sig[f], key[f]
+        sig, key, need = sig[f], key[f], need[f]
         f = runs(sig)
         n = np.diff(np.r_[f, len(sig)])
         head = np.zeros(len(sig), bool)
         head[f] = True
-        return (sig[f], key[f], (np.maximum.reduceat(several, f) | (n > 1)).astype(np.uint8)), (sig[~head], key[~head], np.repeat(key[f], n)[~head])
+        return (sig[f], key[f], need[f], (np.maximum.reduceat(several, f) | (n > 1)).astype(np.uint8)), (sig[~head], key[~head], need[~head])
 
     def sign(batches):
         out, signer = Dealer(buckets, settle), _Signer(num, den)
@@ -154,21 +158,36 @@ def _shared(df: DataFrame, size: int, seed: int, num: int, den: int, buckets: in
                 known = part["doc_id"].is_valid().to_pylist()
                 for ok, u in zip(known, _sets(part, size), strict=True):
                     if ok and len(u):
-                        s = signer(u)
-                        yield from out.add(s, np.full(len(s), _key(u, _P + seed), np.int64), np.zeros(len(s), np.uint8))
+                        key = _key(u, _P + seed)
+                        for s, need in signer(u):
+                            yield from out.add(s, np.full(len(s), key, np.int64), np.full(len(s), need, np.int32), np.zeros(len(s), np.uint8))
         yield from out.flush()
 
-    schema = pa.schema([("sig", pa.int64()), ("id", pa.int64()), ("low", pa.int64())])
+    schema = pa.schema([("sig", pa.int64()), ("id", pa.int64()), ("need", pa.int32())])
 
     def reduce(table):
-        mine, done = dealt(table, (np.uint64, np.int64, np.uint8), (np.uint64, np.int64, np.int64))
+        mine, done = dealt(table, (np.uint64, np.int64, np.int32, np.uint8), (np.uint64, np.int64, np.int32))
         if len(mine[0]):
-            (sig, key, several), rest = settle(*mine)
+            (sig, key, need, several), rest = settle(*mine)
             ok = several > 0
-            done = [np.concatenate(x) for x in zip(done, rest, (sig[ok], key[ok], key[ok]), strict=True)]
+            done = [np.concatenate(x) for x in zip(done, rest, (sig[ok], key[ok], need[ok]), strict=True)]
         return pa.Table.from_arrays([pa.array(done[0].view(np.int64)), pa.array(done[1]), pa.array(done[2])], schema=schema)
 
-    return df.mapInArrow(sign, Dealer.ddl).groupBy("bucket").applyInArrow(reduce, "sig long, id long, low long")
+    return df.mapInArrow(sign, Dealer.ddl).groupBy("bucket").applyInArrow(reduce, "sig long, id long, need int")
+
+
+def _needful(members: DataFrame, shelf: Shelf) -> DataFrame:
+    """(sig, id) of the sets that share as many signatures as they need; again while that drops a fiftieth of the rows."""
+    n = members.count()
+    while True:
+        enough = members.groupBy("id", "need").agg(F.count("*").alias("n")).where("n >= need DIV 2").select("id", "need")
+        kept = members.join(enough, ["id", "need"], "left_semi")
+        several = kept.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("sig")
+        kept = shelf.put(kept.join(several, "sig", "left_semi").select("sig", "id", "need"))
+        shelf.drop(members)
+        was, n, members = n, kept.count(), kept
+        if n >= 0.98 * was:
+            return members.select("sig", "id").distinct()
 
 
 def _hashes(df: DataFrame, size: int) -> DataFrame:
@@ -214,14 +233,16 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80) -> DataFram
         seed += 1
     members = shelf.put(_shared(docs, size, seed, num, den, buckets))
     release(df.sparkSession)
+    members = shelf.put(_needful(members, shelf))
     wanted = members.select(F.col("id").alias("k1")).distinct().join(nodes, "k1").selectExpr("first AS doc_id", "k1 AS id")
     wanted = wanted.join(keys.select("doc_id", F.col("k1").alias("id")), ["doc_id", "id"], "left_semi")
     sets = shelf.put(_hashes(docs.join(wanted, "doc_id"), size).dropDuplicates(["id"]))
 
     release(df.sparkSession)
 
-    pairs = members.groupBy(F.col("id").alias("b")).agg(F.min("low").alias("a")).where("a < b").select("a", "b")
-    links, pending, pivots = shelf.put(_links(pairs, sets, num, den)), members.select("sig", "id"), 8
+    low = members.groupBy("sig").agg(F.min("id").alias("low"))
+    pairs = members.join(low, "sig").groupBy(F.col("id").alias("b")).agg(F.min("low").alias("a")).where("a < b").select("a", "b")
+    links, pending, pivots = shelf.put(_links(pairs, sets, num, den)), members, 8
     n_links, joined = None, None
     while True:
         if (n := links.count()) != n_links:

@@ -9,7 +9,8 @@ window that covers it also starts in a document with a smaller ``doc_id``.
    equal windows share an aligned anchor wherever they start.  Only anchors are
    hashed and dealt: a fifth of all places.
 2. Extension.  Windows that hold a shared anchor are hashed in 128 bits and
-   dealt by hash; the smallest ``doc_id`` with a window owns it.
+   dealt by content (the least hash of the shingles in them, so that a run of
+   windows stays together); the smallest ``doc_id`` with a window owns it.
 
 Tasks aggregate before they deal: of an anchor or window that several documents
 of a task hold, one record travels, and the others are settled in the task.  So
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Dealer, Shelf, dealt, hash_words, n_buckets, release, runs, slices, windows_at
+from .common import Dealer, Shelf, U, dealt, hash_words, mix, n_buckets, release, runs, slices, windows_at
 
 #: A perfect difference set: every offset mod 31 is a difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -54,6 +55,9 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), c.is_valid().to_numpy(zero_copy_only=False)
 
 
+#: Words of the shingles whose least in a window gives the window's bucket.
+_ROUTE = 8
+_AT = pa.schema([("doc_id", pa.int64()), ("at", pa.int32())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("at", pa.list_(pa.int32()))])
 
 
@@ -65,6 +69,19 @@ def _by_doc(doc: np.ndarray, at: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([pa.array(doc[first], pa.int64()), lists], schema=_OUT)
 
 
+def _routes(words: np.ndarray, window: int) -> np.ndarray:
+    """For each place the least shingle hash of the window from there: neighbours and equal windows mostly share it."""
+    n = len(words) - window + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    size = min(_ROUTE, window)
+    low, have, want = windows_at(words, np.arange(len(words) - size + 1), size, _A), 1, window - size + 1
+    while have < want:
+        step = min(have, want - have)
+        low, have = np.minimum(low[: len(low) - step], low[step:]), have + step
+    return mix(low)
+
+
 def _shared_anchors(df: DataFrame, window: int, period: int, cover: tuple[int, ...], buckets: int) -> DataFrame:
     width = window - period + 1
     on_cover = np.zeros(period, bool)
@@ -104,9 +121,9 @@ def _shared_anchors(df: DataFrame, window: int, period: int, cover: tuple[int, .
             shared = (np.minimum.reduceat(doc, f) != np.maximum.reduceat(doc, f)) | (np.minimum.reduceat(at, f) < 0)
             keep = np.repeat(shared, np.diff(np.r_[f, len(h)])) & (at >= 0)
             d1, a1 = np.concatenate([d1, doc[keep]]), np.concatenate([a1, at[keep]])
-        return _by_doc(d1, a1)
+        return pa.Table.from_arrays([pa.array(d1, pa.int64()), pa.array(a1, pa.int32())], schema=_AT)
 
-    return df.mapInArrow(anchors, Dealer.ddl).groupBy("bucket").applyInArrow(reduce, "doc_id long, at array<int>")
+    return df.mapInArrow(anchors, Dealer.ddl).groupBy("bucket").applyInArrow(reduce, "doc_id long, at int")
 
 
 def _repeated_windows(df: DataFrame, window: int, period: int, buckets: int) -> DataFrame:
@@ -137,9 +154,10 @@ def _repeated_windows(df: DataFrame, window: int, period: int, buckets: int) ->
                 np.add.at(step, q + 1, -1)
                 n = np.diff(words_at)
                 g = np.flatnonzero((np.cumsum(step[:-1]) > 0) & (place <= n[row] - window)) if len(words) else np.empty(0, np.int64)
+                low = _routes(words, window) & U(0xFFFF << 48)
                 for s in range(0, len(g), _FLUSH):
                     x = g[s : s + _FLUSH]
-                    yield from out.add(windows_at(words, x, window, _B1), windows_at(words, x, window, _B2), ids[row[x]], place[x].astype(np.int32))
+                    yield from out.add(low[x] | windows_at(words, x, window, _B1) >> U(16), windows_at(words, x, window, _B2), ids[row[x]], place[x].astype(np.int32))
         yield from out.flush()
 
     def reduce(table):
@@ -156,9 +174,8 @@ def remove_repeats(df: DataFrame, window: int = 50, period: int = PERIOD, cover:
         raise ValueError("cover must be a difference cover of its period, the period shorter than the window")
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets, shelf = n_buckets(docs), Shelf(df.sparkSession, "substring")
-    by_doc = lambda x: x.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at"))
     anchors = shelf.put(_shared_anchors(docs, window, period, cover, buckets))
-    found = shelf.put(_repeated_windows(docs.join(by_doc(anchors), "doc_id"), window, period, buckets))
+    found = shelf.put(_repeated_windows(docs.join(anchors.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "doc_id"), window, period, buckets))
     shelf.drop(anchors)
     release(df.sparkSession)
 
@@ -184,4 +201,5 @@ def remove_repeats(df: DataFrame, window: int = 50, period: int = PERIOD, cover:
                     rows.append((i, n, n - len(words), b" ".join(words).decode(), spans))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.join(by_doc(found), "doc_id", "left").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<begin: int, end: int>>")
+    found = found.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at"))
+    return docs.join(found, "doc_id", "left").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<begin: int, end: int>>")
