@@ -106,8 +106,10 @@ def unpack_all(column: pa.ChunkedArray | pa.Array, *dtypes) -> list[np.ndarray]:
 
 def cut_by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """Slices of sorted 64-bit keys that share their highest ``bits``."""
+    if not len(keys):
+        return
     top = (keys >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    at = np.flatnonzero(np.r_[True, top[1:] != top[:-1]]) if len(top) else np.empty(0, np.int64)
+    at = runs(top)
     for s, e in zip(at, np.r_[at[1:], len(top)], strict=True):
         yield int(top[s]), slice(int(s), int(e))
 
