@@ -16,10 +16,13 @@ goes; what only it shared goes with it.  That drops sets which merely hold a
 passage of others before any pair is made, and no pair is lost or bucket capped.
 
 Equal sets are one node.  Tasks aggregate before they deal signatures, and each
-bucket gives a star, not pairs.  Rounds of stars then compare what verified
-links have not joined yet, from 8, 64, ... pivots a bucket, until every pair
-that shares a signature is linked, joined otherwise, or compared: the components
-are exact.
+bucket's sets stay rows, not pairs.  First each set is compared with the one
+pivot that shares most signatures with it, in a few rounds; what links joins, and
+buckets within one component are done.  Then pivots of a sixty-fourth, an eighth
+and all of the sets meet what other components are in their buckets; pairs that
+share fewer signatures than either needs are no links, the others are compared.
+Every pair is linked, joined otherwise, ruled out or compared: the components are
+exact.
 
 Defined cases: null or blank text has an empty set and links with nothing; fewer
 words than a shingle count as one shingle; a null ``doc_id`` links with nothing
@@ -34,7 +37,7 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Dealer, Shelf, U, dealt, hash_words, mix, n_buckets, release, runs, slices, windows_at
@@ -177,7 +180,7 @@ def _shared(df: DataFrame, size: int, seed: int, num: int, den: int, buckets: in
 
 
 def _needful(members: DataFrame, shelf: Shelf) -> DataFrame:
-    """(sig, id) of the sets that share as many signatures as they need; again while that drops a fiftieth of the rows."""
+    """(sig, id, need) of the sets that share as many signatures as they need; again while that drops a fiftieth of the rows."""
     n = members.count()
     while True:
         enough = members.groupBy("id", "need").agg(F.count("*").alias("n")).where("n >= need DIV 2").select("id", "need")
@@ -187,7 +190,7 @@ def _needful(members: DataFrame, shelf: Shelf) -> DataFrame:
         shelf.drop(members)
         was, n, members = n, kept.count(), kept
         if n >= 0.98 * was:
-            return members.select("sig", "id").distinct()
+            return members.distinct()
 
 
 def _hashes(df: DataFrame, size: int) -> DataFrame:
@@ -240,24 +243,34 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80) -> DataFram
 
     release(df.sparkSession)
 
-    low = members.groupBy("sig").agg(F.min("id").alias("low"))
-    pairs = members.join(low, "sig").groupBy(F.col("id").alias("b")).agg(F.min("low").alias("a")).where("a < b").select("a", "b")
-    links, pending, pivots = shelf.put(_links(pairs, sets, num, den)), members, 8
-    n_links, joined = None, None
-    while True:
+    links = df.sparkSession.createDataFrame([], "a long, b long")
+    pending, n_links, joined = members, None, None
+    for turn, (one_in, quick) in enumerate(((0, True), (0, True), (64, False), (8, False), (1, False))):
         if (n := links.count()) != n_links:
             n_links, joined = n, components(links, shelf)
-        rows = pending.join(joined, "id", "left").selectExpr("sig", "id", "coalesce(component, id) AS component")
+        rows = pending.join(joined, "id", "left").selectExpr("sig", "id", "need", "coalesce(component, id) AS component")
         mixed = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
         rows = shelf.put(rows.join(mixed, "sig", "left_semi"))
         if rows.isEmpty():
             break
-        top = rows.withColumn("k", F.row_number().over(Window.partitionBy("sig").orderBy("id"))).where(f"k <= {pivots}")
-        top = shelf.put(top.selectExpr("sig", "id AS p", "component AS c"))
-        pairs = rows.join(top, "sig").where("c <> component").selectExpr("least(id, p) AS a", "greatest(id, p) AS b").distinct()
-        links = shelf.put(links.unionAll(_links(pairs, sets, num, den)))
-        pending = rows.join(top.selectExpr("sig", "p AS id"), ["sig", "id"], "left_anti").select("sig", "id")
-        pivots *= 8
+        if quick:
+            top = rows.groupBy("sig").agg(F.expr(f"min_by(struct(id, need, component), xxhash64(id, {turn}))").alias("s")).selectExpr("sig", "s.id AS p", "s.need AS m", "s.component AS c")
+        else:
+            top = rows.where(f"pmod(xxhash64(id), {one_in}) = 0").selectExpr("sig", "id AS p", "need AS m", "component AS c")
+        top = shelf.put(top)
+        pairs = rows.join(top, "sig").where("c <> component").groupBy("id", "need", "p", "m").agg(F.count("*").alias("n"))
+        if quick:
+            pairs = pairs.groupBy("id").agg(F.max(F.struct("n", "p"))["p"].alias("p"))
+        else:
+            pairs = pairs.where("n >= greatest(need, m) DIV 2")
+        pairs = pairs.selectExpr("least(id, p) AS a", "greatest(id, p) AS b").distinct()
+        links = shelf.put(links.unionAll(_links(pairs, sets, num, den)).distinct())
+        shelf.drop(pending)
+        pending = shelf.put(rows.where(f"pmod(xxhash64(id), {one_in}) <> 0").select("sig", "id", "need")) if not quick else shelf.put(rows.select("sig", "id", "need"))
+        shelf.drop(rows, top)
+        release(df.sparkSession)
+    if links.count() != n_links:
+        joined = components(links, shelf)
     nodes = nodes.join(joined.withColumnRenamed("id", "k1"), "k1", "left").selectExpr("k1", "first", "coalesce(component, k1) AS component")
     nodes = shelf.put(nodes)
     least = shelf.put(nodes.groupBy("component").agg(F.min("first").alias("component_id")))
