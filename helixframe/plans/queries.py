@@ -1,4 +1,154 @@
-"""Registered queries."""
+"""Registered queries over the driver's tables, with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import accession as acc
+from ..functions import alphabet, alignment
+from ..operators import hits, lookup, search
+
+
+def _t(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _db(spark, d):
+    return _t(spark, d, "documents").selectExpr("doc_id AS row_idx", "text")
+
+
+def _q(spark, d):
+    return _t(spark, d, "benchmark").selectExpr("item_id AS query", "text")
+
+
+def fasta_filter(s, d):
+    return _t(s, d, "documents").where("NOT contains(text, 'X') AND length(text) BETWEEN 1 AND 2000").select("doc_id", F.length("text").cast("long").alias("len"))
+
+
+def recode_alphabets(s, d):
+    seq = alphabet.strip(F.col("text"))
+    return _t(s, d, "documents").select("doc_id", *(F.md5(alphabet.recode(seq, k)).alias(k) for k in alphabet.SCHEMES))
+
+
+def kmer_doc_freq(s, d):
+    return search.document_frequency(alphabet.distinct_kmers(_db(s, d), "row_idx", "text"))
+
+
+def kmer_keep_band(s, d):
+    return search.keep_band(kmer_doc_freq(s, d), 10)
+
+
+def bottom_n_sketch(s, d):
+    k = alphabet.distinct_kmers(_db(s, d), "row_idx", "text")
+    return search.sketches(k, search.keep_band(search.document_frequency(k), 10), 100).withColumn("pos", F.col("pos").cast("long"))
+
+
+def posting_lists(s, d):
+    return search.posting_lists(search.build_index(_db(s, d))).select("h", "n", F.array_join("rows", ",").alias("targets"))
+
+
+def sketch_search_topk(s, d):
+    return search.containment_search(search.build_index(_db(s, d)), _q(s, d))
+
+
+def sketch_search_segmented(s, d):
+    how = {"k": 5, "n": 100, "segmented": True}
+    return search.containment_search(search.build_index(_db(s, d), max_freq=50, **how), _q(s, d), **how)
+
+
+def annotate_hits(s, d):
+    q = _q(s, d).select("query", alphabet.strip(F.col("text")).alias("seq"))
+    t = _db(s, d).select("row_idx", alphabet.strip(F.col("text")).alias("seq"))
+    a = _t(s, d, "labels").selectExpr("doc_id AS row_idx", "quality AS group_size")
+    out = hits.annotate(sketch_search_topk(s, d), q, t, a)
+    return out.select("query", "row_idx", "shared", F.col("qlen").cast("long").alias("qlen"), F.col("slen").cast("long").alias("slen"), F.col("group_size").cast("long").alias("group_size"))
+
+
+def best_hit_per_query(s, d):
+    return hits.best(sketch_search_topk(s, d), "query", F.desc("shared"), F.desc("row_idx")).select("query", "row_idx", "shared")
+
+
+def cascade_anti_join(s, d):
+    solved = sketch_search_topk(s, d).where("shared >= 50")
+    return hits.without(_q(s, d).select("query"), solved)
+
+
+def merge_hits_union_by_name(s, d):
+    docs = _t(s, d, "documents")
+    a = docs.where("source = 'src0'").selectExpr("doc_id", "n_chars AS score")
+    b = docs.where("source <> 'src0'").selectExpr("doc_id", "lang")
+    return hits.merge_by_name(a, b)
+
+
+def hits_filter_tolerant(s, d):
+    rows = _t(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return hits.filter_tolerant(rows, k=50).select("event_id")
+
+
+def prefix_partition_lookup(s, d):
+    docs = _t(s, d, "documents").select(F.md5(F.col("doc_id").cast("string")).alias("h"), F.col("source"), F.col("doc_id"))
+    index = lookup.with_prefix(lookup.fragment_rows(docs, "h", "source", "doc_id"))
+    keys = _t(s, d, "labels").where("quality = 1").select(F.md5(F.col("doc_id").cast("string")).alias("protein_hash"))
+    return lookup.lookup(index, keys).select("protein_hash", "fragment_id", F.col("frag_row").cast("long").alias("frag_row"))
+
+
+def parse_accession(s, d):
+    docs = _t(s, d, "documents").selectExpr("doc_id", "CASE pmod(doc_id, 3) WHEN 0 THEN concat('sp:AF-A', doc_id, '-F1-model_v4') WHEN 1 THEN concat('AF-', lpad(CAST(doc_id AS STRING), 16, '0')) ELSE concat('x', doc_id) END AS id")
+    a = acc.accession(F.col("id"))
+    return docs.select("doc_id", a.alias("acc"), F.when(a.isNotNull(), acc.model_version(a)).cast("long").alias("version"))
+
+
+def gap_rules(s, d):
+    docs = _t(s, d, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "-").alias("g"))
+    runs = alignment.gap_runs(F.col("g"))
+    return docs.select("doc_id", F.md5(alignment.fix_hanging(F.col("g"))).alias("fixed"), F.size(runs).cast("long").alias("n_runs"), F.coalesce(F.array_max(runs), F.lit(0)).cast("long").alias("longest"))
+
+
+def nw_best_hits(s, d):
+    """Global alignment of each query with its best hit's sequence, up to the alignment's longest length."""
+    q = _q(s, d).select("query", alphabet.strip(F.col("text")).alias("seq"))
+    t = _db(s, d).select("row_idx", alphabet.strip(F.col("text")).alias("seq"))
+    out = hits.annotate(best_hit_per_query(s, d), q, t)
+    return out.withColumn("x", alignment.aligner()("full_qseq", "full_sseq")).select("query", "row_idx", "x.score", "x.identity", "x.coverage", "x.class_a")
+
+
+_NAMES = (fasta_filter, recode_alphabets, kmer_doc_freq, kmer_keep_band, bottom_n_sketch, posting_lists, sketch_search_topk, sketch_search_segmented, annotate_hits, best_hit_per_query, cascade_anti_join, merge_hits_union_by_name, hits_filter_tolerant, prefix_partition_lookup, parse_accession, gap_rules, nw_best_hits)
+QUERIES = {f.__name__: f for f in _NAMES}
+
+
+def _translate(seq: str, scheme: str) -> str:
+    c = alphabet.SCHEMES[scheme]
+    return f"translate({seq}, '{''.join(c)}', '{''.join(str(i) * len(x) for i, x in enumerate(c))}')"
+
+
+_SEQ = f"upper(regexp_replace(coalesce(text, ''), '[^{alphabet.RESIDUES}{alphabet.RESIDUES.lower()}]', '', 'g'))"
+_CODE = " + ".join(f"substr(r, i::INT + {j}, 1)::BIGINT * {5 ** (8 - j)}" for j in range(9))
+
+
+def _kmers(table: str, key: str, name: str) -> str:
+    r = f"SELECT {key} AS id, {_translate(_SEQ, 'murphy2000_5')} AS r FROM {table}"
+    return f"{name} AS MATERIALIZED (SELECT DISTINCT id, {_CODE} AS h FROM (SELECT id, r, unnest(range(1, length(r) - 7)) AS i FROM ({r})))"
+
+
+_DF = f"WITH {_kmers('documents', 'doc_id', 'k')}, f AS (SELECT h, count(*) AS df FROM k GROUP BY h)"
+_SKETCH = _DF + ", s AS (SELECT id, h, row_number() OVER (PARTITION BY id ORDER BY h) AS pos FROM k JOIN f USING (h) WHERE df <= 10), p AS (SELECT id, pos, h FROM s WHERE pos <= 100)"
+_HITS = _SKETCH + f""", {_kmers('benchmark', 'item_id', 'qk')}, q AS (SELECT id, h FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY h) AS n FROM qk) WHERE n <= 100),
+c AS (SELECT q.id AS query, p.id AS row_idx, count(*) AS shared FROM q JOIN p USING (h) GROUP BY 1, 2 HAVING count(*) >= 2),
+t AS (SELECT query, row_idx, shared, shared / 100.0::DOUBLE AS containment FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, row_idx DESC) AS n FROM c) WHERE n <= 5)"""
+
+SQL = {
+    "fasta_filter": "SELECT doc_id, length(text)::BIGINT AS len FROM documents WHERE NOT contains(text, 'X') AND length(text) BETWEEN 1 AND 2000",
+    "recode_alphabets": "SELECT doc_id, " + ", ".join(f"md5({_translate(_SEQ, k)}) AS {k}" for k in alphabet.SCHEMES) + " FROM documents",
+    "kmer_doc_freq": _DF + " SELECT h, df FROM f",
+    "kmer_keep_band": _DF + " SELECT h, df FROM f WHERE df <= 10",
+    "bottom_n_sketch": _SKETCH + " SELECT id AS row_idx, pos, h FROM p",
+    "posting_lists": _SKETCH + " SELECT h, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS targets FROM p GROUP BY h",
+    "sketch_search_topk": _HITS + " SELECT * FROM t",
+    "annotate_hits": _HITS + f" SELECT query, row_idx, shared, (SELECT length({_SEQ}) FROM benchmark WHERE item_id = query)::BIGINT AS qlen, (SELECT length({_SEQ}) FROM documents WHERE doc_id = row_idx)::BIGINT AS slen, coalesce(quality, 0)::BIGINT AS group_size FROM t LEFT JOIN labels ON doc_id = row_idx",
+    "best_hit_per_query": _HITS + " SELECT query, max(row_idx) AS row_idx, max(shared) AS shared FROM t JOIN (SELECT query, max(shared) AS shared FROM t GROUP BY query) USING (query, shared) GROUP BY query",
+    "cascade_anti_join": _HITS + " SELECT item_id AS query FROM benchmark WHERE item_id NOT IN (SELECT query FROM t WHERE shared >= 50)",
+    "merge_hits_union_by_name": "SELECT doc_id, CASE WHEN source = 'src0' THEN n_chars END AS score, CASE WHEN source <> 'src0' THEN lang END AS lang FROM documents WHERE source IS NOT NULL",
+    "hits_filter_tolerant": "SELECT event_id FROM events WHERE coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE) >= 50, true)",
+    "prefix_partition_lookup": "SELECT protein_hash, fragment_id, frag_row FROM (SELECT doc_id, md5(doc_id::VARCHAR) AS protein_hash, source AS fragment_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS frag_row FROM documents) WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
+    "parse_accession": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'AF-A' || doc_id || '-F1' WHEN 1 THEN 'AF-' || lpad(doc_id::VARCHAR, 16, '0') END AS acc, CASE doc_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 1 END::BIGINT AS version FROM documents",
+}
