@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def accession(seqid: Column) -> Column:
     """``AF-...`` itself or as second ``:`` part, without a model suffix; else NULL."""
-    second = F.split(seqid, ":").getItem(1)
+    second = F.get(F.split(seqid, ":"), F.lit(1))
     found = F.when(seqid.startswith("AF-"), seqid).when(second.startswith("AF-"), second)
     return F.regexp_replace(found, r"-model_v\d+$", "")
 
@@ -20,9 +20,9 @@ def model_version(acc: Column) -> Column:
 def composite_id(seqid: Column) -> Column:
     """``hash|fragment|row`` as a struct; -1 for what isn't three parts with two numbers."""
     parts = F.split(seqid, r"\|")
-    fid, row = parts.getItem(1).try_cast("int"), parts.getItem(2).try_cast("int")
+    fid, row = F.get(parts, F.lit(1)).try_cast("int"), F.get(parts, F.lit(2)).try_cast("int")
     good = (F.size(parts) >= 3) & fid.isNotNull() & row.isNotNull()
-    return F.struct(parts.getItem(0).alias("protein_hash"), F.when(good, fid).otherwise(-1).alias("fragment_id"), F.when(good, row).otherwise(-1).alias("frag_row"))
+    return F.struct(F.get(parts, F.lit(0)).alias("protein_hash"), F.when(good, fid).otherwise(-1).alias("fragment_id"), F.when(good, row).otherwise(-1).alias("frag_row"))
 
 
 def safe_id(name: Column) -> Column:
