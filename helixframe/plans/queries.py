@@ -122,12 +122,13 @@ def _translate(seq: str, scheme: str) -> str:
 
 
 _SEQ = f"upper(regexp_replace(coalesce(text, ''), '[^{alphabet.RESIDUES}{alphabet.RESIDUES.lower()}]', '', 'g'))"
-_CODE = " + ".join(f"substr(r, i::INT + {j}, 1)::BIGINT * {5 ** (8 - j)}" for j in range(9))
+_CODE = " + ".join(f"substr(w, {j + 1}, 1)::BIGINT * {5 ** (8 - j)}" for j in range(9))
 
 
 def _kmers(table: str, key: str, name: str) -> str:
     r = f"SELECT {key} AS id, {_translate(_SEQ, 'murphy2000_5')} AS r FROM {table}"
-    return f"{name} AS MATERIALIZED (SELECT DISTINCT id, {_CODE} AS h FROM (SELECT id, r, unnest(range(1, length(r) - 7)) AS i FROM ({r})))"
+    w = f"SELECT DISTINCT id, substr(r, i::INT, 9) AS w FROM (SELECT id, r, unnest(range(1, length(r) - 7)) AS i FROM ({r}))"
+    return f"{name} AS MATERIALIZED (SELECT id, {_CODE} AS h FROM ({w}))"
 
 
 _DF = f"WITH {_kmers('documents', 'doc_id', 'k')}, f AS (SELECT h, count(*) AS df FROM k GROUP BY h)"
