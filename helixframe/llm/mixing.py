@@ -73,7 +73,9 @@ def _mixed(sizes: DataFrame, shelf: Shelf, weights, share, most, stratum, seed)
 
 
 def mixture(df: DataFrame, **how) -> DataFrame:
-    """The documents of ``df``, each as often as the mix takes it."""
-    copies = mix_sources(df, **how).groupBy("doc_id").agg(F.sum("copies").alias("n"), F.count("*").alias("rows"))
-    out = df.join(copies.withColumnRenamed("doc_id", "_mixed_id"), F.col("doc_id").eqNullSafe(F.col("_mixed_id")))
-    return out.withColumn("_copy", F.expr("explode_outer(CASE WHEN n >= rows THEN sequence(1, CAST(n / rows AS INT)) END)")).where("_copy IS NOT NULL").select(*df.columns)
+    """The documents of ``df``, each as often as the mix takes it; rows that repeat a doc_id share its copies evenly, rounded down."""
+    free = max(map(len, df.columns)) * "_"  # longer than any column's name
+    ident, times, copy = (free + x for x in ("id", "times", "copy"))
+    copies = mix_sources(df, **how).groupBy("doc_id").agg(F.expr("CAST(sum(copies) DIV count(*) AS INT)").alias(times)).where(F.col(times) > 0)
+    out = df.join(copies.withColumnRenamed("doc_id", ident), F.col("doc_id").eqNullSafe(F.col(ident)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*df.columns)
