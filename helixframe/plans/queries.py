@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import accession as acc
 from ..functions import alphabet, alignment
-from ..operators import hits, lookup, search
+from ..operators import hits, lookup, search, structures
 
 
 def _t(spark, d, name):
@@ -112,7 +112,78 @@ def nw_best_hits(s, d):
     return out.withColumn("x", alignment.aligner()("full_qseq", "full_sseq")).select("query", "row_idx", "x.score", "x.identity", "x.coverage", "x.class_a")
 
 
-_NAMES = (fasta_filter, recode_alphabets, kmer_doc_freq, kmer_keep_band, bottom_n_sketch, posting_lists, sketch_search_topk, sketch_search_segmented, annotate_hits, best_hit_per_query, cascade_anti_join, merge_hits_union_by_name, hits_filter_tolerant, prefix_partition_lookup, parse_accession, gap_rules, nw_best_hits)
+def _points(s, d):
+    at = F.explode(F.sequence(F.lit(0), F.lit(20))).alias("pos")
+    e = _t(s, d, "embeddings").select(F.col("vec_id").alias("ref_id"), "embedding", at)
+    return e.select("ref_id", F.col("pos").cast("long").alias("pos"), *(F.expr(f"CAST(get(embedding, pos * 3 + {k}) AS DOUBLE) * 10").alias(c) for k, c in enumerate("xyz")))
+
+
+def _cells(s, d):
+    e = _t(s, d, "embeddings").select(F.col("vec_id").alias("ref_id"), F.posexplode("embedding").alias("at", "v"))
+    return e.selectExpr("ref_id", "CAST(at DIV 8 AS LONG) AS i", "CAST(at % 8 AS LONG) AS j", "abs(CAST(v AS DOUBLE)) * 10 AS pae")
+
+
+def chain_breaks(s, d):
+    return structures.chain_breaks(_points(s, d), 1.5).select("ref_id", "pos", F.col("segment").cast("long").alias("segment"))
+
+
+def break_segments(s, d):
+    b = structures.chain_breaks(_points(s, d), 1.5)
+    return b.groupBy("ref_id", "segment").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("n")).withColumn("segment", F.col("segment").cast("long"))
+
+
+def segment_islands(s, d):
+    return structures.islands(_points(s, d).withColumn("up", F.col("x") > 0), "up")
+
+
+def uncovered_segments(s, d):
+    return structures.uncovered_segments(_points(s, d).withColumn("up", F.col("x") > 0), "up", 2)
+
+
+def interpolate_anchors(s, d):
+    out = structures.interpolate(_points(s, d).withColumn("up", F.col("y") > 0), "up", "x")
+    return out.select("ref_id", "pos", F.round("x", 6).alias("x"))
+
+
+def pae_edges(s, d):
+    return structures.pae_edges(_cells(s, d), 1.0).select("ref_id", "i", "j", F.round("weight", 4).alias("weight"))
+
+
+def expand_indices(s, d):
+    docs = _t(s, d, "benchmark").selectExpr("item_id AS ref_id", "CAST(length(text) AS LONG) AS n_full", "explode(sequence(0L, CAST(length(text) DIV 3 AS LONG))) AS i")
+    return structures.expand_indices(docs, 3, "n_full").select("ref_id", "i", "pos")
+
+
+def domain_gate(s, d):
+    r = _t(s, d, "lineitem").selectExpr("l_suppkey AS ref_id", "l_linenumber AS domain_id", "l_orderkey AS pos", "CASE WHEN l_returnflag <> 'N' THEN l_quantity END AS plddt")
+    out = structures.domain_gate(r, 30, 25.0)
+    return out.select("ref_id", F.col("domain_id").cast("long").alias("domain_id"), "n", "start", "end", F.round("plddt", 6).alias("plddt"))
+
+
+def status_counts(s, d):
+    ok = F.col("quality") == 1
+    return _t(s, d, "documents").join(_t(s, d, "labels"), "doc_id").groupBy(acc.db_type(F.col("source")).alias("db")).agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("fail"))
+
+
+def status_map_default(s, d):
+    done = _t(s, d, "labels").selectExpr("doc_id", "IF(quality = 1, 'ok', 'fail') AS status")
+    return _t(s, d, "documents").select("doc_id").join(done, "doc_id", "left").select("doc_id", F.coalesce("status", F.lit("skip")).alias("status"))
+
+
+def frequency_totals(s, d):
+    return kmer_doc_freq(s, d).groupBy("df").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+
+
+def identity_classes(s, d):
+    """Rule classes of the best hits' alignments: A, else B, else C."""
+    q = _q(s, d).select("query", alphabet.strip(F.col("text")).alias("seq"))
+    t = _db(s, d).select("row_idx", alphabet.strip(F.col("text")).alias("seq"))
+    out = hits.annotate(best_hit_per_query(s, d), q, t).withColumn("x", alignment.aligner()("full_qseq", "full_sseq")).where("x.q IS NOT NULL")
+    kind = F.when(F.col("x.class_a"), "A").when(alignment.class_b(F.col("x.q"), F.col("x.s")), "B").otherwise("C")
+    return out.select("query", "row_idx", kind.alias("class"))
+
+
+_NAMES = (chain_breaks, break_segments, segment_islands, uncovered_segments, interpolate_anchors, pae_edges, expand_indices, domain_gate, status_counts, status_map_default, frequency_totals, identity_classes, fasta_filter, recode_alphabets, kmer_doc_freq, kmer_keep_band, bottom_n_sketch, posting_lists, sketch_search_topk, sketch_search_segmented, annotate_hits, best_hit_per_query, cascade_anti_join, merge_hits_union_by_name, hits_filter_tolerant, prefix_partition_lookup, parse_accession, gap_rules, nw_best_hits)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 
@@ -137,6 +208,10 @@ _HITS = _SKETCH + f""", {_kmers('benchmark', 'item_id', 'qk')}, q AS (SELECT id,
 c AS (SELECT q.id AS query, p.id AS row_idx, count(*) AS shared FROM q JOIN p USING (h) GROUP BY 1, 2 HAVING count(*) >= 2),
 t AS (SELECT query, row_idx, shared, shared / 100.0::DOUBLE AS containment FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, row_idx DESC) AS n FROM c) WHERE n <= 5)"""
 
+_POINTS = "WITH p AS (SELECT vec_id AS ref_id, pos, " + ", ".join(f"embedding[pos * 3 + {k + 1}]::DOUBLE * 10 AS {c}" for k, c in enumerate("xyz")) + " FROM (SELECT *, unnest(range(0, 21)) AS pos FROM embeddings))"
+_BROKEN = _POINTS + """, s AS (SELECT ref_id, pos, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w) + (z - lag(z) OVER w) * (z - lag(z) OVER w)) AS step FROM p WINDOW w AS (PARTITION BY ref_id ORDER BY pos)),
+b AS (SELECT ref_id, pos, least(coalesce(sum(CASE WHEN step > 1.5 THEN 1 ELSE 0 END) OVER (PARTITION BY ref_id ORDER BY pos), 0), 25)::BIGINT AS segment FROM s)"""
+
 SQL = {
     "fasta_filter": "SELECT doc_id, length(text)::BIGINT AS len FROM documents WHERE NOT contains(text, 'X') AND length(text) BETWEEN 1 AND 2000",
     "recode_alphabets": "SELECT doc_id, " + ", ".join(f"md5({_translate(_SEQ, k)}) AS {k}" for k in alphabet.SCHEMES) + " FROM documents",
@@ -152,4 +227,25 @@ SQL = {
     "hits_filter_tolerant": "SELECT event_id FROM events WHERE coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE) >= 50, true)",
     "prefix_partition_lookup": "SELECT protein_hash, fragment_id, frag_row FROM (SELECT doc_id, md5(doc_id::VARCHAR) AS protein_hash, source AS fragment_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS frag_row FROM documents) WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "parse_accession": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'AF-A' || doc_id || '-F1' WHEN 1 THEN 'AF-' || lpad(doc_id::VARCHAR, 16, '0') END AS acc, CASE doc_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 1 END::BIGINT AS version FROM documents",
+} | {
+    "chain_breaks": _BROKEN + " SELECT ref_id, pos, segment FROM b",
+    "break_segments": _BROKEN + ' SELECT ref_id, segment, min(pos) AS start, max(pos) AS "end", count(*) AS n FROM b GROUP BY ref_id, segment',
+    "segment_islands": _POINTS + """, g AS (SELECT ref_id, pos, pos - row_number() OVER (PARTITION BY ref_id ORDER BY pos) AS g FROM p WHERE x > 0)
+SELECT ref_id, min(pos) AS start, max(pos) AS "end", count(*) AS n FROM g GROUP BY ref_id, g""",
+    "uncovered_segments": _POINTS + """, g AS (SELECT *, pos - row_number() OVER (PARTITION BY ref_id ORDER BY pos) AS g FROM p WHERE NOT x > 0),
+u AS (SELECT ref_id, min(pos) AS start, max(pos) AS "end", count(*) AS n FROM g GROUP BY ref_id, g HAVING count(*) >= 2)
+SELECT ref_id, CASE WHEN start > 0 THEN start - 1 END AS prev, CASE WHEN "end" < 20 THEN "end" + 1 END AS "next", start, "end", n FROM u""",
+    "interpolate_anchors": _POINTS + """, a AS (SELECT ref_id, pos, x FROM p WHERE y > 0),
+n AS (SELECT p.ref_id, p.pos, max(CASE WHEN a.pos <= p.pos THEN a.pos END) AS p0, min(CASE WHEN a.pos >= p.pos THEN a.pos END) AS p1 FROM p LEFT JOIN a USING (ref_id) GROUP BY 1, 2)
+SELECT n.ref_id, n.pos, round(CASE WHEN p0 = p1 THEN l.x WHEN p0 IS NOT NULL AND p1 IS NOT NULL THEN l.x + (r.x - l.x) * (n.pos - p0) / (p1 - p0)
+  WHEN p0 IS NOT NULL THEN l.x + 3.8::DOUBLE * (n.pos - p0) ELSE r.x - 3.8::DOUBLE * (p1 - n.pos) END, 6) AS x
+FROM n LEFT JOIN a l ON l.ref_id = n.ref_id AND l.pos = p0 LEFT JOIN a r ON r.ref_id = n.ref_id AND r.pos = p1""",
+    "pae_edges": """SELECT ref_id, i, j, round(1 / greatest(pae, 1e-6::DOUBLE), 4) AS weight
+FROM (SELECT vec_id AS ref_id, k // 8 AS i, k % 8 AS j, abs(embedding[k + 1]::DOUBLE) * 10 AS pae FROM (SELECT *, unnest(range(0, 64)) AS k FROM embeddings)) WHERE pae < 1 AND i < j""",
+    "expand_indices": "SELECT item_id AS ref_id, pos // 3 AS i, pos FROM (SELECT item_id, unnest(range(0, length(text))) AS pos FROM benchmark)",
+    "domain_gate": """SELECT l_suppkey AS ref_id, l_linenumber::BIGINT AS domain_id, count(*) AS n, min(l_orderkey) AS start, max(l_orderkey) AS "end", round(avg(l_quantity) FILTER (l_returnflag <> 'N'), 6) AS plddt
+FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 30 AND coalesce(avg(l_quantity) FILTER (l_returnflag <> 'N') >= 25, true)""",
+    "status_counts": "SELECT coalesce(nullif(source, ''), 'afdb') AS db, count(*) FILTER (quality = 1) AS ok, count(*) FILTER (quality <> 1) AS fail FROM documents JOIN labels USING (doc_id) GROUP BY 1",
+    "status_map_default": "SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'skip' WHEN quality = 1 THEN 'ok' ELSE 'fail' END AS status FROM documents LEFT JOIN labels l USING (doc_id)",
+    "frequency_totals": _DF + " SELECT df, count(*) AS n, min(h) AS lo, max(h) AS hi FROM f GROUP BY df",
 }
