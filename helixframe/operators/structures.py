@@ -9,31 +9,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CHAIN = Window.partitionBy("ref_id").orderBy("pos")
+def _chain():
+    return Window.partitionBy("ref_id").orderBy("pos")
+
 
 
 def step_length() -> Column:
     """Distance from the position before."""
-    moved = [F.col(c) - F.lag(c).over(_CHAIN) for c in "xyz"]
+    moved = [F.col(c) - F.lag(c).over(_chain()) for c in "xyz"]
     return F.sqrt(moved[0] * moved[0] + moved[1] * moved[1] + moved[2] * moved[2])
 
 
 def chain_breaks(points: DataFrame, longest: float = 5.5, most: int = 25) -> DataFrame:
     """Points with ``segment``: one more after each step over ``longest``, held at ``most``."""
     jump = points.withColumn("jump", step_length() > longest)
-    up_to = _CHAIN.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up_to = _chain().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return jump.withColumn("segment", F.least(F.sum(F.when(F.col("jump"), 1).otherwise(0)).over(up_to), F.lit(most))).drop("jump")
 
 
 def islands(rows: DataFrame, flag: str) -> DataFrame:
     """(ref_id, start, end, n): maximal runs of consecutive positions where ``flag`` holds."""
-    r = rows.where(F.col(flag)).withColumn("g", F.col("pos") - F.row_number().over(_CHAIN))
+    r = rows.where(F.col(flag)).withColumn("g", F.col("pos") - F.row_number().over(_chain()))
     return r.groupBy("ref_id", "g").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("n")).drop("g")
 
 
 def uncovered_segments(rows: DataFrame, covered: str, least: int) -> DataFrame:
     """Runs outside of all domains of at least ``least`` positions, with the covered positions beside them."""
-    before, after = _CHAIN.rowsBetween(Window.unboundedPreceding, -1), _CHAIN.rowsBetween(1, Window.unboundedFollowing)
+    before, after = _chain().rowsBetween(Window.unboundedPreceding, -1), _chain().rowsBetween(1, Window.unboundedFollowing)
     inside = F.when(F.col(covered), F.col("pos"))
     r = rows.withColumn("prev", F.last(inside, True).over(before)).withColumn("next", F.first(inside, True).over(after)).where(~F.col(covered))
     return r.groupBy("ref_id", "prev", "next").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("n")).where(F.col("n") >= least)
@@ -41,7 +43,7 @@ def uncovered_segments(rows: DataFrame, covered: str, least: int) -> DataFrame:
 
 def interpolate(points: DataFrame, known: str, column: str, step: float = 3.8) -> DataFrame:
     """``column`` at unknown positions on the line between its neighbours; beyond the last one, ``step`` a position."""
-    before, after = _CHAIN.rowsBetween(Window.unboundedPreceding, 0), _CHAIN.rowsBetween(0, Window.unboundedFollowing)
+    before, after = _chain().rowsBetween(Window.unboundedPreceding, 0), _chain().rowsBetween(0, Window.unboundedFollowing)
     p, v = F.when(F.col(known), F.col("pos")), F.when(F.col(known), F.col(column))
     r = points.withColumn("p0", F.last(p, True).over(before)).withColumn("p1", F.first(p, True).over(after)).withColumn("v0", F.last(v, True).over(before)).withColumn("v1", F.first(v, True).over(after))
     between = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("pos") - F.col("p0")) / (F.col("p1") - F.col("p0"))
