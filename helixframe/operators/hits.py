@@ -48,3 +48,20 @@ def without(rows: DataFrame, *solved: DataFrame, key: str = "query") -> DataFram
     for s in solved:
         rows = rows.join(s.select(key).distinct(), key, "left_anti")
     return rows
+
+
+def first_seen(rows: DataFrame, key: str, pos: str) -> DataFrame:
+    """Each key once, with the first position it stands at."""
+    return rows.groupBy(key).agg(F.min(pos).alias(pos))
+
+
+def first_qualifying(rows: DataFrame, key: str, rank: str, passes: Column) -> DataFrame:
+    """Of each key the row with the smallest rank that passes."""
+    return best(rows.where(passes), key, F.asc(rank))
+
+
+def mask_letter(seq: Column, old: str = "U", new: str = "C") -> Column:
+    """The sequence with one letter replaced, and the places (from 0) where it stood."""
+    letters = F.split(seq, "")
+    at = F.filter(F.transform(letters, lambda c, i: F.when(c == old, i)), lambda i: i.isNotNull())
+    return F.struct(F.translate(seq, old, new).alias("masked"), at.alias("at"))

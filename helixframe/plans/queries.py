@@ -183,7 +183,21 @@ def identity_classes(s, d):
     return out.select("query", "row_idx", kind.alias("class"))
 
 
-_NAMES = (chain_breaks, break_segments, segment_islands, uncovered_segments, interpolate_anchors, pae_edges, expand_indices, domain_gate, status_counts, status_map_default, frequency_totals, identity_classes, fasta_filter, recode_alphabets, kmer_doc_freq, kmer_keep_band, bottom_n_sketch, posting_lists, sketch_search_topk, sketch_search_segmented, annotate_hits, best_hit_per_query, cascade_anti_join, merge_hits_union_by_name, hits_filter_tolerant, prefix_partition_lookup, parse_accession, gap_rules, nw_best_hits)
+def first_seen(s, d):
+    return hits.first_seen(_t(s, d, "events"), "user_id", "event_id")
+
+
+def first_qualifying(s, d):
+    out = hits.first_qualifying(_t(s, d, "lineitem"), "l_orderkey", "l_linenumber", F.col("l_quantity") >= 30)
+    return out.select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), "l_partkey")
+
+
+def mask_letter(s, d):
+    x = hits.mask_letter(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")))
+    return _t(s, d, "benchmark").select("item_id", x.alias("x")).select("item_id", F.md5("x.masked").alias("masked"), F.size("x.at").cast("long").alias("n"))
+
+
+_NAMES = (first_seen, first_qualifying, mask_letter, chain_breaks, break_segments, segment_islands, uncovered_segments, interpolate_anchors, pae_edges, expand_indices, domain_gate, status_counts, status_map_default, frequency_totals, identity_classes, fasta_filter, recode_alphabets, kmer_doc_freq, kmer_keep_band, bottom_n_sketch, posting_lists, sketch_search_topk, sketch_search_segmented, annotate_hits, best_hit_per_query, cascade_anti_join, merge_hits_union_by_name, hits_filter_tolerant, prefix_partition_lookup, parse_accession, gap_rules, nw_best_hits)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 
@@ -248,4 +262,7 @@ FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 30 AND coalesce(avg(l_quantity) F
     "status_counts": "SELECT coalesce(nullif(source, ''), 'afdb') AS db, count(*) FILTER (quality = 1) AS ok, count(*) FILTER (quality <> 1) AS fail FROM documents JOIN labels USING (doc_id) GROUP BY 1",
     "status_map_default": "SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'skip' WHEN quality = 1 THEN 'ok' ELSE 'fail' END AS status FROM documents LEFT JOIN labels l USING (doc_id)",
     "frequency_totals": _DF + " SELECT df, count(*) AS n, min(h) AS lo, max(h) AS hi FROM f GROUP BY df",
+    "first_seen": "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id",
+    "first_qualifying": "SELECT l_orderkey, l_linenumber::BIGINT AS line, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem WHERE l_quantity >= 30) WHERE n = 1",
+    "mask_letter": "SELECT item_id, md5(replace(u, 'U', 'C')) AS masked, length(u) - length(replace(u, 'U', '')) AS n FROM (SELECT item_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS u FROM benchmark)",
 }
