@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 U = np.uint64
 _MASK = (1 << 64) - 1
 #: Bytes of text that numpy works on at a time; longer texts go in pieces cut between words.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 
 # ---------------------------------------------------------------- shared tables

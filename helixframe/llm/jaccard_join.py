@@ -17,10 +17,10 @@ passage of others before any pair is made, and no pair is lost or bucket capped.
 
 Equal sets are one node.  Tasks aggregate before they deal signatures, and each
 bucket's sets stay rows, not pairs.  First each set is compared with the one
-pivot that shares most signatures with it, in a few rounds; what links joins, and
-buckets within one component are done.  Then pivots of a sixty-fourth, an eighth
-and all of the sets meet what other components are in their buckets; pairs that
-share fewer signatures than either needs are no links, the others are compared.
+pivot that shares most signatures with it; what links joins, and buckets within
+one component are done.  Then pivots of an eighth and all of the sets meet what
+other components are in their buckets, the fullest left out as far as the need
+allows; pairs that share too few of the rest are no links, the others are compared.
 Every pair is linked, joined otherwise, ruled out or compared: the components are
 exact.
 
@@ -37,7 +37,7 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Dealer, Shelf, U, dealt, hash_words, mix, n_buckets, release, runs, slices, windows_at
@@ -222,6 +222,45 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.where(near).mapInArrow(compare, "a long, b long")
 
 
+def _named(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
+    if joined is None:
+        return rows.selectExpr("sig", "id", "need", "id AS component")
+    return rows.join(joined, "id", "left").selectExpr("sig", "id", "need", "coalesce(component, id) AS component")
+
+
+def _open(members: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """(sig, id, need) of buckets that hold several components, for sets that have as many such buckets as they need."""
+    named = _named(members, joined)
+    mixed = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
+    rows = members.join(mixed, "sig", "left_semi")
+    enough = rows.groupBy("id", "need").agg(F.count("*").alias("n")).where("n >= need DIV 2").select("id", "need")
+    return rows.join(enough, ["id", "need"], "left_semi").select("sig", "id", "need")
+
+
+def _quick(rows: DataFrame) -> DataFrame:
+    """(a, b): each set with that pivot, one per bucket, with which it shares most buckets."""
+    top = rows.groupBy("sig").agg(F.expr("min_by(id, xxhash64(id))").alias("p"))
+    best = rows.join(top, "sig").where("id <> p").groupBy("id", "p").agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", "p"))["p"].alias("p"))
+    return best.selectExpr("least(id, p) AS a", "greatest(id, p) AS b").distinct()
+
+
+def _pairs(rows: DataFrame, joined: DataFrame | None, one_in: int) -> DataFrame:
+    """(a, b): pivots, one in so many sets, with the sets of other components that share enough buckets with them.
+
+    Each set leaves out half as many buckets as it needs, its fullest.  In one
+    order of the buckets what either of two sets leaves out of those they share is
+    an end of these, so at least the other half of the larger need is still shared.
+    """
+    freq = rows.groupBy("sig").agg(F.count("*").alias("f"))
+    by = Window.partitionBy("id", "need").orderBy(F.desc("f"), "sig")
+    rows = rows.join(freq, "sig").withColumn("r", F.row_number().over(by)).where("r > need DIV 4").select("sig", "id", "need")
+    rows = _named(rows, joined)
+    pivot = f"pmod(xxhash64(id), {one_in}) = 0"
+    top = rows.where(pivot).selectExpr("sig", "id AS p", "need AS m", "component AS c")
+    met = rows.join(top, "sig").where(f"c <> component AND (id < p OR NOT {pivot})").groupBy("id", "need", "p", "m").agg(F.count("*").alias("n"))
+    return met.where("n >= greatest(need, m) DIV 2 - greatest(need, m) DIV 4").selectExpr("least(id, p) AS a", "greatest(id, p) AS b").distinct()
+
+
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each document of ``df``."""
     num, den = percent, 100
@@ -243,33 +282,24 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80) -> DataFram
 
     release(df.sparkSession)
 
-    links = df.sparkSession.createDataFrame([], "a long, b long")
-    pending, n_links, joined = members, None, None
-    for turn, (one_in, quick) in enumerate(((0, True), (0, True), (64, False), (8, False), (1, False))):
-        if (n := links.count()) != n_links:
-            n_links, joined = n, components(links, shelf)
-        rows = pending.join(joined, "id", "left").selectExpr("sig", "id", "need", "coalesce(component, id) AS component")
-        mixed = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-        rows = shelf.put(rows.join(mixed, "sig", "left_semi"))
-        if rows.isEmpty():
-            break
-        if quick:
-            top = rows.groupBy("sig").agg(F.expr(f"min_by(struct(id, need, component), xxhash64(id, {turn}))").alias("s")).selectExpr("sig", "s.id AS p", "s.need AS m", "s.component AS c")
-        else:
-            top = rows.where(f"pmod(xxhash64(id), {one_in}) = 0").selectExpr("sig", "id AS p", "need AS m", "component AS c")
-        top = shelf.put(top)
-        pairs = rows.join(top, "sig").where("c <> component").groupBy("id", "need", "p", "m").agg(F.count("*").alias("n"))
-        if quick:
-            pairs = pairs.groupBy("id").agg(F.max(F.struct("n", "p"))["p"].alias("p"))
+    links, joined, n_links = None, None, 0
+    for one_in in (0, 8, 1):
+        rows = members
+        if links is not None:
+            if (n := links.count()) != n_links:
+                n_links, joined = n, components(links, shelf)
+            rows = shelf.put(_open(members, joined))
+            shelf.drop(members)
+            if rows.isEmpty():
+                break
+            pairs = _pairs(rows, joined, one_in)
         else:
-            pairs = pairs.where("n >= greatest(need, m) DIV 2")
-        pairs = pairs.selectExpr("least(id, p) AS a", "greatest(id, p) AS b").distinct()
-        links = shelf.put(links.unionAll(_links(pairs, sets, num, den)).distinct())
-        shelf.drop(pending)
-        pending = shelf.put(rows.where(f"pmod(xxhash64(id), {one_in}) <> 0").select("sig", "id", "need")) if not quick else shelf.put(rows.select("sig", "id", "need"))
-        shelf.drop(rows, top)
+            pairs = _quick(rows)
+        found = _links(pairs, sets, num, den)
+        links = shelf.put(found if links is None else links.unionAll(found).distinct())
+        members = rows if one_in == 0 else shelf.put(rows.where(f"pmod(xxhash64(id), {one_in}) <> 0"))
         release(df.sparkSession)
-    if links.count() != n_links:
+    if joined is None or links.count() != n_links:
         joined = components(links, shelf)
     nodes = nodes.join(joined.withColumnRenamed("id", "k1"), "k1", "left").selectExpr("k1", "first", "coalesce(component, k1) AS component")
     nodes = shelf.put(nodes)
