@@ -238,8 +238,14 @@ def _open(members: DataFrame, joined: DataFrame | None) -> DataFrame:
 
 
 def _quick(rows: DataFrame) -> DataFrame:
-    """(a, b): each set with that pivot, one per bucket, with which it shares most buckets."""
-    top = rows.groupBy("sig").agg(F.expr("min_by(id, xxhash64(id))").alias("p"))
+    """(a, b): each set with that pivot, one per bucket, with which it shares most buckets.
+
+    A bucket's pivot is the set whose buckets are the fullest: the text that copies
+    were made from shares all its buckets, a copy none of those it changed.
+    """
+    full = rows.groupBy("sig").agg(F.count("*").alias("f"))
+    score = rows.join(full, "sig").groupBy("id").agg(F.sum("f").alias("score"))
+    top = rows.join(score, "id").groupBy("sig").agg(F.expr("max_by(id, struct(score, xxhash64(id)))").alias("p"))
     best = rows.join(top, "sig").where("id <> p").groupBy("id", "p").agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", "p"))["p"].alias("p"))
     return best.selectExpr("least(id, p) AS a", "greatest(id, p) AS b").distinct()
 
