@@ -45,6 +45,9 @@ from .components import components
 
 _N, _S, _P, _C = 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD1342543DE82EF95, 0xA24BAED4963EE407
 
+#: The need within a member's ``need`` column.
+_NEED = "((need & 4294967295) DIV 2)"
+
 
 def bands(num: int, den: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the bands up to the one after the band that holds ``size``."""
@@ -115,7 +118,7 @@ class _Signer:
         self.plans: dict[int, tuple] = {}
 
     def __call__(self, u: np.ndarray):
-        """For the set's own band and the next: signatures, and 2 * need + (0 or 1)."""
+        """For the set's own band and the next: signatures, and (slack << 32) + 2 * need + (0 or 1); slack is what the band's end exceeds the size by."""
         if len(u) > self.size:
             self.size = 2 * len(u)
             self.starts, self.ends = bands(self.num, self.den, self.size)
@@ -135,7 +138,8 @@ class _Signer:
             full = np.stack([count[:, s].sum(axis=1) > 0 for s in map(list, subsets)], axis=1)
             sig = mix(sig ^ U(band * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
             empty = int(full.size - full.sum())
-            yield (sig[full], 2 * (need - empty) + step) if need > empty else (sig.ravel(), 2 + step)
+            slack = (int(self.ends[band]) - len(u)) << 32
+            yield (sig[full], slack + 2 * (need - empty) + step) if need > empty else (sig.ravel(), slack + 2 + step)
 
 
 def _shared(df: DataFrame, size: int, seed: int, num: int, den: int, buckets: int) -> DataFrame:
@@ -163,27 +167,27 @@ def _shared(df: DataFrame, size: int, seed: int, num: int, den: int, buckets: in
                     if ok and len(u):
                         key = _key(u, _P + seed)
                         for s, need in signer(u):
-                            yield from out.add(s, np.full(len(s), key, np.int64), np.full(len(s), need, np.int32), np.zeros(len(s), np.uint8))
+                            yield from out.add(s, np.full(len(s), key, np.int64), np.full(len(s), need, np.int64), np.zeros(len(s), np.uint8))
         yield from out.flush()
 
-    schema = pa.schema([("sig", pa.int64()), ("id", pa.int64()), ("need", pa.int32())])
+    schema = pa.schema([("sig", pa.int64()), ("id", pa.int64()), ("need", pa.int64())])
 
     def reduce(table):
-        mine, done = dealt(table, (np.uint64, np.int64, np.int32, np.uint8), (np.uint64, np.int64, np.int32))
+        mine, done = dealt(table, (np.uint64, np.int64, np.int64, np.uint8), (np.uint64, np.int64, np.int64))
         if len(mine[0]):
             (sig, key, need, several), rest = settle(*mine)
             ok = several > 0
             done = [np.concatenate(x) for x in zip(done, rest, (sig[ok], key[ok], need[ok]), strict=True)]
         return pa.Table.from_arrays([pa.array(done[0].view(np.int64)), pa.array(done[1]), pa.array(done[2])], schema=schema)
 
-    return df.mapInArrow(sign, Dealer.ddl).groupBy("bucket").applyInArrow(reduce, "sig long, id long, need int")
+    return df.mapInArrow(sign, Dealer.ddl).groupBy("bucket").applyInArrow(reduce, "sig long, id long, need long")
 
 
 def _needful(members: DataFrame, shelf: Shelf) -> DataFrame:
     """(sig, id, need) of the sets that share as many signatures as they need; again while that drops a fiftieth of the rows."""
     n = members.count()
     while True:
-        enough = members.groupBy("id", "need").agg(F.count("*").alias("n")).where("n >= need DIV 2").select("id", "need")
+        enough = members.groupBy("id", "need").agg(F.count("*").alias("n")).where(f"n >= {_NEED}").select("id", "need")
         kept = members.join(enough, ["id", "need"], "left_semi")
         several = kept.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("sig")
         kept = shelf.put(kept.join(several, "sig", "left_semi").select("sig", "id", "need"))
@@ -233,7 +237,7 @@ def _open(members: DataFrame, joined: DataFrame | None) -> DataFrame:
     named = _named(members, joined)
     mixed = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
     rows = members.join(mixed, "sig", "left_semi")
-    enough = rows.groupBy("id", "need").agg(F.count("*").alias("n")).where("n >= need DIV 2").select("id", "need")
+    enough = rows.groupBy("id", "need").agg(F.count("*").alias("n")).where(f"n >= {_NEED}").select("id", "need")
     return rows.join(enough, ["id", "need"], "left_semi").select("sig", "id", "need")
 
 
@@ -250,21 +254,24 @@ def _quick(rows: DataFrame) -> DataFrame:
     return best.selectExpr("least(id, p) AS a", "greatest(id, p) AS b").distinct()
 
 
-def _pairs(rows: DataFrame, joined: DataFrame | None, one_in: int) -> DataFrame:
+def _pairs(rows: DataFrame, joined: DataFrame | None, one_in: int, num: int, den: int) -> DataFrame:
     """(a, b): pivots, one in so many sets, with the sets of other components that share enough buckets with them.
 
     Each set leaves out half as many buckets as it needs, its fullest.  In one
     order of the buckets what either of two sets leaves out of those they share is
     an end of these, so at least the other half of the larger need is still shared.
+    Needs are for sets as large as the band allows; smaller ones may differ less, so
+    they share more: what their slacks take off the allowed differences.
     """
     freq = rows.groupBy("sig").agg(F.count("*").alias("f"))
     by = Window.partitionBy("id", "need").orderBy(F.desc("f"), "sig")
-    rows = rows.join(freq, "sig").withColumn("r", F.row_number().over(by)).where("r > need DIV 4").select("sig", "id", "need")
+    rows = rows.join(freq, "sig").withColumn("r", F.row_number().over(by)).where(f"r > {_NEED} DIV 2").select("sig", "id", "need")
     rows = _named(rows, joined)
     pivot = f"pmod(xxhash64(id), {one_in}) = 0"
     top = rows.where(pivot).selectExpr("sig", "id AS p", "need AS m", "component AS c")
     met = rows.join(top, "sig").where(f"c <> component AND (id < p OR NOT {pivot})").groupBy("id", "need", "p", "m").agg(F.count("*").alias("n"))
-    return met.where("n >= greatest(need, m) DIV 2 - greatest(need, m) DIV 4").selectExpr("least(id, p) AS a", "greatest(id, p) AS b").distinct()
+    most, sure = f"greatest({_NEED}, {_NEED.replace('need', 'm')})", f"(((need >> 32) + (m >> 32)) * {den - num}) DIV {den + num}"
+    return met.where(f"n >= {most} + {sure} - {most} DIV 2").selectExpr("least(id, p) AS a", "greatest(id, p) AS b").distinct()
 
 
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -298,7 +305,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80) -> DataFram
             shelf.drop(members)
             if rows.isEmpty():
                 break
-            pairs = _pairs(rows, joined, one_in)
+            pairs = _pairs(rows, joined, one_in, num, den)
         else:
             pairs = _quick(rows)
         found = _links(pairs, sets, num, den)
