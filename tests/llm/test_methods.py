@@ -1,5 +1,8 @@
+import random
+
 import numpy as np
 
+from helixframe.llm.jaccard_join import near_duplicates
 from helixframe.llm.licenses import evaluate, postfix, scan
 from helixframe.llm.packing import best_fit, lower_bound
 from helixframe.llm.substring_dedup import COVER, PERIOD, is_cover
@@ -19,3 +22,33 @@ def test_bins_meet_the_bound():
     x = np.random.default_rng(1).integers(1, 900, 2000)
     bins, _ = best_fit(x, 2048)
     assert np.bincount(bins, x).max() <= 2048 and bins.max() + 1 >= lower_bound(x, 2048)
+
+
+def _reach(texts):
+    """Smallest id reachable by links, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    own = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if 100 * both >= 80 * (len(x) + len(sets[j]) - both) and own[i] != own[j]:
+                low, high = sorted((own[i], own[j]))
+                own = [low if o == high else o for o in own]
+    return own
+
+
+def test_near_copies_of_all_sizes(spark):
+    rng, texts = random.Random(7), []
+    for length in (6, 9, 14, 30, 61, 200):
+        base = [f"w{rng.randrange(400)}" for _ in range(length)]
+        for _ in range(40):
+            copy = list(base)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy[: len(copy) - rng.randrange(3)]))
+    rng.shuffle(texts)
+    found = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.component_id for r in sorted(found)] == _reach(texts)
