@@ -105,7 +105,7 @@ def gap_rules(s, d):
 
 
 def nw_best_hits(s, d):
-    """Global alignment of each query with its best hit's sequence, up to the alignment's longest length."""
+    """Global alignment of each query, up to the longest query's length, with its best hit's sequence."""
     q = _q(s, d).select("query", alphabet.strip(F.col("text")).alias("seq"))
     t = _db(s, d).select("row_idx", alphabet.strip(F.col("text")).alias("seq"))
     out = hits.annotate(best_hit_per_query(s, d), q, t)
