@@ -174,13 +174,20 @@ def frequency_totals(s, d):
     return kmer_doc_freq(s, d).groupBy("df").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
 
 
+def classes(found, queries, targets):
+    """(query, row_idx, class), a row for each query: A with its first candidate that passes, else B or C by its best ranked, C without a row_idx where nothing could be aligned."""
+    rows = hits.annotate(found, queries, targets).select("query", "row_idx", "shared", "full_qseq", "full_sseq")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    picked = rows.groupBy("query").applyInPandas(alignment.first_class_a(), f"query {kinds['query']}, row_idx {kinds['row_idx']}, q string, s string, class_a boolean")
+    kind = F.when(F.col("class_a"), "A").when(alignment.class_b(F.col("q"), F.col("s")), "B").otherwise("C")
+    return queries.select("query").join(picked.select("query", "row_idx", kind.alias("class")), "query", "left").na.fill("C", ["class"])
+
+
 def identity_classes(s, d):
-    """Rule classes of the best hits' alignments: A, else B, else C."""
+    """Rule classes of all queries: their candidates are aligned in order of rank until one is of class A."""
     q = _q(s, d).select("query", alphabet.strip(F.col("text")).alias("seq"))
     t = _db(s, d).select("row_idx", alphabet.strip(F.col("text")).alias("seq"))
-    out = hits.annotate(best_hit_per_query(s, d), q, t).withColumn("x", alignment.aligner()("full_qseq", "full_sseq")).where("x.q IS NOT NULL")
-    kind = F.when(F.col("x.class_a"), "A").when(alignment.class_b(F.col("x.q"), F.col("x.s")), "B").otherwise("C")
-    return out.select("query", "row_idx", kind.alias("class"))
+    return classes(search.containment_search(search.build_index(_db(s, d)), _q(s, d), top=100), q, t)
 
 
 def first_seen(s, d):
