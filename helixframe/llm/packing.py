@@ -57,21 +57,35 @@ class _Words(dict):
 def _encoder(name: str):
     """Text to ids as little-endian 32-bit bytes.
 
-    The vocabulary's rank file gives the ids that the tokenizer file gives.  Its
-    pattern always breaks before a single space between other characters, so
-    such parts are encoded once and looked up.
+    The ids are those of the tokenizer file without special tokens around them.
+    Text that holds one of the file's added tokens goes through the tokenizer
+    itself, which gives it its id; for other text the vocabulary's rank file gives
+    the same ids.  Its pattern always breaks before a single space between other
+    characters, so such parts are encoded once and looked up.
     """
     import base64
+    import json
+    import re
 
     import public_tokenizers as public
     import tiktoken
-
+    from tokenizers import Tokenizer
+
+    with open(public.path(f"{name}.json"), encoding="utf-8") as f:
+        file = f.read()
+    added = [t["content"] for t in json.loads(file).get("added_tokens", ()) if t["content"]]
+    whole = Tokenizer.from_str(file)
+    whole.no_truncation()
+    whole.no_padding()
+    special = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
     with open(public.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encode = tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     words = _Words(encode)
 
     def ids(text: str) -> bytes:
+        if special(text):
+            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.split(" ")
         if rest and first and not first[0].isspace() and not first[-1].isspace():
             try:
