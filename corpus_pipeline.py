@@ -8,6 +8,7 @@ documents.  Rows without a doc_id pass the filters.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from helixframe.llm.common import Shelf
 from helixframe.llm.exact_dedup import exact_groups
@@ -30,14 +31,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; of rows that repeat a doc_id, one."""
-    groups = Shelf(spark, "stage-exact").put(exact_groups(docs).select("doc_id", "group_size", "kept"))
-    out = _without(docs, groups.where("NOT kept"), "stage-exact")
-    again = groups.where("kept AND group_size > 1 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """One document of each group of equal texts; texts of a repeated doc_id count each for itself."""
+    shelf = Shelf(spark, "stage-exact")
+    groups = shelf.put(exact_groups(docs).where("doc_id IS NOT NULL").select("doc_id", "group_size", "kept", F.col("text_sha256").alias("_sha")))
+    gone = shelf.put(groups.where("NOT kept").select("doc_id", "_sha").distinct())
+    again = groups.where("kept AND group_size > 1").groupBy("doc_id", "_sha").count().where("count > 1").select("doc_id", "_sha")
+    sha = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), " \t\n\x0b\x0c\r", "").cast("binary"), 256)
+    out = docs.withColumn("_sha", sha).join(gone, ["doc_id", "_sha"], "left_anti")
     if again.isEmpty():
-        return out
-    once = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.join(again, "doc_id", "left_anti").select(*docs.columns).unionAll(once.select(*docs.columns))
+        return out.select(*docs.columns)
+    once = out.join(again, ["doc_id", "_sha"], "left_semi").dropDuplicates(["doc_id", "_sha"])
+    return out.join(again, ["doc_id", "_sha"], "left_anti").select(*docs.columns).unionAll(once.select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,13 +197,15 @@ def _needful(members: DataFrame, shelf: Shelf) -> DataFrame:
             return members.distinct()
 
 
-def _hashes(df: DataFrame, size: int) -> DataFrame:
+def _hashes(df: DataFrame, size: int, seed: int) -> DataFrame:
+    """(id, shingles) of rows (id, text) whose set has that key; other texts of a repeated doc_id go."""
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
 
     def hashes(batches):
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array([u.tobytes() for u in _sets(part, size)], pa.binary())], schema=schema)
+                rows = [(i, u.tobytes()) for i, u in zip(part["id"].to_pylist(), _sets(part, size), strict=True) if len(u) and _key(u, _P + seed) == i]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return df.mapInArrow(hashes, "id long, shingles binary")
 
@@ -291,7 +293,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     members = shelf.put(_needful(members, shelf))
     wanted = members.select(F.col("id").alias("k1")).distinct().join(nodes, "k1").selectExpr("first AS doc_id", "k1 AS id")
     wanted = wanted.join(keys.select("doc_id", F.col("k1").alias("id")), ["doc_id", "id"], "left_semi")
-    sets = shelf.put(_hashes(docs.join(wanted, "doc_id"), size).dropDuplicates(["id"]))
+    sets = shelf.put(_hashes(docs.join(wanted, "doc_id"), size, seed).dropDuplicates(["id"]))
 
     release(df.sparkSession)
 

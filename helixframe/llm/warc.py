@@ -38,10 +38,10 @@ def headers(pages: DataFrame) -> DataFrame:
 
 
 def revisits(heads: DataFrame, shelf: Shelf, least: int = 1000) -> DataFrame:
-    """page_id and refers_to of the pages that revisit another."""
+    """page_id, digest, size and refers_to of the pages that revisit another."""
     groups = heads.where(f"size >= {least}").groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
     groups = shelf.put(groups.where("n > 1 AND refers_to IS NOT NULL").drop("n"))
-    return heads.join(groups, ["digest", "size"]).where("NOT page_id <=> refers_to").select("page_id", "refers_to").distinct()
+    return heads.join(groups, ["digest", "size"]).where("NOT page_id <=> refers_to").select("page_id", "digest", "size", "refers_to").distinct()
 
 
 def _record_id(page: str) -> str:
@@ -51,10 +51,13 @@ def _record_id(page: str) -> str:
 
 
 def records(pages: DataFrame, refers: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One row a record, its text without the separator.  refers: page_id, refers_to."""
+    """One row a record, its text without the separator.  refers: page_id, digest, size, refers_to."""
     rows = pages.selectExpr("CAST(page_id AS LONG) AS page_id", "CAST(url AS STRING) AS url", "coalesce(html, '') AS html")
     refers = refers.withColumnRenamed("page_id", "_page")
-    rows = rows.join(refers, F.col("page_id").eqNullSafe(F.col("_page")), "left").drop("_page")
+    rows = rows.withColumn("digest", F.expr("sha1(html)")).withColumn("size", F.expr("CAST(octet_length(html) AS LONG)"))
+    refers = refers.withColumnRenamed("digest", "_digest").withColumnRenamed("size", "_size")
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")) & (F.col("size") == F.col("_size"))
+    rows = rows.join(refers, same, "left").drop("_page", "_digest", "_size")
     rows = rows.withColumn("id", F.expr("coalesce(CAST(page_id AS STRING), 'null')")).withColumn("again", F.expr("refers_to IS NOT NULL"))
     http = r"concat('HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ', octet_length(html), '\r\n\r\n', IF(again, '', html))"
     rows = rows.withColumn("block", F.expr(http))
@@ -62,7 +65,7 @@ def records(pages: DataFrame, refers: DataFrame, date: str = "2024-01-01T00:00:0
         r"'WARC/1.1\r\nWARC-Type: '", "IF(again, 'revisit', 'response')",
         r"'\r\nWARC-Record-ID: '", _record_id("id"),
         rf"'\r\nWARC-Date: {date}\r\nWARC-Target-URI: '", r"coalesce(nullif(regexp_replace(url, '[\\x00-\\x20]', '%20'), ''), concat('urn:page:', id))",
-        r"'\r\nWARC-Payload-Digest: sha1:'", "sha1(html)",
+        r"'\r\nWARC-Payload-Digest: sha1:'", "digest",
         r"'\r\nX-Page-ID: '", "id",
         f"IF(again, concat('\\r\\nWARC-Profile: {_PROFILE}\\r\\nWARC-Refers-To: ', " + _record_id("CAST(refers_to AS STRING)") + "), '')",
         r"'\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: '", "octet_length(block)", r"'\r\n\r\n'", "block",
