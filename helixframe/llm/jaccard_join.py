@@ -18,14 +18,18 @@ passage of others before any pair is made, and no pair is lost or bucket capped.
 Equal sets are one node.  Tasks aggregate before they deal signatures, and each
 bucket's sets stay rows, not pairs.  First each set is compared with the one
 pivot that shares most signatures with it; what links joins, and buckets within
-one component are done.  Then pivots of an eighth and all of the sets meet what
-other components are in their buckets, the fullest left out as far as the need
-allows; pairs that share too few of the rest are no links, the others are compared.
+one component are done.  In what is left, buckets of at most ``few`` sets make
+their pairs, those that share too few of them are no links, the others are
+compared.  The sets of larger buckets are reduced to their differences from the
+bucket's pivot, and only those meet that share rare differences (see ``_large``).
 Every pair is linked, joined otherwise, ruled out or compared: the components are
-exact.
+exact, and a group of near copies makes no more pairs than its copies have
+changes in common.
 
-Defined cases: null or blank text has an empty set and links with nothing; fewer
-words than a shingle count as one shingle; a null ``doc_id`` links with nothing
+Defined cases: an empty table gives none; null or blank text has an empty set and
+links with nothing; fewer words than a shingle count as one shingle; texts of any
+length are read whole, in parts of bounded size; pairs at the threshold exactly
+are links; a null ``doc_id`` links with nothing
 and gets a null component; rows that repeat a ``doc_id`` with other text link
 what both texts link; extra columns are left out.
 """
@@ -228,13 +232,11 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.where(near).mapInArrow(compare, "a long, b long")
 
 
-def _named(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
-    if joined is None:
-        return rows.selectExpr("sig", "id", "need", "id AS component")
+def _named(rows: DataFrame, joined: DataFrame) -> DataFrame:
     return rows.join(joined, "id", "left").selectExpr("sig", "id", "need", "coalesce(component, id) AS component")
 
 
-def _open(members: DataFrame, joined: DataFrame | None) -> DataFrame:
+def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
     """(sig, id, need) of buckets that hold several components, for sets that have as many such buckets as they need."""
     named = _named(members, joined)
     mixed = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
@@ -243,40 +245,98 @@ def _open(members: DataFrame, joined: DataFrame | None) -> DataFrame:
     return rows.join(enough, ["id", "need"], "left_semi").select("sig", "id", "need")
 
 
+def _pivots(rows: DataFrame) -> DataFrame:
+    """(sig, p): of each bucket the set whose buckets are the fullest: the text that copies were made from shares all its buckets, a copy none of those it changed."""
+    full = rows.groupBy("sig").agg(F.count("*").alias("f"))
+    score = rows.join(full, "sig").groupBy("id").agg(F.sum("f").alias("score"))
+    return rows.join(score, "id").groupBy("sig").agg(F.expr("max_by(id, struct(score, xxhash64(id)))").alias("p"))
+
+
 def _quick(rows: DataFrame) -> DataFrame:
     """(a, b): each set with that pivot, one per bucket, with which it shares most buckets.
 
-    A bucket's pivot is the set whose buckets are the fullest: the text that copies
-    were made from shares all its buckets, a copy none of those it changed.
     """
-    full = rows.groupBy("sig").agg(F.count("*").alias("f"))
-    score = rows.join(full, "sig").groupBy("id").agg(F.sum("f").alias("score"))
-    top = rows.join(score, "id").groupBy("sig").agg(F.expr("max_by(id, struct(score, xxhash64(id)))").alias("p"))
-    best = rows.join(top, "sig").where("id <> p").groupBy("id", "p").agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", "p"))["p"].alias("p"))
+    best = rows.join(_pivots(rows), "sig").where("id <> p").groupBy("id", "p").agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", "p"))["p"].alias("p"))
     return best.selectExpr("least(id, p) AS a", "greatest(id, p) AS b").distinct()
 
 
-def _pairs(rows: DataFrame, joined: DataFrame | None, one_in: int, num: int, den: int) -> DataFrame:
-    """(a, b): pivots, one in so many sets, with the sets of other components that share enough buckets with them.
-
-    Each set leaves out half as many buckets as it needs, its fullest.  In one
-    order of the buckets what either of two sets leaves out of those they share is
-    an end of these, so at least the other half of the larger need is still shared.
-    Needs are for sets as large as the band allows; smaller ones may differ less, so
-    they share more: what their slacks take off the allowed differences.
-    """
+def _ranked(rows: DataFrame) -> DataFrame:
+    """(sig, id, need, f) with the bucket's size ``f``, less the fullest buckets of each set: half as many as it needs."""
     freq = rows.groupBy("sig").agg(F.count("*").alias("f"))
     by = Window.partitionBy("id", "need").orderBy(F.desc("f"), "sig")
-    rows = rows.join(freq, "sig").withColumn("r", F.row_number().over(by)).where(f"r > {_NEED} DIV 2").select("sig", "id", "need")
-    rows = _named(rows, joined)
-    pivot = f"pmod(xxhash64(id), {one_in}) = 0"
-    top = rows.where(pivot).selectExpr("sig", "id AS p", "need AS m", "component AS c")
-    met = rows.join(top, "sig").where(f"c <> component AND (id < p OR NOT {pivot})").groupBy("id", "need", "p", "m").agg(F.count("*").alias("n"))
+    return rows.join(freq, "sig").withColumn("r", F.row_number().over(by)).where(f"r > {_NEED} DIV 2").select("sig", "id", "need", "f")
+
+
+def _small(ranked: DataFrame, joined: DataFrame, few: int, num: int, den: int) -> DataFrame:
+    """(a, b): sets of different components that share enough buckets of at most ``few`` sets, so at most few / 2 pairs a row.
+
+    In one order of the buckets what either of two sets leaves out of those they
+    share is an end of these, so at least the other half of the larger need is
+    still shared.  Needs are for sets as large as the band allows; smaller ones may
+    differ less, so they share more: what their slacks take off the allowed
+    differences.
+    """
+    rows = _named(ranked.where(F.col("f") <= few), joined)
+    others = rows.selectExpr("sig", "id AS p", "need AS m", "component AS c")
+    met = rows.join(others, "sig").where("c <> component AND id < p").groupBy("id", "need", "p", "m").agg(F.count("*").alias("n"))
     most, sure = f"greatest({_NEED}, {_NEED.replace('need', 'm')})", f"(((need >> 32) + (m >> 32)) * {den - num}) DIV {den + num}"
-    return met.where(f"n >= {most} + {sure} - {most} DIV 2").selectExpr("least(id, p) AS a", "greatest(id, p) AS b").distinct()
+    return met.where(f"n >= {most} + {sure} - {most} DIV 2").selectExpr("id AS a", "p AS b").distinct()
 
 
-def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(p, id, n, pn, d, outer, diff) of pairs (id, p): sizes, the shingles in which a set differs from its pivot, and whether it doesn't link with it."""
+    schema = pa.schema([("p", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("pn", pa.int64()), ("d", pa.int64()), ("outer", pa.bool_()), ("diff", pa.list_(pa.int64()))])
+
+    def differ(batches):
+        for batch in batches:
+            rows = []
+            for p, i, x, y in zip(batch["p"].to_pylist(), batch["id"].to_pylist(), batch["x"], batch["y"], strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                diff = np.setxor1d(x, y, assume_unique=True)
+                rows.append((p, i, len(x), len(y), len(diff), (den + num) * len(diff) > (den - num) * (len(x) + len(y)), diff.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, schema, strict=True)], schema=schema)
+
+    sets = sets.select("id", "shingles")
+    pairs = pairs.join(sets.selectExpr("id AS p", "shingles AS y"), "p").join(sets.selectExpr("id", "shingles AS x"), "id")
+    return pairs.select("p", "id", "x", "y").mapInArrow(differ, "p long, id long, n long, pn long, d long, outer boolean, diff array<long>")
+
+
+def _large(ranked: DataFrame, rows: DataFrame, joined: DataFrame, few: int, sets: DataFrame, shelf: Shelf, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) twice: links with pivots, and pairs to compare, for buckets of more than ``few`` sets.
+
+    Each set is reduced to its difference from the bucket's pivot.  Sets that link
+    with the pivot are one component, so of a pair that matters one, y, is outer.
+    Symmetric differences are d(x, y) = d(x) + d(y) - 2 |both differences|, and a
+    link allows d(x, y) <= k, so x and y must share t = (d(x) + d(y) - k) / 2 or more
+    of the shingles in which they differ from the pivot; as y is outer, that is
+    over half of d(x).  In one order, the rarest first, the first d(x) - t + 1 of x
+    and d(y) - t + 1 of y then have one in common.  What copies changed, each in its
+    own way, is rare, so they meet few others, however many share the pivot.
+    """
+    c = f"{den - num} / {den + num}D"
+    big = rows.join(ranked.where(F.col("f") > few).select("sig").distinct(), "sig", "left_semi")
+    mine = ranked.where(F.col("f") > few).select("sig", "id")
+    pairs = shelf.put(mine.join(_pivots(big), "sig").where("id <> p").select("id", "p").distinct())
+    diffs = shelf.put(_differences(pairs, sets, num, den))
+    links = diffs.where("NOT outer").selectExpr("least(id, p) AS a", "greatest(id, p) AS b")
+    live = diffs.join(diffs.where("outer").select("p").distinct(), "p", "left_semi").where("d > 0")
+    each = live.selectExpr("p", "id", "n", "d", f"d - CAST(floor((d + {c} * (pn - n)) / 2 - 1e-9) AS INT) AS short", "outer",
+                           f"CAST(floor((d + {c} * (pn + n)) / 2 + 1e-9) AS INT) + 1 AS long", "explode(diff) AS s")
+    each = shelf.put(each)
+    freq = each.groupBy("p", "s").agg(F.count("*").alias("f")).where("f > 1")
+    by = Window.partitionBy("p", "id").orderBy("f", "s")
+    # a shingle of one set alone meets nothing, but takes its place before the others
+    ranks = each.join(freq, ["p", "s"], "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("r", F.row_number().over(by) - 1)
+    ranks = ranks.where("f > 1 AND (r < short OR outer AND r < long)").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    ranks = shelf.put(ranks.select("p", "s", "id", "n", "d", "r", "short", "long", "outer", "component"))
+    x = ranks.where("r < short").selectExpr("p", "s", "id AS a", "n AS an", "d AS ad", "r AS ar", "component AS ac")
+    y = ranks.where("outer AND r < long").selectExpr("p", "s", "id AS b", "n AS bn", "d AS bd", "r AS br", "component AS bc")
+    t = f"ceil((ad + bd - {c} * (an + bn)) / 2 - 1e-9)"
+    met = x.join(y, ["p", "s"]).where(f"ac <> bc AND ar <= ad - {t} AND br <= bd - {t}")
+    return links, met.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
+
+
+def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, few: int = 16) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each document of ``df``."""
     num, den = percent, 100
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -297,25 +357,17 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80) -> DataFram
 
     release(df.sparkSession)
 
-    links, joined, n_links = None, None, 0
-    for one_in in (0, 8, 1):
-        rows = members
-        if links is not None:
-            if (n := links.count()) != n_links:
-                n_links, joined = n, components(links, shelf)
-            rows = shelf.put(_open(members, joined))
-            shelf.drop(members)
-            if rows.isEmpty():
-                break
-            pairs = _pairs(rows, joined, one_in, num, den)
-        else:
-            pairs = _quick(rows)
-        found = _links(pairs, sets, num, den)
-        links = shelf.put(found if links is None else links.unionAll(found).distinct())
-        members = rows if one_in == 0 else shelf.put(rows.where(f"pmod(xxhash64(id), {one_in}) <> 0"))
-        release(df.sparkSession)
-    if joined is None or links.count() != n_links:
-        joined = components(links, shelf)
+    links = shelf.put(_links(_quick(members), sets, num, den))
+    joined = components(links, shelf)
+    rows = shelf.put(_open(members, joined))
+    shelf.drop(members, links)
+    if not rows.isEmpty():
+        ranked = shelf.put(_ranked(rows))
+        near, pairs = _large(ranked, rows, joined, few, sets, shelf, num, den)
+        pairs = shelf.put(_small(ranked, joined, few, num, den).unionAll(pairs).distinct())
+        found = _links(pairs, sets, num, den).unionAll(near).unionAll(joined.selectExpr("component AS a", "id AS b"))
+        joined = components(found, shelf)
+    release(df.sparkSession)
     nodes = nodes.join(joined.withColumnRenamed("id", "k1"), "k1", "left").selectExpr("k1", "first", "coalesce(component, k1) AS component")
     nodes = shelf.put(nodes)
     least = shelf.put(nodes.groupBy("component").agg(F.min("first").alias("component_id")))

@@ -52,3 +52,24 @@ def test_near_copies_of_all_sizes(spark):
     rng.shuffle(texts)
     found = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert [r.component_id for r in sorted(found)] == _reach(texts)
+
+
+def test_large_buckets_by_differences(spark):
+    """Near copies that meet in buckets of over two sets only through their differences, some linked to the text they were made from and some not."""
+    rng, texts = random.Random(11), []
+    for length, edits in ((40, 2), (90, 4), (120, 9)):
+        base = [f"b{rng.randrange(300)}" for _ in range(length)]
+        for k in range(90):
+            copy = list(base)
+            for _ in range(rng.randrange(edits + 1)):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randrange(2)] = rng.choice(([], [f"x{rng.randrange(8)}"], [f"y{rng.randrange(10**6)}"]))
+            texts.append(" ".join(copy if k % 7 else copy[: -rng.randrange(1, 9)]))
+    rng.shuffle(texts)
+    want = _reach(texts)
+    rows = list(enumerate(texts))
+    for order in (rows, rows[::-1]):
+        for few in (2, 16):
+            found = near_duplicates(spark.createDataFrame(order, "doc_id long, text string"), few=few).collect()
+            assert [r.component_id for r in sorted(found)] == want
+    assert len(set(want)) > 20
