@@ -261,9 +261,9 @@ def _quick(rows: DataFrame) -> DataFrame:
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    """(sig, id, need, f) with the bucket's size ``f``, less the fullest buckets of each set: half as many as it needs."""
+    """(sig, id, need, f) with the bucket's size ``f``, less the smallest buckets of each set: half as many as it needs."""
     freq = rows.groupBy("sig").agg(F.count("*").alias("f"))
-    by = Window.partitionBy("id", "need").orderBy(F.desc("f"), "sig")
+    by = Window.partitionBy("id", "need").orderBy("f", "sig")
     return rows.join(freq, "sig").withColumn("r", F.row_number().over(by)).where(f"r > {_NEED} DIV 2").select("sig", "id", "need", "f")
 
 
@@ -316,7 +316,11 @@ def _large(ranked: DataFrame, rows: DataFrame, joined: DataFrame, few: int, sets
     c = f"{den - num} / {den + num}D"
     big = rows.join(ranked.where(F.col("f") > few).select("sig").distinct(), "sig", "left_semi")
     mine = ranked.where(F.col("f") > few).select("sig", "id")
-    pairs = shelf.put(mine.join(_pivots(big), "sig").where("id <> p").select("id", "p").distinct())
+    pairs = shelf.put(mine.join(_pivots(big), "sig").select("id", "p").distinct())
+    sized = pairs.join(pairs.groupBy("p").agg(F.count("*").alias("g")), "p")
+    sized = pairs.join(sized.groupBy("id").agg(F.expr("max_by(p, struct(g, p))").alias("main")), "id")
+    mixed = sized.groupBy("p").agg(F.min("main").alias("lo"), F.max("main").alias("hi"))
+    pairs = shelf.put(sized.join(mixed, "p").where("id <> p AND (p = main OR lo < hi)").select("id", "p"))
     diffs = shelf.put(_differences(pairs, sets, num, den))
     links = diffs.where("NOT outer").selectExpr("least(id, p) AS a", "greatest(id, p) AS b")
     live = diffs.join(diffs.where("outer").select("p").distinct(), "p", "left_semi").where("d > 0")
