@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
+import inspect
 import math
 import os
 import tempfile
@@ -75,11 +78,54 @@ def input_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 1 << 30
 
 
-def n_buckets(df: DataFrame, each: int = 2 << 20, least: int = 16, most: int = 1 << 16) -> int:
+def n_buckets(df: DataFrame, each: int = 2 << 20, least: int = 16, most: int = 1 << 20) -> int:
     """A power of two so that a bucket holds about what ``each`` bytes of input give rise to."""
     return 1 << math.ceil(math.log2(min(most, max(least, input_bytes(df) / each))))
 
 
+# ---------------------------------------------------------------- workers' memory
+
+_trimmed = 0.0
+
+
+def trim(every: float = 1.0) -> None:
+    """Give memory that Arrow's pool and the C library hold free back to the system, once a second at most."""
+    global _trimmed
+    if time.monotonic() - _trimmed >= every:
+        _trimmed = time.monotonic()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(f):
+    """A function for mapInArrow or applyInArrow whose reused worker doesn't keep what it has freed."""
+    if inspect.isgeneratorfunction(f):
+
+        def batches(it):
+            try:
+                yield from f(it)
+            finally:
+                trim(0)
+
+        return batches
+    if len(inspect.signature(f).parameters) == 1:
+
+        def group(table):
+            out = f(table)
+            trim()
+            return out
+
+        return group
+
+    def groups(left, right):
+        out = f(left, right)
+        trim()
+        return out
+
+    return groups
+
+
 # ---------------------------------------------------------------- packed arrays
 
 

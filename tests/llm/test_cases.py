@@ -127,12 +127,13 @@ def test_licenses(docs, none):
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (2, 1, 0), (7, 0, 1), (None, 1, None), (15, 1, 0)], "doc_id long, quality int, toxic int")
     out = perplexities(docs, labels).collect()
-    assert len(out) == len(TEXTS) and all(r.kept for r in out if not r.n_bytes)
-    assert perplexities(none, labels).count() == 0
-    assert all(r.kept for r in perplexities(docs, labels.where("false")).collect())
-    joined = perplexities(docs, labels, most=0).collect()
-    near = lambda rows: sorted(f"{r.doc_id} {r.n_bytes} {r.perplexity and round(r.perplexity, 6)} {r.kept}" for r in rows)
-    assert near(out) == near(joined)
+    assert len(out) == len(TEXTS) and all(r.kept and r.perplexity is None for r in out if not r.n_words)
+    assert perplexities(none, labels).count() == 0 and perplexities(none, labels.where("false")).count() == 0
+    assert all(r.kept and r.perplexity is None for r in perplexities(docs, labels.where("false")).collect())
+    near = lambda rows: sorted(f"{r.doc_id} {r.lang} {r.n_words} {r.perplexity and round(r.perplexity, 5)} {r.kept}" for r in rows)
+    assert near(out) == near(perplexities(docs.repartition(5), labels).collect()) == near(perplexities(docs, labels, head=1, bloom=12).collect())
+    few = perplexities(docs, labels, languages=1).collect()
+    assert len(few) == len(TEXTS) and any(r.perplexity for r in few)
 
 
 def test_pages(spark):
