@@ -35,3 +35,19 @@ def db_type(c: Column) -> Column:
 
 def structure_name(acc: Column) -> Column:
     return F.concat(acc, F.lit("-model_v"), model_version(acc).cast("string"), F.lit(".pdb"))
+
+
+def db_label(path: Column) -> Column:
+    """A database's label by its path: two known families, else the file's name without its last extension."""
+    low, name = F.lower(path), F.regexp_extract(path, r"([^/]*)$", 1)
+    return F.when(low.contains("esm"), "ESM Atlas").when(low.contains("afdb") | low.contains("alphafold"), "AFDB").otherwise(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""))
+
+
+def stem(path: Column) -> Column:
+    """A file's name up to its first dot."""
+    return F.regexp_extract(path, r"([^/.]+)[^/]*$", 1)
+
+
+def file_url(base: str, acc: Column, kind: str) -> Column:
+    """Where a model's structure (``model``, pdb) or error matrix (``predicted_aligned_error``, json) is found."""
+    return F.concat(F.lit(base.rstrip("/") + "/"), acc, F.lit(f"-{kind}_v"), model_version(acc).cast("string"), F.lit(".pdb" if kind == "model" else ".json"))

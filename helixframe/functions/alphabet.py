@@ -15,6 +15,11 @@ SCHEMES = {
     "dayhoff1978_6": ("ILMV", "AGPST", "FWY", "DENQ", "HKR", "C"),
 }
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
+# fixed values: three-letter names of residues
+THREE = {
+    "A": "ALA", "C": "CYS", "D": "ASP", "E": "GLU", "F": "PHE", "G": "GLY", "H": "HIS", "I": "ILE", "K": "LYS", "L": "LEU",
+    "M": "MET", "N": "ASN", "P": "PRO", "Q": "GLN", "R": "ARG", "S": "SER", "T": "THR", "V": "VAL", "W": "TRP", "Y": "TYR",
+}
 
 
 def strip(text: Column) -> Column:
@@ -27,6 +32,17 @@ def recode(seq: Column, scheme: str) -> Column:
     return F.translate(seq, "".join(classes), "".join(str(i) * len(c) for i, c in enumerate(classes)))
 
 
+def three_letters(seq: Column, default: str = "UNK") -> Column:
+    """Names of a sequence's residues; other letters get the default."""
+    names = F.create_map(*(F.lit(x) for pair in THREE.items() for x in pair))
+    return F.transform(F.split(seq, ""), lambda c: F.coalesce(names[c], F.lit(default)))
+
+
+def one_letter(name: Column, default: str = "X") -> Column:
+    names = F.create_map(*(F.lit(x) for a, b in THREE.items() for x in (b, a)))
+    return F.coalesce(names[name], F.lit(default))
+
+
 def _table(scheme: str) -> np.ndarray:
     t = np.full(256, 255, np.uint8)
     for i, letters in enumerate(SCHEMES[scheme]):
@@ -38,7 +54,7 @@ def _table(scheme: str) -> np.ndarray:
 def kmer_codes(raw: np.ndarray, table: np.ndarray, k: int, base: int, segmented: bool) -> np.ndarray:
     """Sorted distinct codes (base ``base``, first letter highest) of a text's k-mers.
 
-    Letters outside the alphabet end a segment, or are skipped when not ``segmented``.
+    What is outside the alphabet ends a segment, which no k-mer spans, or is skipped when not ``segmented``.
     """
     d = table[raw]
     if not segmented:
@@ -54,7 +70,7 @@ def kmer_codes(raw: np.ndarray, table: np.ndarray, k: int, base: int, segmented:
     return np.unique(code[ok])
 
 
-def distinct_kmers(df: DataFrame, key: str, text: str, k: int = 9, scheme: str = "murphy2000_5", segmented: bool = False, first: int | None = None) -> DataFrame:
+def distinct_kmers(df: DataFrame, key: str, text: str, k: int = 9, scheme: str = "murphy2000_5", segmented: bool = True, first: int | None = None) -> DataFrame:
     """(key, codes): each row's distinct k-mer codes in order, the ``first`` smallest if given.
 
     Distinctness needs no shuffle: it is settled in the row.

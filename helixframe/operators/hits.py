@@ -65,3 +65,40 @@ def mask_letter(seq: Column, old: str = "U", new: str = "C") -> Column:
     letters = F.split(seq, "")
     at = F.filter(F.transform(letters, lambda c, i: F.when(c == old, i)), lambda i: i.isNotNull())
     return F.struct(F.translate(seq, old, new).alias("masked"), at.alias("at"))
+
+
+def restore_letter(masked: Column, at: Column, old: str = "U") -> Column:
+    """The sequence before ``mask_letter``: the letter again where it stood."""
+    return F.array_join(F.transform(F.split(masked, ""), lambda c, i: F.when(F.array_contains(at, i), old).otherwise(c)), "")
+
+
+def selected_queries(best: DataFrame) -> DataFrame:
+    """(row_idx, n, queries): of each target the queries whose best hit it is."""
+    rows = best.groupBy("row_idx").agg(F.sort_array(F.collect_list("query")).alias("queries"))
+    return rows.select("row_idx", F.size("queries").cast("long").alias("n"), "queries")
+
+
+def at_least(hits: DataFrame, field: str, bound: float) -> DataFrame:
+    """Rows that reach the bound, all rows where the table lacks the field."""
+    return hits.where(F.col(field) >= bound) if field in hits.columns else hits
+
+
+def local_gates(hits: DataFrame, containment: float = 0.08, identity: float = 0.40, coverage: float = 0.70) -> DataFrame:
+    """Hits (containment, identity, coverage) good enough to lend a template."""
+    return hits.where((F.col("containment") >= containment) & (F.col("identity") >= identity) & (F.col("coverage") >= coverage))
+
+
+def uncovered(ids: DataFrame, key: str, *done: DataFrame) -> DataFrame:
+    """Ids that no table of results covers with an actual output (``path``)."""
+    have = None
+    for d in done:
+        rows = d.where("path IS NOT NULL AND path <> ''").select(key)
+        have = rows if have is None else have.unionAll(rows)
+    return ids if have is None else ids.join(have.distinct(), key, "left_anti")
+
+
+def first_success(rows: DataFrame, key: str, rank: str, ok: Column) -> DataFrame:
+    """Of each key the first attempt in rank order that succeeds, with its status; without one, the last attempt's."""
+    tried = F.struct(F.when(ok, 0).otherwise(1).alias("failed"), F.when(ok, F.col(rank)).otherwise(-F.col(rank)).alias("at"))
+    out = rows.groupBy(key).agg(F.min(tried).alias("x"))
+    return out.select(key, F.abs("x.at").alias(rank), F.when(F.col("x.failed") == 0, "ok").otherwise("failed").alias("status"))

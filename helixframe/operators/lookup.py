@@ -6,10 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def fragment_rows(df: DataFrame, key: str, fragment: str, order: str) -> DataFrame:
-    """(protein_hash, fragment_id, frag_row): each key's row number within its fragment, from 0."""
-    row = F.row_number().over(Window.partitionBy(fragment).orderBy(order)) - 1
-    return df.select(F.col(key).alias("protein_hash"), F.col(fragment).alias("fragment_id"), row.alias("frag_row"))
+def fragment_rows(df: DataFrame, key: str, fragment: str, order: str, pieces: int = 64) -> DataFrame:
+    """(protein_hash, fragment_id, frag_row): each key's row number within its fragment, from 0.
+
+    Rows are numbered within pieces of the order's range and moved by what the
+    fragment has before the piece, so a fragment of any size is many tasks' work.
+    """
+    cuts = df.agg(F.percentile_approx(order, [k / pieces for k in range(1, pieces)], 10_000)).first()[0] or []
+    piece = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    rows = df.select(F.col(key).alias("protein_hash"), F.col(fragment).alias("fragment_id"), F.col(order).alias("at"), piece.alias("piece"))
+    n = rows.groupBy("fragment_id", "piece").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("fragment_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    first = n.select(F.col("fragment_id").alias("f"), F.col("piece").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = F.row_number().over(Window.partitionBy("fragment_id", "piece").orderBy("at")) - 1
+    rows = rows.withColumn("within", within).join(first, F.col("fragment_id").eqNullSafe(F.col("f")) & (F.col("piece") == F.col("p")))
+    return rows.select("protein_hash", "fragment_id", (F.col("first") + F.col("within")).cast("int").alias("frag_row"))
 
 
 def with_prefix(df: DataFrame, key: str = "protein_hash") -> DataFrame:

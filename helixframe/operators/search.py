@@ -35,7 +35,7 @@ def sketches(kmers: DataFrame, keep: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("pos", rank).where(F.col("pos") <= n).select("row_idx", "pos", "h")
 
 
-def build_index(sequences: DataFrame, k: int = 9, n: int = 100, max_freq: float = 10, scheme: str = "murphy2000_5", segmented: bool = False) -> DataFrame:
+def build_index(sequences: DataFrame, k: int = 9, n: int = 100, max_freq: float = 10, scheme: str = "murphy2000_5", segmented: bool = True) -> DataFrame:
     """The postings (h, row_idx).
 
     One grouped pass gives each k-mer's frequency; the keep list joins back on
@@ -47,11 +47,11 @@ def build_index(sequences: DataFrame, k: int = 9, n: int = 100, max_freq: float
     return sketches(kmers, keep, n).select("h", "row_idx")
 
 
-def query_sketches(queries: DataFrame, k: int = 9, n: int = 100, scheme: str = "murphy2000_5", segmented: bool = False) -> DataFrame:
+def query_sketches(queries: DataFrame, k: int = 9, n: int = 100, scheme: str = "murphy2000_5", segmented: bool = True) -> DataFrame:
     return distinct_kmers(queries, "query", "text", k, scheme, segmented, n).select("query", F.explode("codes").alias("h"))
 
 
-def containment_search(postings: DataFrame, queries: DataFrame, k: int = 9, n: int = 100, top: int = 5, min_shared: int = 2, scheme: str = "murphy2000_5", segmented: bool = False) -> DataFrame:
+def containment_search(postings: DataFrame, queries: DataFrame, k: int = 9, n: int = 100, top: int = 5, min_shared: int = 2, scheme: str = "murphy2000_5", segmented: bool = True) -> DataFrame:
     """(query, row_idx, shared, containment): of each query its top targets by (shared, row_idx), both descending."""
     hits = query_sketches(queries, k, n, scheme, segmented).join(postings, "h").groupBy("query", "row_idx").agg(F.count("*").alias("shared"))
     hits = hits.where(F.col("shared") >= min_shared)

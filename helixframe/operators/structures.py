@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def _chain():
     return Window.partitionBy("ref_id").orderBy("pos")
 
 
+def _back():
+    """The chain from its end: what stands ahead comes first, so that running frames serve both ways."""
+    return Window.partitionBy("ref_id").orderBy(F.desc("pos"))
 
 def step_length() -> Column:
     """Distance from the position before."""
@@ -35,17 +39,17 @@ def islands(rows: DataFrame, flag: str) -> DataFrame:
 
 def uncovered_segments(rows: DataFrame, covered: str, least: int) -> DataFrame:
     """Runs outside of all domains of at least ``least`` positions, with the covered positions beside them."""
-    before, after = _chain().rowsBetween(Window.unboundedPreceding, -1), _chain().rowsBetween(1, Window.unboundedFollowing)
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (_chain(), _back()))
     inside = F.when(F.col(covered), F.col("pos"))
-    r = rows.withColumn("prev", F.last(inside, True).over(before)).withColumn("next", F.first(inside, True).over(after)).where(~F.col(covered))
+    r = rows.withColumn("prev", F.last(inside, True).over(before)).withColumn("next", F.last(inside, True).over(after)).where(~F.col(covered))
     return r.groupBy("ref_id", "prev", "next").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def interpolate(points: DataFrame, known: str, column: str, step: float = 3.8) -> DataFrame:
     """``column`` at unknown positions on the line between its neighbours; beyond the last one, ``step`` a position."""
-    before, after = _chain().rowsBetween(Window.unboundedPreceding, 0), _chain().rowsBetween(0, Window.unboundedFollowing)
+    before, after = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (_chain(), _back()))
     p, v = F.when(F.col(known), F.col("pos")), F.when(F.col(known), F.col(column))
-    r = points.withColumn("p0", F.last(p, True).over(before)).withColumn("p1", F.first(p, True).over(after)).withColumn("v0", F.last(v, True).over(before)).withColumn("v1", F.first(v, True).over(after))
+    r = points.withColumn("p0", F.last(p, True).over(before)).withColumn("p1", F.last(p, True).over(after)).withColumn("v0", F.last(v, True).over(before)).withColumn("v1", F.last(v, True).over(after))
     between = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("pos") - F.col("p0")) / (F.col("p1") - F.col("p0"))
     value = F.when(F.col("p0") == F.col("p1"), F.col("v0")).when(F.col("p0").isNotNull() & F.col("p1").isNotNull(), between)
     value = value.when(F.col("p0").isNotNull(), F.col("v0") + step * (F.col("pos") - F.col("p0"))).when(F.col("p1").isNotNull(), F.col("v1") - step * (F.col("p1") - F.col("pos")))

@@ -52,7 +52,7 @@ def sketch_search_topk(s, d):
 
 
 def sketch_search_segmented(s, d):
-    how = {"k": 5, "n": 100, "segmented": True}
+    how = {"k": 5, "n": 100}
     return search.containment_search(search.build_index(_db(s, d), max_freq=50, **how), _q(s, d), **how)
 
 
@@ -214,21 +214,32 @@ def _translate(seq: str, scheme: str) -> str:
 
 
 _SEQ = f"upper(regexp_replace(coalesce(text, ''), '[^{alphabet.RESIDUES}{alphabet.RESIDUES.lower()}]', '', 'g'))"
-_CODE = " + ".join(f"substr(w, {j + 1}, 1)::BIGINT * {5 ** (8 - j)}" for j in range(9))
+def _kmers(table: str, key: str, name: str, k: int = 9) -> str:
+    """Distinct k-mers of each text's runs of residue letters."""
+    classes = alphabet.SCHEMES["murphy2000_5"]
+    others = "".join(c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c not in alphabet.RESIDUES)
+    letters, digits = "".join(classes) + others, "".join(str(i) * len(x) for i, x in enumerate(classes)) + "*" * len(others)
+    r = f"translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '*', 'g')), '{letters}', '{digits}')"
+    runs = f"SELECT {key} AS id, unnest(string_split_regex({r}, '\\*+')) AS r FROM {table}"
+    w = f"SELECT DISTINCT id, substr(r, i::INT, {k}) AS w FROM (SELECT id, r, unnest(range(1, length(r) - {k - 2})) AS i FROM ({runs}) WHERE length(r) >= {k})"
+    code = " + ".join(f"substr(w, {j + 1}, 1)::BIGINT * {5 ** (k - 1 - j)}" for j in range(k))
+    return f"{name} AS MATERIALIZED (SELECT id, {code} AS h FROM ({w}))"
 
 
-def _kmers(table: str, key: str, name: str) -> str:
-    r = f"SELECT {key} AS id, {_translate(_SEQ, 'murphy2000_5')} AS r FROM {table}"
-    w = f"SELECT DISTINCT id, substr(r, i::INT, 9) AS w FROM (SELECT id, r, unnest(range(1, length(r) - 7)) AS i FROM ({r}))"
-    return f"{name} AS MATERIALIZED (SELECT id, {_CODE} AS h FROM ({w}))"
+def _sketch(k: int, most: int) -> str:
+    kept = f"s AS (SELECT id, h, row_number() OVER (PARTITION BY id ORDER BY h) AS pos FROM k JOIN f USING (h) WHERE df <= {most})"
+    return f"WITH {_kmers('documents', 'doc_id', 'k', k)}, f AS (SELECT h, count(*) AS df FROM k GROUP BY h), {kept}, p AS (SELECT id, pos, h FROM s WHERE pos <= 100)"
 
 
-_DF = f"WITH {_kmers('documents', 'doc_id', 'k')}, f AS (SELECT h, count(*) AS df FROM k GROUP BY h)"
-_SKETCH = _DF + ", s AS (SELECT id, h, row_number() OVER (PARTITION BY id ORDER BY h) AS pos FROM k JOIN f USING (h) WHERE df <= 10), p AS (SELECT id, pos, h FROM s WHERE pos <= 100)"
-_HITS = _SKETCH + f""", {_kmers('benchmark', 'item_id', 'qk')}, q AS (SELECT id, h FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY h) AS n FROM qk) WHERE n <= 100),
+def _hits(k: int = 9, most: int = 10) -> str:
+    return _sketch(k, most) + f""", {_kmers('benchmark', 'item_id', 'qk', k)}, q AS (SELECT id, h FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY h) AS n FROM qk) WHERE n <= 100),
 c AS (SELECT q.id AS query, p.id AS row_idx, count(*) AS shared FROM q JOIN p USING (h) GROUP BY 1, 2 HAVING count(*) >= 2),
 t AS (SELECT query, row_idx, shared, shared / 100.0::DOUBLE AS containment FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, row_idx DESC) AS n FROM c) WHERE n <= 5)"""
 
+
+_DF = f"WITH {_kmers('documents', 'doc_id', 'k')}, f AS (SELECT h, count(*) AS df FROM k GROUP BY h)"
+_SKETCH, _HITS = _sketch(9, 10), _hits()
+
 _POINTS = "WITH p AS (SELECT vec_id AS ref_id, pos, " + ", ".join(f"embedding[pos * 3 + {k + 1}]::DOUBLE * 10 AS {c}" for k, c in enumerate("xyz")) + " FROM (SELECT *, unnest(range(0, 21)) AS pos FROM embeddings))"
 _BROKEN = _POINTS + """, s AS (SELECT ref_id, pos, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w) + (z - lag(z) OVER w) * (z - lag(z) OVER w)) AS step FROM p WINDOW w AS (PARTITION BY ref_id ORDER BY pos)),
 b AS (SELECT ref_id, pos, least(coalesce(sum(CASE WHEN step > 1.5 THEN 1 ELSE 0 END) OVER (PARTITION BY ref_id ORDER BY pos), 0), 25)::BIGINT AS segment FROM s)"""
@@ -241,12 +252,15 @@ SQL = {
     "bottom_n_sketch": _SKETCH + " SELECT id AS row_idx, pos, h FROM p",
     "posting_lists": _SKETCH + " SELECT h, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS targets FROM p GROUP BY h",
     "sketch_search_topk": _HITS + " SELECT * FROM t",
+    "sketch_search_segmented": _hits(5, 50) + " SELECT * FROM t",
     "annotate_hits": _HITS + f" SELECT query, row_idx, shared, (SELECT length({_SEQ}) FROM benchmark WHERE item_id = query)::BIGINT AS qlen, (SELECT length({_SEQ}) FROM documents WHERE doc_id = row_idx)::BIGINT AS slen, coalesce(quality, 0)::BIGINT AS group_size FROM t LEFT JOIN labels ON doc_id = row_idx",
     "best_hit_per_query": _HITS + " SELECT query, max(row_idx) AS row_idx, max(shared) AS shared FROM t JOIN (SELECT query, max(shared) AS shared FROM t GROUP BY query) USING (query, shared) GROUP BY query",
     "cascade_anti_join": _HITS + " SELECT item_id AS query FROM benchmark WHERE item_id NOT IN (SELECT query FROM t WHERE shared >= 50)",
     "merge_hits_union_by_name": "SELECT doc_id, CASE WHEN source = 'src0' THEN n_chars END AS score, CASE WHEN source <> 'src0' THEN lang END AS lang FROM documents WHERE source IS NOT NULL",
     "hits_filter_tolerant": "SELECT event_id FROM events WHERE coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE) >= 50, true)",
     "prefix_partition_lookup": "SELECT protein_hash, fragment_id, frag_row FROM (SELECT doc_id, md5(doc_id::VARCHAR) AS protein_hash, source AS fragment_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS frag_row FROM documents) WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
+    "gap_rules": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(g, '^([^-]{1,3})(-{3,})', '\2\1'), '(-{3,})([^-]{1,3})$', '\2\1')) AS fixed, len(r)::BIGINT AS n_runs,
+coalesce(list_max(list_transform(r, lambda x: length(x))), 0)::BIGINT AS longest FROM (SELECT doc_id, g, regexp_extract_all(g, '-+') AS r FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '-', 'g') AS g FROM documents))""",
     "parse_accession": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'AF-A' || doc_id || '-F1' WHEN 1 THEN 'AF-' || lpad(doc_id::VARCHAR, 16, '0') END AS acc, CASE doc_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 1 END::BIGINT AS version FROM documents",
 } | {
     "chain_breaks": _BROKEN + " SELECT ref_id, pos, segment FROM b",

@@ -60,3 +60,125 @@ def pdb_atoms(lines: DataFrame) -> DataFrame:
 def valid_pdb(content: str) -> Column:
     """Whether a text begins like a structure file."""
     return F.rtrim(F.substring(content, 1, 6)).isin("HEADER", "REMARK", "ATOM", "MODEL")
+
+
+def first_existing(df: DataFrame, *names: str) -> str:
+    """The first of several column names that a table has."""
+    for name in names:
+        if name in df.columns:
+            return name
+    raise ValueError(f"none of {', '.join(names)} among {', '.join(df.columns)}")
+
+
+def read_first(spark: SparkSession, *paths: str) -> DataFrame:
+    """The first of several Parquet tables that exists."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(conf).exists(p):
+            return spark.read.parquet(path)
+    raise FileNotFoundError(", ".join(paths))
+
+
+def count_fasta_or_zero(spark: SparkSession, path: str) -> int:
+    """As ``count_fasta``; 0 where the file can't be read."""
+    from pyspark.errors import PySparkException
+
+    try:
+        return count_fasta(spark, path)
+    except PySparkException:
+        return 0
+
+
+def valid_hits(spark: SparkSession, path: str, columns: int = 8) -> bool:
+    """Whether a hits file has a first line, with that many tab-separated fields."""
+    first = spark.read.text(path).limit(1).collect()
+    return bool(first) and len(first[0].value.split("\t")) == columns
+
+
+def discover(spark: SparkSession, folder: str, suffix: str) -> list[str]:
+    """Paths in a folder that end in ``suffix``, in order."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(folder)
+    found = p.getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(p, f"*{suffix}")) or []
+    return sorted(f.getPath().toString() for f in found)
+
+
+def filter_hits(rows: DataFrame, pident: float = 0.0, qcov: float = 0.0, db: str = "") -> DataFrame:
+    """Hits with their numbers cast where they are some, those within the bounds, labelled with a database."""
+    from ..operators.hits import filter_tolerant
+
+    numbers = {c: F.col(c).try_cast("double") for c in ("pident", "qcovhsp", "bitscore", "evalue", "length") if c in rows.columns}
+    return filter_tolerant(rows, pident=pident, qcovhsp=qcov).withColumns(numbers).withColumn("db", F.lit(db))
+
+
+def pae_arrays(spark: SparkSession, path: str, step: int = 1) -> DataFrame:
+    """(ref_id, i, j, pae) of square matrices in .npy files, the file's stem as id, every ``step``-th row and column; a file is read in one task."""
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+
+    schema = pa.schema([("ref_id", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("pae", pa.float64())])
+
+    def cells(batches):
+        for batch in batches:
+            for name, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                m = np.load(io.BytesIO(content), allow_pickle=False)[::step, ::step].astype(float)
+                i, j = np.indices(m.shape, np.int32)
+                stem = name.rsplit("/", 1)[-1].removesuffix(".npy")
+                yield pa.RecordBatch.from_arrays([pa.array([stem] * m.size), pa.array(i.ravel()), pa.array(j.ravel()), pa.array(m.ravel())], schema=schema)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
+    return files.select("path", "content").mapInArrow(cells, "ref_id string, i int, j int, pae double")
+
+
+def read_pdb(spark: SparkSession, path: str) -> DataFrame:
+    """(ref_id, value): lines of the first model of structure files, plain or gzipped, in the order of the file."""
+    text = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(?:\.pdb)?(?:\.gz)?$", 1).alias("ref_id"), "value")
+    first = F.get(F.split("value", r"(?m)^ENDMDL"), F.lit(0))
+    return text.select("ref_id", F.posexplode(F.split(first, r"\r?\n")).alias("line", "value")).where("value <> ''").select("ref_id", "value")
+
+
+def polymer(atoms: DataFrame, chain: str = "A") -> DataFrame:
+    """Atoms of one chain's residues."""
+    return atoms.where((F.col("chain") == chain) & F.col("res").isNotNull())
+
+
+def backbone(atoms: DataFrame) -> DataFrame:
+    """(ref_id, chain, res, resname, atoms): backbone atoms as a map from name to point, for residues that have a CA, all chains."""
+    rows = atoms.where(F.col("atom").isin("N", "CA", "C", "O", "CB"))
+    point = F.struct("atom", F.struct("x", "y", "z"))
+    out = rows.dropDuplicates(["ref_id", "chain", "res", "atom"]).groupBy("ref_id", "chain", "res", "resname").agg(F.map_from_entries(F.collect_list(point)).alias("atoms"))
+    return out.where(F.map_contains_key("atoms", F.lit("CA")))
+
+
+def pdb_lines(points: DataFrame) -> DataFrame:
+    """(ref_id, pos, value): fixed-width CA records of points (ref_id, pos, resname, x, y, z, plddt)."""
+    form = "ATOM  %5d  CA  %3s A%4d    %8.3f%8.3f%8.3f  1.00%6.2f           C"
+    number = (F.col("pos") + 1).cast("int")
+    return points.select("ref_id", "pos", F.format_string(form, number, "resname", number, "x", "y", "z", "plddt").alias("value"))
+
+
+def write_pdb(points: DataFrame, path: str) -> None:
+    """A structure file for each reference: its records in order, and an end line; a structure is one row of text."""
+    lines = pdb_lines(points).groupBy("ref_id").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("rows"))
+    text = F.concat(F.array_join(F.transform("rows", lambda r: r["value"]), "\n"), F.lit("\nEND"))
+    lines.select(F.col("ref_id").cast("string").alias("ref_id"), text.alias("value")).write.partitionBy("ref_id").text(path)
+
+
+def append_rows(df: DataFrame, path: str, key: str) -> None:
+    """Rows whose key the table at ``path`` lacks, appended; run again, it adds nothing."""
+    try:
+        have = df.sparkSession.read.parquet(path).select(key)
+    except Exception as e:  # a table that isn't there yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    else:
+        df = df.join(have, key, "left_anti")
+    df.write.mode("append").parquet(path)
+
+
+def create_index_table(df: DataFrame, name: str, key: str, buckets: int = 16) -> None:
+    """A table in the warehouse, bucketed and sorted by its key: what an index is for."""
+    df.write.bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(name)

@@ -42,12 +42,12 @@ def test_atoms(spark):
 
 
 def test_rules(spark):
-    rows = spark.createDataFrame([("MKLVF", "MKLVF"), ("MK-LVF", "MKNLVF"), ("--MKLVF", "ABMKLVF")], "q string, s string")
-    assert [r[0] for r in rows.select(alignment.class_b(F.col("q"), F.col("s"))).collect()] == [False, True, False]
-    rows = spark.createDataFrame([("A----TGC",), ("ATGGTT---C",), ("A--TGCCG",)], "s string")
-    assert [r[0] for r in rows.select(alignment.fix_hanging(F.col("s"))).collect()] == ["----ATGC", "ATGGTTC---", "A--TGCCG"]
-    rows = spark.createDataFrame([("sp:AF-A0A000-F1",), ("AF-A0A000-F1-model_v4",), ("unknown",)], "s string")
-    assert [r[0] for r in rows.select(accession.accession(F.col("s"))).collect()] == ["AF-A0A000-F1", "AF-A0A000-F1", None]
+    rows = spark.createDataFrame([("WWHHP", "WWHHP"), ("WW-HHP", "WWYHHP"), ("---WWHHP", "GAVWWHHP"), ("W" + "-Y" * 9, "WH" * 9 + "W")], "q string, s string")
+    assert [r[0] for r in rows.select(alignment.class_b(F.col("q"), F.col("s"))).collect()] == [False, True, False, False]
+    rows = spark.createDataFrame([("WW---HHHP",), ("PHHHHH----W",), ("WW--HHHP",)], "s string")
+    assert [r[0] for r in rows.select(alignment.fix_hanging(F.col("s"))).collect()] == ["---WWHHHP", "PHHHHHW----", "WW--HHHP"]
+    rows = spark.createDataFrame([("db:AF-Z9Y8X7-F2",), ("AF-Z9Y8X7-F2-model_v3",), ("other",)], "s string")
+    assert [r[0] for r in rows.select(accession.accession(F.col("s"))).collect()] == ["AF-Z9Y8X7-F2", "AF-Z9Y8X7-F2", None]
     rows = spark.createDataFrame([("abc|12|7",), ("abc|x|7",), ("abc",)], "s string")
     assert [tuple(r[0]) for r in rows.select(accession.composite_id(F.col("s"))).collect()] == [("abc", 12, 7), ("abc", -1, -1), ("abc", -1, -1)]
 
