@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Dealer, Shelf, U, dealt, hash_words, mix, n_buckets, release, runs, slices, windows_at
+from .common import Dealer, Shelf, U, dealt, hash_words, lean, mix, n_buckets, release, runs, slices, windows_at
 from .components import components
 
 _N, _S, _P, _C = 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD1342543DE82EF95, 0xA24BAED4963EE407
@@ -103,17 +103,18 @@ def _key(u: np.ndarray, seed: int) -> int:
 
 
 def _keys(df: DataFrame, size: int, seed: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
 
+    @lean
     def keys(batches):
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                for i, u in zip(part["doc_id"].to_pylist(), _sets(part, size), strict=True):
-                    rows.append((i, len(u), *((_key(u, _P + seed), _key(u, _C + seed)) if len(u) and i is not None else (None, None))))
+                for i, m, u in zip(part["doc_id"].to_pylist(), part["mark"].to_pylist(), _sets(part, size), strict=True):
+                    rows.append((i, m, len(u), *((_key(u, _P + seed), _key(u, _C + seed)) if len(u) and i is not None else (None, None))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return df.mapInArrow(keys, "doc_id long, n_shingles long, k1 long, k2 long")
+    return df.withColumn("mark", F.xxhash64("text")).mapInArrow(keys, "doc_id long, mark long, n_shingles long, k1 long, k2 long")
 
 
 class _Signer:
@@ -162,6 +163,7 @@ def _shared(df: DataFrame, size: int, seed: int, num: int, den: int, buckets: in
         head[f] = True
         return (sig[f], key[f], need[f], (np.maximum.reduceat(several, f) | (n > 1)).astype(np.uint8)), (sig[~head], key[~head], need[~head])
 
+    @lean
     def sign(batches):
         out, signer = Dealer(buckets, settle), _Signer(num, den)
         for batch in batches:
@@ -176,6 +178,7 @@ def _shared(df: DataFrame, size: int, seed: int, num: int, den: int, buckets: in
 
     schema = pa.schema([("sig", pa.int64()), ("id", pa.int64()), ("need", pa.int64())])
 
+    @lean
     def reduce(table):
         mine, done = dealt(table, (np.uint64, np.int64, np.int64, np.uint8), (np.uint64, np.int64, np.int64))
         if len(mine[0]):
@@ -205,6 +208,7 @@ def _hashes(df: DataFrame, size: int, seed: int) -> DataFrame:
     """(id, shingles) of rows (id, text) whose set has that key; other texts of a repeated doc_id go."""
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
 
+    @lean
     def hashes(batches):
         for batch in batches:
             for part in slices(batch):
@@ -217,6 +221,7 @@ def _hashes(df: DataFrame, size: int, seed: int) -> DataFrame:
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @lean
     def compare(batches):
         for batch in batches:
             ok = []
@@ -287,6 +292,7 @@ def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     """(p, id, n, pn, d, outer, diff) of pairs (id, p): sizes, the shingles in which a set differs from its pivot, and whether it doesn't link with it."""
     schema = pa.schema([("p", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("pn", pa.int64()), ("d", pa.int64()), ("outer", pa.bool_()), ("diff", pa.list_(pa.int64()))])
 
+    @lean
     def differ(batches):
         for batch in batches:
             rows = []
@@ -340,14 +346,18 @@ def _large(ranked: DataFrame, rows: DataFrame, joined: DataFrame, few: int, sets
     return links, met.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
 
 
-def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, few: int = 16) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each document of ``df``."""
+def near_groups(df: DataFrame, size: int = 5, percent: int = 80, few: int = 16) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles, component_id and kept of each document of ``df``.
+
+    Of each component the text of its smallest doc_id stays, the least mark if it
+    has several; texts without links all stay.
+    """
     num, den = percent, 100
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shelf, buckets, seed = Shelf(df.sparkSession, "jaccard"), n_buckets(docs), 0
     while True:  # again with other hashes should two sets share a key
         keys = shelf.put(_keys(docs, size, seed))
-        nodes = shelf.put(keys.where("k1 IS NOT NULL").groupBy("k1").agg(F.min("doc_id").alias("first"), F.min("k2").alias("lo"), F.max("k2").alias("hi")))
+        nodes = shelf.put(keys.where("k1 IS NOT NULL").groupBy("k1").agg(F.min("doc_id").alias("first"), F.expr("min(struct(doc_id, mark)).mark").alias("mark"), F.min("k2").alias("lo"), F.max("k2").alias("hi")))
         if nodes.where("lo <> hi").isEmpty():
             break
         shelf.drop(keys, nodes)
@@ -372,8 +382,14 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, few: int =
         found = _links(pairs, sets, num, den).unionAll(near).unionAll(joined.selectExpr("component AS a", "id AS b"))
         joined = components(found, shelf)
     release(df.sparkSession)
-    nodes = nodes.join(joined.withColumnRenamed("id", "k1"), "k1", "left").selectExpr("k1", "first", "coalesce(component, k1) AS component")
-    nodes = shelf.put(nodes)
-    least = shelf.put(nodes.groupBy("component").agg(F.min("first").alias("component_id")))
-    nodes = shelf.put(nodes.join(least, "component").select("k1", "component_id"))
-    return keys.join(nodes, "k1", "left").selectExpr("doc_id", "n_shingles", "coalesce(component_id, doc_id) AS component_id")
+    nodes = shelf.put(nodes.join(joined.withColumnRenamed("id", "k1"), "k1", "left").selectExpr("k1", "first", "mark", "coalesce(component, k1) AS component"))
+    least = nodes.groupBy("component").agg(F.min(F.struct("first", "mark")).alias("least"))
+    ends = shelf.put(nodes.join(least, "component").selectExpr("k1", "least.first AS component_id", "least.mark AS stays"))
+    out = keys.join(ends, "k1", "left")
+    kept = "k1 IS NULL OR doc_id = component_id AND mark = stays AS kept"
+    return out.selectExpr("doc_id", "mark", "n_shingles", "coalesce(component_id, doc_id) AS component_id", kept)
+
+
+def near_duplicates(df: DataFrame, **how) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each document of ``df``."""
+    return near_groups(df, **how).select("doc_id", "n_shingles", "component_id")
