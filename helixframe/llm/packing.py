@@ -10,8 +10,10 @@ may still be improved by others' pieces; where it has a gap, its emptiest bins
 partition that takes those of ``fan`` others, and are packed again, until one
 partition is left.
 
-Defined cases: null text is empty, one end token; repeated rows are packed each
-for itself; extra columns are left out.
+Defined cases: null text is empty, one end token; a null doc_id's pieces have a null
+doc_id; repeated rows are packed each for itself; pieces of one length stand in the
+order of doc_id, piece and check sum; an empty table gives none; texts of any length
+are encoded whole; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, slices
+from .common import Shelf, lean, slices
 
 TOKENIZER = "byte_bpe_50k"
 
@@ -36,7 +38,7 @@ TOKENIZER = "byte_bpe_50k"
 class _Words(dict):
     """Token ids, as bytes, of text between two spaces; None where the pattern could look beyond it."""
 
-    most = 400_000
+    most = 100_000
 
     def __init__(self, encode):
         self.encode = encode
@@ -72,11 +74,17 @@ def _encoder(name: str):
     from tokenizers import Tokenizer
 
     with open(public.path(f"{name}.json"), encoding="utf-8") as f:
-        file = f.read()
-    added = [t["content"] for t in json.loads(file).get("added_tokens", ()) if t["content"]]
-    whole = Tokenizer.from_str(file)
-    whole.no_truncation()
-    whole.no_padding()
+        added = [t["content"] for t in json.load(f).get("added_tokens", ()) if t["content"]]
+    whole: list[Tokenizer] = []  # made when first needed
+
+    def slow(text: str) -> list[int]:
+        if not whole:
+            with open(public.path(f"{name}.json"), encoding="utf-8") as f:
+                whole.append(Tokenizer.from_str(f.read()))
+            whole[0].no_truncation()
+            whole[0].no_padding()
+        return whole[0].encode(text, add_special_tokens=False).ids
+
     special = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
     with open(public.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -85,7 +93,7 @@ def _encoder(name: str):
 
     def ids(text: str) -> bytes:
         if special(text):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(slow(text), "<u4").tobytes()
         first, *rest = text.split(" ")
         if rest and first and not first[0].isspace() and not first[-1].isspace():
             try:
@@ -94,13 +102,15 @@ def _encoder(name: str):
                 pass
         return np.array(encode(text), "<u4").tobytes()
 
+    ids.forget = words.clear
     return ids
 
 
 def cut_documents(df: DataFrame, size: int = 2048, end: int = 0, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and seq: a number of its own for each full piece, else null."""
+    """doc_id, piece, start, length, ids_crc32 and seq, a number of its own for each piece."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("seq", pa.int64())])
 
+    @lean
     def cut(batches):
         encode, tail, n, base = _encoder(tokenizer), np.array([end], "<u4").tobytes(), 0, TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -112,12 +122,11 @@ def cut_documents(df: DataFrame, size: int = 2048, end: int = 0, tokenizer: str
                     at, length = 0, total % size or size
                     k = 0
                     while at < total:
-                        seq = None
-                        if length == size:
-                            seq, n = (base + n) * 2 + 1, n + 1
-                        rows.append((i, k, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), seq))
+                        rows.append((i, k, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), base + n))
+                        n += 1
                         at, k, length = at + length, k + 1, size
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        encode.forget()
 
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, seq long")
@@ -187,16 +196,17 @@ def pack_documents(df: DataFrame, size: int = 2048, end: int = 0, tokenizer: str
     shelf = Shelf(df.sparkSession, "packing")
     pieces = shelf.put(cut_documents(df, size, end, tokenizer))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    out = pieces.where("seq IS NOT NULL").selectExpr(*columns, "seq AS sequence_id", "0L AS offset")
-    rest = pieces.where("seq IS NULL").select(*columns)
+    out = pieces.where(f"length = {size}").selectExpr(*columns, "seq * 2 + 1 AS sequence_id", "0L AS offset")
+    rest = pieces.where(f"length < {size}")
     parts = max(1, -(-rest.count() // per_partition))
-    # evenly: a hash of what tells pieces apart, and a draw for rows that repeat
-    rest = rest.withColumn("part", F.expr(f"CAST(pmod(xxhash64(doc_id, piece, length, ids_crc32), {parts}) AS INT)"))
+    # evenly, by a hash of each row's own number, so that rows that repeat spread too
+    rest = rest.select(*columns, F.expr(f"CAST(pmod(xxhash64(seq), {parts}) AS INT)").alias("part"))
     kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("opened", pa.bool_())]
     schema, ddl = pa.schema(kinds), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, sequence_id long, offset long, opened boolean"
     turn = 0
 
     def packer(turn, last):
+        @lean
         def pack_part(table):
             table = table.select([n for n, _ in kinds[:6]]).sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32")])
             bins, offsets, opened, _ = certified(table["length"].to_numpy(), size, spare)
