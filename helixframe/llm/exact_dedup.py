@@ -11,7 +11,7 @@ partition and round, however many copies it has.
 
 Equality is verified at each merge on the whole SHA-256 and the normalised length.
 
-Defined cases: null text counts as empty; null doc_ids come last in ties; rows
+Defined cases: an empty table gives none; texts of any length are read whole; null text counts as empty; null doc_ids come last in ties; rows
 that repeat a doc_id are the same document and share ``kept``; extra columns
 are left out.
 """

@@ -7,7 +7,9 @@ parsed with precedence WITH > AND > OR and parentheses; its identifiers become
 labels, and AND / OR / WITH evaluate how freely the text may be used.
 
 Defined cases: null text counts as empty; a malformed expression gives the
-identifiers before the fault; extra columns are left out.
+identifiers before the fault; texts of any length are scanned whole; a repeated row
+is scanned each time; a null doc_id is kept; of labels with one score any gives it;
+an empty table gives none; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -24,14 +26,29 @@ from .common import slices
 
 #: Phrases of the contract and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Further notices.
+#: Further notices: phrases as their licences word them.
 NOTICES = {
-    "mit license": "mit", "apache license": "apache", "mozilla public license": "mpl", "bsd license": "bsd",
-    "creative commons": "cc", "public domain": "public-domain", "lesser general public license": "lgpl", "affero general public license": "agpl",
+    "mit license": "mit", "permission is hereby granted free of charge to any person obtaining a copy": "mit", "apache license": "apache",
+    "licensed under the apache license": "apache", "mozilla public license": "mpl", "bsd license": "bsd",
+    "redistribution and use in source and binary forms with or without modification are permitted": "bsd", "isc license": "isc",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "lesser general public license": "lgpl", "affero general public license": "agpl", "eclipse public license": "epl",
+    "european union public licence": "eupl", "common development and distribution license": "cddl", "boost software license": "bsl",
+    "artistic license": "artistic", "the unlicense": "unlicense", "this is free and unencumbered software released into the public domain": "unlicense",
+    "do what the fuck you want to public license": "wtfpl", "zlib license": "zlib", "python software foundation license": "psf",
+    "sil open font license": "ofl", "creative commons": "cc", "creative commons attribution": "cc-by", "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc", "creative commons attribution noderivatives": "cc-by-nd", "cc0": "cc0", "cc by sa": "cc-by-sa",
+    "cc by nc": "cc-by-nc", "cc by nd": "cc-by-nd", "public domain": "public-domain", "gnu free documentation license": "gfdl",
+    "open database license": "odbl", "proprietary and confidential": "proprietary", "may not be reproduced without permission": "reserved",
 }
 TAG = "spdx-license-identifier:"
 #: How freely a text under a label may be used, 0 to 1; unknown identifiers lie between.
-FREE = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "public-domain": 1.0, "cc-by": 0.9, "cc": 0.6, "mpl": 0.7, "lgpl": 0.6, "gpl": 0.4, "agpl": 0.3, "reserved": 0.0}
+FREE = {
+    "mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "bsl": 1.0, "zlib": 1.0, "psf": 1.0, "unlicense": 1.0, "wtfpl": 1.0, "0bsd": 1.0, "cc0": 1.0,
+    "public-domain": 1.0, "cc0-1.0": 1.0, "cc-by": 0.9, "artistic": 0.8, "ofl": 0.8, "mpl": 0.7, "epl": 0.7, "eupl": 0.6, "cddl": 0.7, "cc": 0.6, "lgpl": 0.6,
+    "cc-by-sa": 0.5, "odbl": 0.5, "gfdl": 0.4, "gpl": 0.4, "agpl": 0.3, "cc-by-nc": 0.2, "cc-by-nd": 0.2, "cc-by-nc-sa": 0.2, "cc-by-nc-nd": 0.1,
+    "proprietary": 0.0, "reserved": 0.0,
+}
 UNKNOWN = 0.5
 
 _GAP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))

@@ -16,8 +16,10 @@ each draw has exactly that probability, and the words drawn stay within the
 stratum's longest document of what they should be.
 
 Only aggregates of sources meet in one task.  Defined cases: null text has size
-0; a source of size 0 gets target 0; repeated rows draw each for themselves;
-null ids hash as an empty string; extra columns are left out.
+0; a source of size 0 gets target 0; repeated rows draw each for themselves and
+come as often as all of them together; null ids hash as an empty string; documents
+of one length stand in the order of their hashes; an empty table gives none; texts
+of any length are counted whole; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -53,9 +55,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
 
 
 def mix_sources(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, stratum: int = 4096, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target and copies of each document of ``df`` (doc_id, text, source)."""
+    """doc_id, mark (a hash of the text), source, size, source_size, target and copies of each document of ``df`` (doc_id, text, source)."""
     shelf = Shelf(df.sparkSession, "mix")
-    sizes = df.select(F.col("doc_id"), F.col("source"), F.expr(f"coalesce(regexp_count(text, '{_WORD.replace(chr(92), chr(92) * 2)}'), 0)").cast("long").alias("size"))
+    words = f"coalesce(regexp_count(text, '{_WORD.replace(chr(92), chr(92) * 2)}'), 0)"
+    sizes = df.select(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("source"), F.expr(words).cast("long").alias("size"))
     return _mixed(shelf.put(sizes), shelf, weights, share, most, stratum, seed)
 
 
@@ -63,19 +66,24 @@ def _mixed(sizes: DataFrame, shelf: Shelf, weights, share, most, stratum, seed)
     by = shelf.put(targets(sizes, weights, share, most).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
     source = by.withColumn("s", F.col("source")).drop("source")
     rows = sizes.join(source, sizes["source"].eqNullSafe(source["s"])).drop("s")
-    mark = f"concat_ws(':', '{seed}', doc_id)"
-    rows = rows.withColumn("salt", F.expr(f"CAST(floor({_unit(mark)} * ceil(n / {stratum})) AS INT)")).withColumn("draw", F.expr(f"md5({mark})"))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("source", "salt").orderBy(F.desc("size"), "draw", "doc_id")) - 1)
+    ident = f"concat_ws(':', '{seed}', doc_id)"
+    rows = rows.withColumn("salt", F.expr(f"CAST(floor({_unit(ident)} * ceil(n / {stratum})) AS INT)")).withColumn("draw", F.expr(f"md5({ident})"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("source", "salt").orderBy(F.desc("size"), "draw", "doc_id", "mark")) - 1)
     start = _unit(f"concat_ws(':', '{seed}', coalesce(concat('=', source), ''), salt)")
     rows = rows.withColumn("part", F.expr("rate - floor(rate)")).withColumn("start", F.expr(start))
     extra = "CAST(floor((place + 1) * part + start) - floor(place * part + start) AS INT)"
-    return rows.selectExpr("doc_id", "source", "size", "source_size", "target", f"CAST(floor(rate) AS INT) + {extra} AS copies")
+    return rows.selectExpr("doc_id", "mark", "source", "size", "source_size", "target", f"CAST(floor(rate) AS INT) + {extra} AS copies")
 
 
 def mixture(df: DataFrame, **how) -> DataFrame:
-    """The documents of ``df``, each as often as the mix takes it; rows that repeat a doc_id share its copies evenly, rounded down."""
-    free = max(map(len, df.columns)) * "_"  # longer than any column's name
-    ident, times, copy = (free + x for x in ("id", "times", "copy"))
-    copies = mix_sources(df, **how).groupBy("doc_id").agg(F.expr("CAST(sum(copies) DIV count(*) AS INT)").alias(times)).where(F.col(times) > 0)
-    out = df.join(copies.withColumnRenamed("doc_id", ident), F.col("doc_id").eqNullSafe(F.col(ident)))
-    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*df.columns)
+    """The documents of ``df``, each as often as the mix takes it; rows that repeat doc_id, text and source come as often as all of them together."""
+    free = max(map(len, df.columns), default=0) * "_"  # longer than any column's name
+    ident, mark, source, times, copy, n = (free + x for x in ("id", "mark", "source", "times", "copy", "n"))
+    shelf = Shelf(df.sparkSession, "mixture")
+    copies = mix_sources(df, **how).groupBy("doc_id", "mark", "source").agg(F.sum("copies").cast("int").alias(times), F.count("*").alias(n)).where(F.col(times) > 0)
+    copies = shelf.put(copies.withColumnsRenamed({"doc_id": ident, "mark": mark, "source": source}))
+    same = df["doc_id"].eqNullSafe(F.col(ident)) & (F.xxhash64(df["text"].cast("string")) == F.col(mark)) & df["source"].eqNullSafe(F.col(source))
+    one = df.join(copies.where(F.col(n) == 1), same)
+    if not copies.where(F.col(n) > 1).isEmpty():
+        one = one.unionAll(df.join(copies.where(F.col(n) > 1), same).dropDuplicates([ident, mark, source]))
+    return one.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*df.columns)

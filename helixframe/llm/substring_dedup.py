@@ -17,7 +17,7 @@ of a task hold, one record travels, and the others are settled in the task.  So
 a passage that a third of all documents hold costs a reducer one record a task.
 Nothing is collected, and each table in between is one row a document or less.
 
-Defined cases: null text has no words; a null ``doc_id`` is compared with
+Defined cases: an empty table gives none; texts of any length are read whole; null text has no words; a null ``doc_id`` is compared with
 nothing and keeps all its words; rows that repeat a ``doc_id`` are the same
 document and get the same places removed; extra columns are left out.
 """

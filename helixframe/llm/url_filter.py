@@ -3,14 +3,23 @@
 Hosts of pages that a rule allows seed trust, those of blocked pages seed
 distrust, each by its share of the host's pages.  Trust runs along host links as
 personalised PageRank; distrust runs against them, from a blocked host to those
-that link to it.  Both run until no score moves by ``tolerance``.  A host is
-blocked when its distrust reaches ``threshold`` and exceeds its trust.
+that link to it.  Both run until no score moves by ``tolerance``; as each round
+moves at most ``damping`` times what the one before did, that comes.  Scores are not
+normalised: a host without links keeps its seed, and what it would pass on is lost.
+
+A host is blocked when the blocked share of its own pages reaches ``threshold``, or
+when distrust that came over links reaches ``least`` and is such a share of it and
+the host's trust together.  So a host that links to blocked ones beside many others
+is blocked as well, whatever part of their distrust each of them gets.
 
 Edges are summed by host pair before anything else; a round is one join and one
 grouped sum, and a hub's edges are left to adaptive skew handling.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
-fits no rule and is allowed; null html has no links; extra columns are left out.
+fits no rule and is allowed; null html has no links; texts of any length are read
+whole; a repeated row counts and is judged each time; a null page_id is kept; of
+rules of one length the later wins; an empty table gives none; extra columns are
+left out.
 """
 
 from __future__ import annotations
@@ -49,13 +58,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return rows.select("src", F.expr(_lower("dst")).alias("dst")).where("src <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, shelf: Shelf, damping: float = 0.85, tolerance: float = 1e-4, rounds: int = 50) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, shelf: Shelf, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
     """(host, score) of personalised PageRank: seeds are (host, seed), edges (src, dst, n); a lone seed keeps its weight."""
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     edges = shelf.put(edges.join(out, "src").selectExpr("src", "dst", "n / total AS w"))
     seeds = shelf.put(seeds.where("seed > 0"))
     rank = shelf.put(seeds.selectExpr("host", "seed AS score", "0D AS moved"))
-    for _ in range(rounds):
+    while True:
         came = edges.join(rank.selectExpr("host AS src", "score"), "src").groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("score") * F.col("w"))).alias("score"))
         new = seeds.selectExpr("host", "seed AS score").unionAll(came).groupBy("host").agg(F.sum("score").alias("score"))
         new = new.join(rank.selectExpr("host", "score AS was"), "host", "left").selectExpr("host", "score", "abs(score - coalesce(was, 0D)) AS moved")
@@ -63,11 +72,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, shelf: Shelf, damping: float =
         shelf.drop(rank)
         rank = new
         if (rank.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
-            break
-    return rank.select("host", "score")
+            return rank.select("host", "score")
 
 
-def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 0.6, damping: float = 0.85) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 0.6, least: float = 0.02, damping: float = 0.85) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of each of ``pages`` (page_id, url, html)."""
     shelf = Shelf(pages.sparkSession, "urls")
     rows = shelf.put(judged(pages, rules))
@@ -76,7 +84,9 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 0.6, damping:
     hosts = shelf.put(rows.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad")))
     trust = propagate(edges, hosts.selectExpr("host", "good AS seed"), shelf, damping)
     distrust = propagate(edges.selectExpr("dst AS src", "src AS dst", "n"), hosts.selectExpr("host", "bad AS seed"), shelf, damping)
-    scores = hosts.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left").na.fill(0.0)
-    out = rows.join(shelf.put(scores), "host", "left").na.fill(0.0, ["trust", "distrust"])
-    verdict = f"coalesce(by_rule, IF(distrust >= {threshold} AND distrust > trust, 'block', 'allow'))"
-    return out.selectExpr("page_id", "host", "path", "rule", f"{verdict} AS verdict", "trust", "distrust")
+    scores = hosts.join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left").na.fill(0.0)
+    came = "greatest(distrust - bad, 0D)"
+    blocked = f"bad >= {threshold} OR {came} >= {least} AND {came} >= {threshold} * ({came} + trust)"
+    scores = shelf.put(scores.selectExpr("host", "trust", "distrust", f"{blocked} AS blocked"))
+    out = rows.join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
+    return out.selectExpr("page_id", "host", "path", "rule", "coalesce(by_rule, IF(blocked, 'block', 'allow')) AS verdict", "trust", "distrust")

@@ -11,7 +11,7 @@ bits (more if pairs at the threshold do), and is reranked with the original
 vectors in double precision.  Equal vectors are one node with a multiplicity, so
 copies never become pairs.
 
-Defined cases: vectors that are null, zero, hold null or non-finite components,
+Defined cases: an empty table gives none; a cosine equal to the threshold links; vectors that are null, zero, hold null or non-finite components,
 or a null id link with nothing; vectors link with those of their own length, each
 length with rotations and tables of its own; repeated rows count as vectors;
 extra columns are left out.
