@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and
 read again as the next one's documents.  All but the last return the columns of
-documents.  Rows without a doc_id pass the filters.
+documents.
+
+Defined cases: a stage that drops documents drops rows by doc_id and text, so of
+rows that repeat a doc_id each text is judged for itself; rows without a doc_id are
+judged by the quality stage and pass the exact and near ones; null and empty texts
+pass the quality and near stages, and are equal texts in the exact one; ties go to the smallest doc_id; tables without rows give none; texts of any
+length are read whole; extra columns pass all stages but the last.
 """
 
 from __future__ import annotations
@@ -12,22 +18,22 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import Shelf
 from helixframe.llm.exact_dedup import exact_groups
-from helixframe.llm.jaccard_join import near_duplicates
+from helixframe.llm.jaccard_join import near_groups
 from helixframe.llm.mixing import mixture
 from helixframe.llm.packing import pack_documents
 from helixframe.llm.quality import perplexities
 
 
-def _without(docs: DataFrame, dropped: DataFrame, tag: str) -> DataFrame:
-    """Documents whose id isn't in ``dropped``; its ids are written first, so that the join can size both sides."""
-    ids = Shelf(docs.sparkSession, tag).put(dropped.where("doc_id IS NOT NULL").select("doc_id").distinct())
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, judged: DataFrame, tag: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id and text ``judged`` (doc_id, mark, kept) keeps; the dropped are written first, so that the join can size both sides."""
+    gone = Shelf(docs.sparkSession, tag).put(judged.where("NOT kept").selectExpr("doc_id AS _gone", "mark AS _mark").distinct())
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_mark"])
+    return docs.join(gone, same, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity their language's threshold allows."""
-    scores = perplexities(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scores.where("NOT kept"), "stage-quality")
+    """Documents whose perplexity their language's threshold allows; texts of a repeated doc_id count each for itself."""
+    return _without(docs, perplexities(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "stage-quality")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +51,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each component of near copies."""
-    return _without(docs, near_duplicates(docs).where("component_id <> doc_id"), "stage-near")
+    """One document, that of the smallest doc_id, of each component of near copies; those without words stay."""
+    return _without(docs, near_groups(docs), "stage-near")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
