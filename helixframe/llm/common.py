@@ -44,7 +44,7 @@ class Shelf:
     """Tables written to the shared folder to cut lineage; each can be dropped when a later one replaces it."""
 
     def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n, self.held = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0, {}
 
     def put(self, df: DataFrame) -> DataFrame:
         """Write a table and read it back."""
@@ -52,16 +52,23 @@ class Shelf:
         path, schema = f"{self.root}/{self.n}", df.schema
         df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
-        out._shelf_path = path
+        out._shelf_path = self.held[path] = path
         return out
 
+    def keep(self, *dfs: DataFrame) -> None:
+        """Drop all tables but these."""
+        for path in set(self.held) - {df._shelf_path for df in dfs}:
+            self._delete(path)
+
     def drop(self, *dfs: DataFrame | None) -> None:
-        jvm = self.spark.sparkContext._jvm
         for df in dfs:
             if df is not None:
-                path = df._shelf_path
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                self._delete(df._shelf_path)
+
+    def _delete(self, path: str) -> None:
+        if self.held.pop(path, None):
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -2,18 +2,19 @@
 
 A partition turns its documents into one sorted run of distinct digests, each
 with the best document (most code points, then smallest doc_id) and a count.
-Partitions then exchange runs in rounds: in round r, partition p keeps the
-digests whose r-th digit (``fan`` values, a power of two) equals that digit of p
-and sends the others to the partitions that differ from p in that digit only.
-Each receiver merges the ``fan`` runs it gets in one multiway merge.  After the
+Partitions then exchange runs in binomial rounds: in round r, partition p keeps the
+digests whose r-th bit equals that bit of p and sends the others to the partition
+that differs from p in that bit only (with ``fan`` 2; a larger power of two makes
+rounds of several bits).  Each receiver merges the runs it gets in one multiway merge.  After the
 last round a partition owns a range of digests.  A digest travels once a
 partition and round, however many copies it has.
 
 Equality is verified at each merge on the whole SHA-256 and the normalised length.
 
-Defined cases: an empty table gives none; texts of any length are read whole; null text counts as empty; null doc_ids come last in ties; rows
-that repeat a doc_id are the same document and share ``kept``; extra columns
-are left out.
+Defined cases: an empty table gives none; texts of any length are read whole; null
+text counts as empty; null doc_ids come last in ties; rows that repeat doc_id and
+text are the same document and share ``kept``, other texts of a doc_id are judged
+for themselves; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, input_bytes, pack, runs, slices, unpack_all
+from .common import Shelf, input_bytes, lean, pack, runs, slices, unpack_all
 
 _WS = bytes([0x20, *range(0x09, 0x0E)])
 _NULL = np.iinfo(np.int64).max
@@ -50,6 +51,7 @@ def _merge(run: list[np.ndarray]) -> list[np.ndarray]:
 def _digests(df: DataFrame) -> DataFrame:
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("chars", pa.int64())])
 
+    @lean
     def digest(batches):
         part = TaskContext.get().partitionId()
         for batch in batches:
@@ -71,7 +73,7 @@ def _words(digest: pa.Array) -> list[np.ndarray]:
     return [raw[:, k].astype(np.uint64) for k in range(4)]
 
 
-def exact_groups(df: DataFrame, partitions: int | None = None, fan: int = 8) -> DataFrame:
+def exact_groups(df: DataFrame, partitions: int | None = None, fan: int = 2) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of each document of ``df``."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shelf, bits = Shelf(df.sparkSession, "exact"), fan.bit_length() - 1
@@ -98,6 +100,7 @@ def exact_groups(df: DataFrame, partitions: int | None = None, fan: int = 8) ->
                     out.append((base | d << place, pack(*(a[s] for a in run))))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else ([], []), schema, strict=True)], schema=schema)
 
+    @lean
     def local(batches):
         runs_by, held = {}, 0
         for batch in batches:
@@ -122,6 +125,7 @@ def exact_groups(df: DataFrame, partitions: int | None = None, fan: int = 8) ->
 
     last = pa.schema([("digest", pa.binary()), ("size", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
+    @lean
     def finish(table):
         *digest, size, _, ids, count = _merge(unpack_all(table["run"], *_RUN))
         raw = np.stack(digest, axis=1).astype(">u8").tobytes()
@@ -132,6 +136,7 @@ def exact_groups(df: DataFrame, partitions: int | None = None, fan: int = 8) ->
     for r in range(1, rounds):
         merged = merged.groupBy("part").applyInArrow(exchange(r), ddl)
     groups = shelf.put(merged.groupBy("part").applyInArrow(finish, "digest binary, size long, keep_id long, group_size long"))
+    shelf.keep(rows, groups)
     out = rows.join(groups.where("group_size > 1"), ["digest", "size"], "left")
     keep = "CASE WHEN group_size IS NULL THEN doc_id ELSE keep_id END"
     return out.selectExpr("doc_id", f"{keep} AS keep_id", "coalesce(group_size, 1L) AS group_size", f"doc_id <=> {keep} AS kept", "lower(hex(digest)) AS text_sha256")

@@ -385,6 +385,7 @@ def near_groups(df: DataFrame, size: int = 5, percent: int = 80, few: int = 16)
     nodes = shelf.put(nodes.join(joined.withColumnRenamed("id", "k1"), "k1", "left").selectExpr("k1", "first", "mark", "coalesce(component, k1) AS component"))
     least = nodes.groupBy("component").agg(F.min(F.struct("first", "mark")).alias("least"))
     ends = shelf.put(nodes.join(least, "component").selectExpr("k1", "least.first AS component_id", "least.mark AS stays"))
+    shelf.keep(keys, ends)
     out = keys.join(ends, "k1", "left")
     kept = "k1 IS NULL OR doc_id = component_id AND mark = stays AS kept"
     return out.selectExpr("doc_id", "mark", "n_shingles", "coalesce(component_id, doc_id) AS component_id", kept)

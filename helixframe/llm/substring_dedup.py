@@ -17,9 +17,10 @@ of a task hold, one record travels, and the others are settled in the task.  So
 a passage that a third of all documents hold costs a reducer one record a task.
 Nothing is collected, and each table in between is one row a document or less.
 
-Defined cases: an empty table gives none; texts of any length are read whole; null text has no words; a null ``doc_id`` is compared with
-nothing and keeps all its words; rows that repeat a ``doc_id`` are the same
-document and get the same places removed; extra columns are left out.
+Defined cases: an empty table gives none; texts of any length are read whole; null
+text has no words; a null ``doc_id`` is compared with nothing and keeps all its
+words; rows that repeat a ``doc_id`` are the same document and get the same places
+removed; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Dealer, Shelf, U, dealt, hash_words, mix, n_buckets, release, runs, slices, windows_at
+from .common import Dealer, Shelf, U, dealt, hash_words, lean, mix, n_buckets, release, runs, slices, windows_at
 
 #: A perfect difference set: every offset mod 31 is a difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -99,6 +100,7 @@ def _shared_anchors(df: DataFrame, window: int, period: int, cover: tuple[int, .
         place = np.where(several[send], -1, at[send]).astype(np.int32)
         return (h[send], doc[send], place), (doc[several], at[several])
 
+    @lean
     def anchors(batches):
         out = Dealer(buckets, settle, _FLUSH)
         for batch in batches:
@@ -112,6 +114,7 @@ def _shared_anchors(df: DataFrame, window: int, period: int, cover: tuple[int, .
                 yield from out.add(windows_at(words, g, width, _A), ids[row[g]], place[g].astype(np.int32))
         yield from out.flush()
 
+    @lean
     def reduce(table):
         (h, doc, at), (d1, a1) = dealt(table, (np.uint64, np.int64, np.int32), (np.int64, np.int32))
         o = np.argsort(h, kind="stable")
@@ -136,6 +139,7 @@ def _repeated_windows(df: DataFrame, window: int, period: int, buckets: int) ->
         own = np.repeat(doc[f], np.diff(np.r_[f, len(h)])) == doc
         return (h[own], g[own], doc[own], at[own]), (doc[~own], at[~own])
 
+    @lean
     def extend(batches):
         out = Dealer(buckets, settle, _FLUSH)
         for batch in batches:
@@ -160,6 +164,7 @@ def _repeated_windows(df: DataFrame, window: int, period: int, buckets: int) ->
                     yield from out.add(low[x] | windows_at(words, x, window, _B1) >> U(16), windows_at(words, x, window, _B2), ids[row[x]], place[x].astype(np.int32))
         yield from out.flush()
 
+    @lean
     def reduce(table):
         mine, (d1, a1) = dealt(table, (np.uint64, np.uint64, np.int64, np.int32), (np.int64, np.int32))
         d2, a2 = settle(*mine)[1] if len(mine[0]) else mine[2:]
@@ -181,6 +186,7 @@ def remove_repeats(df: DataFrame, window: int = 50, period: int = PERIOD, cover:
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))])
 
+    @lean
     def cut(batches):
         for batch in batches:
             for part in slices(batch):

@@ -88,5 +88,6 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 0.6, least: fl
     came = "greatest(distrust - bad, 0D)"
     blocked = f"bad >= {threshold} OR {came} >= {least} AND {came} >= {threshold} * ({came} + trust)"
     scores = shelf.put(scores.selectExpr("host", "trust", "distrust", f"{blocked} AS blocked"))
+    shelf.keep(rows, scores)
     out = rows.join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
     return out.selectExpr("page_id", "host", "path", "rule", "coalesce(by_rule, IF(blocked, 'block', 'allow')) AS verdict", "trust", "distrust")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf
+from .common import Shelf, lean
 from .components import components
 
 
@@ -114,6 +114,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, sample: int = 10_000, r
         tables.append((dim, far, masks, flips))
     schema = pa.schema([("vec_id", pa.int64()), ("key", pa.binary()), ("unit", pa.list_(pa.float64())), ("c0", pa.int64()), ("c1", pa.int64())])
 
+    @lean
     def code(batches):
         for batch in batches:
             size = batch["embedding"].value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
@@ -153,5 +154,6 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, sample: int = 10_000, r
     degree = links.selectExpr("a AS id", "nb AS n").unionAll(links.selectExpr("b AS id", "na AS n")).groupBy("id").agg(F.sum("n").alias("n"))
     found = nodes.select("id", "key", "copies").join(degree, "id", "left").join(joined, "id", "left")
     found = shelf.put(found.selectExpr("key", "copies - 1 + coalesce(n, 0L) AS n_links", "coalesce(component, id) AS component_id"))
+    shelf.keep(coded, found)
     out = coded.select("vec_id", "key").join(found, "key", "left")
     return out.selectExpr("vec_id", "coalesce(n_links, 0L) AS n_links", "coalesce(component_id, vec_id) AS component_id", "vec_id <=> coalesce(component_id, vec_id) AS kept")

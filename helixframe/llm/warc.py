@@ -2,8 +2,12 @@
 
 Records are rows whose text is the whole record; Spark's text sink, with the
 record separator CR LF CR LF as line separator, writes them as gzipped WARC 1.1
-files of a bounded number of records, to any store Spark writes to.  Reading goes
-by binaryFile and Content-Length.
+files, to any store Spark writes to.  Pages of a size class (each four times as
+large as the one before) go to files of their own, so many to a file that none
+exceeds ``volume`` bytes, or of larger pages one; a warcinfo record stands in a file
+beside them.  A file is one gzip stream: the sink can't begin a member for each
+record.  Reading goes by binaryFile and Content-Length; a file is inflated piece by
+piece, so a task holds the compressed file and a record.
 
 Revisits: headers, without payloads, are dealt by payload digest; of equal
 payloads of ``least`` bytes or more the largest page_id is the response, the
@@ -12,7 +16,8 @@ revisit records to their responses by record id.
 
 Defined cases: null html is an empty payload; a null url gets a urn; rows that
 repeat the largest page_id of a payload are all responses; null page_ids count
-as smallest, and refer as any other; extra columns are left out.
+as smallest, and refer as any other; payloads of any length are written and read
+whole; an empty table gives none; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -20,12 +25,13 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shelf
+from .common import Shelf, lean
 
 _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -34,7 +40,7 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def headers(pages: DataFrame) -> DataFrame:
     """page_id, digest and size of each page's payload."""
     html = "coalesce(html, '')"
-    return pages.selectExpr("CAST(page_id AS LONG) AS page_id", f"sha1({html}) AS digest", f"CAST(octet_length({html}) AS LONG) AS size")
+    return pages.selectExpr("CAST(page_id AS LONG) AS page_id", f"sha1({html}) AS digest", f"CAST(octet_length({html}) AS LONG) AS size", "CAST(octet_length(url) AS LONG) AS url_size")
 
 
 def revisits(heads: DataFrame, shelf: Shelf, least: int = 1000) -> DataFrame:
@@ -73,25 +79,65 @@ def records(pages: DataFrame, refers: DataFrame, date: str = "2024-01-01T00:00:0
     return rows.select(F.expr(f"concat({head})").alias("record"))
 
 
-def write_archive(rows: DataFrame, path: str, per_file: int = 2000) -> None:
-    rows.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
-
-
-def parse(raw: bytes):
-    """(headers, block) of each record of an uncompressed archive."""
-    at = 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        version, *lines = raw[at:end].decode().split("\r\n")
+#: Bytes of the smallest size class.
+_CLASS = 1 << 16
+
+
+def write_archive(pages: DataFrame, refers: DataFrame, heads: DataFrame, path: str, volume: int = 1 << 27) -> None:
+    """Pages as an archive of files of at most ``volume`` bytes, or one record; refers and heads as of ``revisits`` and ``headers``."""
+    spark, size = pages.sparkSession, "coalesce(octet_length(html), 0) + coalesce(octet_length(url), 0)"
+    place = f"CAST(greatest(0, ceil(log(4, greatest(1, size) / {_CLASS}D) - 1e-9)) AS INT)"
+    used = sorted(r["k"] for r in heads.selectExpr("coalesce(size, 0) + coalesce(url_size, 0) AS size").selectExpr(f"{place} AS k").distinct().collect())  # at most 16: sizes are below 2^31
+    for k in used:
+        part = pages.where(F.expr(place.replace("size", f"({size})")) == k)
+        rows, each = records(part, refers), max(1, volume // (_CLASS * 4**k + 4096))
+        rows.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", each).text(f"{path}/class-{k}")
+    fields = "software: helixframe\r\nformat: WARC File Format 1.1\r\n"
+    info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(fields)}\r\n\r\n{fields}"
+    spark.createDataFrame([(info,)], "record string").write.option("lineSep", _END).option("compression", "gzip").text(f"{path}/info")
+
+
+def inflated(content, size: int = 1 << 20) -> Iterator[bytes]:
+    """A gzip file's bytes, piece by piece, member after member."""
+    view, z = memoryview(content), zlib.decompressobj(31)
+    for s in range(0, len(view), size):
+        data = view[s : s + size]
+        while len(data):
+            if out := z.decompress(data, 4 * size):
+                yield out
+            data = z.unconsumed_tail
+            if z.eof:
+                data, z = z.unused_data, zlib.decompressobj(31)
+    if out := z.flush():
+        yield out
+
+
+def parse(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of an archive's bytes."""
+    more, held, place = iter(pieces), bytearray(), 0
+
+    def fill(enough) -> bool:
+        while not enough():
+            piece = next(more, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while fill(lambda: len(held) > 0):
+        if not fill(lambda: held.find(b"\r\n\r\n") >= 0):
+            raise ValueError(f"no end of headers after byte {place}")
+        start = held.find(b"\r\n\r\n") + 4
+        version, *lines = held[: start - 4].decode().split("\r\n")
         if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record at byte {place}")
         head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start = end + 4
-        at = start + int(head["content-length"])
-        yield head, raw[start:at]
-        if raw[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"no record end at byte {at}")
-        at += 4
+        end = start + int(head["content-length"])
+        if not fill(lambda: len(held) >= end + 4) or held[end : end + 4] != b"\r\n\r\n":
+            raise ValueError(f"no record end at byte {place + end}")
+        yield head, bytes(held[start:end])
+        del held[: end + 4]
+        place += end + 4
 
 
 def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
@@ -103,12 +149,18 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
     fields = [("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("refers_to_id", pa.string()), ("digest", pa.string()), ("size", pa.int64())] + [("payload", pa.binary())] * payloads
     schema = pa.schema(fields)
 
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    @lean
     def read(batches):
         for batch in batches:
             for content in batch["content"]:
-                rows = []
-                for head, block in parse(zlib.decompress(content.as_buffer(), 31)):
-                    kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
+                rows, held = [], 0
+                for head, block in parse(inflated(content.as_buffer())):
+                    if (kind := head["warc-type"]) == "warcinfo":
+                        continue
+                    digest = head["warc-payload-digest"].removeprefix("sha1:")
                     payload = None
                     if kind == "response":
                         payload = block.partition(b"\r\n\r\n")[2]
@@ -116,11 +168,15 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
                             raise ValueError(f"{head['warc-record-id']}: the payload has another digest")
                     page = None if head["x-page-id"] == "null" else int(head["x-page-id"])
                     rows.append((head["warc-record-id"], kind, page, head["warc-target-uri"], head.get("warc-refers-to"), digest, None if payload is None else len(payload), payload)[: len(schema)])
+                    held += len(block) * payloads
+                    if len(rows) >= 10_000 or held >= 1 << 24:
+                        yield table(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield table(rows)
 
     ddl = "record_id string, record_type string, page_id long, url string, refers_to_id string, digest string, size long" + ", payload binary" * payloads
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInArrow(read, ddl)
 
 
@@ -139,5 +195,5 @@ def archive_pages(pages: DataFrame, path: str | None = None, least: int = 1000)
     shelf = Shelf(spark, "warc")
     path = path or f"{shelf.root}/archive-{uuid.uuid4().hex}"
     heads = shelf.put(headers(pages))
-    write_archive(records(pages, shelf.put(revisits(heads, shelf, least))), path)
+    write_archive(pages, shelf.put(revisits(heads, shelf, least)), heads, path)
     return resolve(shelf.put(read_archive(spark, path)))
