@@ -150,3 +150,39 @@ def rebuild(points: DataFrame, runs: DataFrame, step: float = 3.8) -> DataFrame:
     for c in "xyz":
         rows = interpolate(rows, "from_ref", c, step)
     return rows.selectExpr("ref_id", "pos AS q_pos", "from_ref", "x", "y", "z")
+
+
+def close_loops(loops: DataFrame, tolerance: float = 0.15, turns: int = 200) -> DataFrame:
+    """(ref_id, pos, x, y, z, distance) of loops whose last point is brought to its target by cyclic coordinate descent.
+
+    Loops are (ref_id, pos, x, y, z, tx, ty, tz): points in order, the target on each
+    row.  Each bond in turn is the axis about which all that follows turns as close to
+    the target as it can; a loop is one group, bounded by its length.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    schema = pa.schema([("ref_id", pa.int64()), ("pos", pa.int64()), *((c, pa.float64()) for c in ("x", "y", "z", "distance"))])
+
+    def close(table):
+        table = table.sort_by("pos")
+        p = np.stack([table[c].to_numpy() for c in "xyz"], axis=1)
+        goal = np.array([table[c][0].as_py() for c in ("tx", "ty", "tz")])
+        for _ in range(turns):
+            if np.linalg.norm(p[-1] - goal) <= tolerance:
+                break
+            for k in range(len(p) - 2):
+                axis = p[k + 1] - p[k]
+                size = np.linalg.norm(axis)
+                if size < 1e-10:
+                    continue
+                axis = axis / size
+                have, want = (v - (v @ axis) * axis for v in (p[-1] - p[k], goal - p[k]))
+                angle = np.arctan2(np.cross(axis, have) @ want, have @ want)
+                rest = p[k + 2 :] - p[k]
+                p[k + 2 :] = p[k] + rest * np.cos(angle) + np.cross(axis, rest) * np.sin(angle) + np.outer(rest @ axis, axis) * (1 - np.cos(angle))
+        off = np.full(len(p), np.linalg.norm(p[-1] - goal))
+        return pa.Table.from_arrays([table["ref_id"].combine_chunks(), table["pos"].combine_chunks(), *(pa.array(p[:, k]) for k in range(3)), pa.array(off)], schema=schema)
+
+    rows = loops.selectExpr("CAST(ref_id AS LONG) AS ref_id", "CAST(pos AS LONG) AS pos", *(f"CAST({c} AS DOUBLE) AS {c}" for c in ("x", "y", "z", "tx", "ty", "tz")))
+    return rows.groupBy("ref_id").applyInArrow(close, "ref_id long, pos long, x double, y double, z double, distance double")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import accession as acc
 from ..functions import alphabet, alignment
-from ..operators import hits, lookup, search, structures
+from ..operators import cascade, hits, lookup, search, structures
 
 
 def _t(spark, d, name):
@@ -175,11 +175,11 @@ def frequency_totals(s, d):
 
 
 def classes(found, queries, targets):
-    """(query, row_idx, class), a row for each query: A with its first candidate that passes, else B or C by its best ranked, C without a row_idx where nothing could be aligned."""
+    """(query, row_idx, class), a row for each query: A with its first candidate that passes, else B or C by its best ranked, C without a row_idx where nothing could be aligned.  B asks for an identity of 0.4 over the query's span."""
     rows = hits.annotate(found, queries, targets).select("query", "row_idx", "shared", "full_qseq", "full_sseq")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    picked = rows.groupBy("query").applyInPandas(alignment.first_class_a(), f"query {kinds['query']}, row_idx {kinds['row_idx']}, q string, s string, class_a boolean")
-    kind = F.when(F.col("class_a"), "A").when(alignment.class_b(F.col("q"), F.col("s")), "B").otherwise("C")
+    picked = rows.groupBy("query").applyInPandas(alignment.first_class_a(), f"query {kinds['query']}, row_idx {kinds['row_idx']}, q string, s string, class_a boolean, identity double")
+    kind = F.when(F.col("class_a"), "A").when(alignment.class_b(F.col("q"), F.col("s")) & (F.col("identity") >= 0.4), "B").otherwise("C")
     return queries.select("query").join(picked.select("query", "row_idx", kind.alias("class")), "query", "left").na.fill("C", ["class"])
 
 
@@ -190,6 +190,14 @@ def identity_classes(s, d):
     return classes(search.containment_search(search.build_index(_db(s, d)), _q(s, d), top=100), q, t)
 
 
+def full_cascade(s, d):
+    """Template classes of all queries, C split by coverage and identity, D without a hit."""
+    q = _q(s, d).select("query", alphabet.strip(F.col("text")).alias("seq"))
+    t = _db(s, d).select("row_idx", alphabet.strip(F.col("text")).alias("seq"))
+    found = search.containment_search(search.build_index(_db(s, d)), _q(s, d), top=100)
+    return cascade.template_classes(classes(found, q, t), cascade.aligned_hits(found, q, t), q)
+
+
 def first_seen(s, d):
     return hits.first_seen(_t(s, d, "events"), "user_id", "event_id")
 
@@ -204,7 +212,7 @@ def mask_letter(s, d):
     return _t(s, d, "benchmark").select("item_id", x.alias("x")).select("item_id", F.md5("x.masked").alias("masked"), F.size("x.at").cast("long").alias("n"))
 
 
-_NAMES = (first_seen, first_qualifying, mask_letter, chain_breaks, break_segments, segment_islands, uncovered_segments, interpolate_anchors, pae_edges, expand_indices, domain_gate, status_counts, status_map_default, frequency_totals, identity_classes, fasta_filter, recode_alphabets, kmer_doc_freq, kmer_keep_band, bottom_n_sketch, posting_lists, sketch_search_topk, sketch_search_segmented, annotate_hits, best_hit_per_query, cascade_anti_join, merge_hits_union_by_name, hits_filter_tolerant, prefix_partition_lookup, parse_accession, gap_rules, nw_best_hits)
+_NAMES = (full_cascade, first_seen, first_qualifying, mask_letter, chain_breaks, break_segments, segment_islands, uncovered_segments, interpolate_anchors, pae_edges, expand_indices, domain_gate, status_counts, status_map_default, frequency_totals, identity_classes, fasta_filter, recode_alphabets, kmer_doc_freq, kmer_keep_band, bottom_n_sketch, posting_lists, sketch_search_topk, sketch_search_segmented, annotate_hits, best_hit_per_query, cascade_anti_join, merge_hits_union_by_name, hits_filter_tolerant, prefix_partition_lookup, parse_accession, gap_rules, nw_best_hits)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 

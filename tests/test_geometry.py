@@ -64,3 +64,19 @@ def test_domain_marks(spark):
     runs = aligned.edit_runs(pairs)
     assert [tuple(r)[2:] for r in runs.orderBy("run").collect()] == [("M", 2, 0, 3), ("D", 5, 3, 1), ("M", 6, 3, 1), ("I", 7, 4, 1)]
     assert [r.marks for r in aligned.domain_marks(aligned.reference_marks(pairs), runs, 100).collect()] == ["|:|-|-"]
+
+
+def test_closed_loops(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for r in range(5):
+        steps = rng.normal(size=(8, 3))
+        p = np.cumsum(3.8 * steps / np.linalg.norm(steps, axis=1, keepdims=True), axis=0)
+        goal = p[0] + (p[-1] - p[0]) * 0.7 + rng.normal(size=3)
+        rows += [(r, k, *map(float, p[k]), *map(float, goal)) for k in range(8)]
+    loops = spark.createDataFrame(rows, "ref_id long, pos long, x double, y double, z double, tx double, ty double, tz double")
+    out = geometry.close_loops(loops).collect()
+    at = {(r.ref_id, r.pos): np.array([r.x, r.y, r.z]) for r in out}
+    assert max(r.distance for r in out) <= 0.15
+    for r in range(5):
+        assert [np.linalg.norm(at[r, k + 1] - at[r, k]) for k in range(7)] == pytest.approx([3.8] * 7)
