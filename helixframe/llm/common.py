@@ -40,10 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Where the session has Spark's own limit, let batches sent to Python end at ``size`` bytes: texts may be long, and a batch stands in memory on both sides."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit) == "67108864b":
+        spark.conf.set(limit, str(size))
+
+
 class Shelf:
     """Tables written to the shared folder to cut lineage; each can be dropped when a later one replaces it."""
 
     def __init__(self, spark: SparkSession, tag: str):
+        bounded_batches(spark)
         self.spark, self.root, self.n, self.held = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0, {}
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -276,7 +284,8 @@ class Dealer:
     ddl = "bucket int, done boolean, blob binary"
 
     def __init__(self, buckets: int, settle, flush: int = 1 << 20):
-        self.bits, self.settle, self.parts, self.n, self.at = buckets.bit_length() - 1, settle, [], 0, flush
+        # with very many buckets more is gathered before it is dealt, so that a blob holds several entries
+        self.bits, self.settle, self.parts, self.n, self.at = buckets.bit_length() - 1, settle, [], 0, min(1 << 22, max(flush, 8 * buckets))
 
     def add(self, *arrays: np.ndarray):
         self.parts.append(arrays)
