@@ -152,3 +152,15 @@ def offsets(runs: DataFrame, n: str = "n") -> DataFrame:
     """Rows with ``offset``: where each run begins when a reference's runs stand one after the other."""
     by = Window.partitionBy("ref_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     return runs.withColumn("offset", F.coalesce(F.sum(n).over(by), F.lit(0)))
+
+
+def classified_domains(marks: DataFrame, contexts: DataFrame, width: int, window: int = 40, threshold: float = 0.8) -> DataFrame:
+    """(ref_id, domain_id, passes): domains (``domain_marks``) whose windows pass and that no indel within a strand (``indel_context``) touches."""
+    bad = domain_runs(contexts.where("context = 'E'"), width).select("ref_id", "domain_id").distinct().withColumn("bad", F.lit(True))
+
+    @F.pandas_udf("boolean")
+    def good(m):
+        return m.map(lambda x: alignment.windows_pass(x or "", window, threshold))
+
+    rows = marks.join(bad, ["ref_id", "domain_id"], "left")
+    return rows.select("ref_id", "domain_id", (good("marks") & F.col("bad").isNull()).alias("passes"))

@@ -70,3 +70,48 @@ def qualified(domains: DataFrame, least: int = 30, plddt: float = 70.0) -> DataF
     """Status of each domain (n, plddt): too small, unsure, or qualified; without values only size counts."""
     sure = F.coalesce(F.col("plddt") >= plddt, F.lit(True))
     return domains.withColumn("status", F.when(F.col("n") < least, "domain_too_small").when(~sure, "low_plddt").otherwise("ok"))
+
+
+def modularity_domains(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(ref_id, first, pos) of weighted edges (ref_id, i, j, weight): communities, merged greedily while that raises the modularity at a resolution.
+
+    Of equal gains the pair with the smallest nodes merges first; a community is
+    named by its smallest node.
+    """
+    schema = pa.schema([("ref_id", pa.int64()), ("first", pa.int64()), ("pos", pa.int64())])
+
+    def merge(table):
+        nodes, at = np.unique(np.r_[table["i"].to_numpy(), table["j"].to_numpy()], return_inverse=True)
+        i, j = np.split(at, 2)
+        n = len(nodes)
+        w = np.zeros((n, n))
+        np.add.at(w, (i, j), table["weight"].to_numpy())
+        w = w + w.T
+        total = w.sum()
+        share, gain = w.sum(axis=1) / total, w / total
+        gain = 2 * (gain - resolution * np.outer(share, share))
+        linked = w > 0
+        own, live = np.arange(n), np.ones(n, bool)
+        while True:
+            open_ = np.where(np.triu(linked, 1), gain, -np.inf)
+            best = int(open_.argmax()) if n > 1 else 0
+            a, b = divmod(best, n)
+            if n < 2 or not open_[a, b] > 1e-12:
+                break
+            gain[a] += gain[b]
+            gain[:, a] = gain[a]
+            linked[a] |= linked[b]
+            linked[:, a] = linked[a]
+            linked[a, a] = False
+            linked[b] = linked[:, b] = False
+            own[own == b], live[b] = a, False
+        ref = np.full(n, table["ref_id"][0].as_py(), np.int64)
+        return pa.Table.from_arrays([pa.array(ref), pa.array(nodes[own], pa.int64()), pa.array(nodes, pa.int64())], schema=schema)
+
+    rows = edges.selectExpr("CAST(ref_id AS LONG) AS ref_id", "CAST(i AS LONG) AS i", "CAST(j AS LONG) AS j", "CAST(weight AS DOUBLE) AS weight")
+    return rows.groupBy("ref_id").applyInArrow(merge, "ref_id long, first long, pos long")
+
+
+def matched_domain(marks: DataFrame) -> DataFrame:
+    """(ref_id, n, start, end): all reference positions that an alignment matches, as one domain."""
+    return marks.groupBy("ref_id").agg(F.count("*").alias("n"), F.min("ref_pos").alias("start"), F.max("ref_pos").alias("end"))

@@ -49,3 +49,14 @@ def lookup_scan(index: DataFrame, prefix: str) -> DataFrame:
 def todo(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Resume: what an existing output lacks."""
     return df.join(done.select(key), key, "left_anti")
+
+
+def first_tier(keys: DataFrame, key: str, *tiers: DataFrame) -> DataFrame:
+    """Keys with ``tier``, the place of the first table that has them, from 0; null where none does.  Each table is asked only for what those before lack."""
+    left, out = keys.select(key).distinct(), None
+    for place, tier in enumerate(tiers):
+        have = left.join(tier.select(key).distinct(), key, "left_semi").withColumn("tier", F.lit(place))
+        out = have if out is None else out.unionAll(have)
+        left = left.join(tier.select(key).distinct(), key, "left_anti")
+    rest = left.withColumn("tier", F.lit(None).cast("int"))
+    return rest if out is None else out.unionAll(rest)

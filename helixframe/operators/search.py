@@ -71,5 +71,16 @@ def write_index(postings: DataFrame, path: str, meta: dict[str, str]) -> None:
 
 
 def read_index(spark, path: str) -> tuple[DataFrame, dict[str, str]]:
-    meta = {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/meta").limit(100).collect()}
+    # an index that doesn't name its scheme or length was made with these
+    meta = {"scheme": "murphy2000_5", "k": "11"} | {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/meta").limit(100).collect()}
     return spark.read.parquet(f"{path}/postings"), meta
+
+
+def sketch_arrays(sketches: DataFrame, n: int) -> DataFrame:
+    """(row_idx, sketch): each sketch as an array of fixed length, filled up with the largest 32-bit number."""
+    rows = sketches.groupBy("row_idx").agg(F.sort_array(F.collect_list("h")).alias("s"))
+    return rows.select("row_idx", F.concat("s", F.array_repeat(F.lit((1 << 32) - 1), F.greatest(F.lit(n) - F.size("s"), F.lit(0)))).alias("sketch"))
+
+
+def write_sketches(sketches: DataFrame, path: str, n: int) -> None:
+    sketch_arrays(sketches, n).write.option("compression", "zstd").parquet(path)

@@ -81,6 +81,19 @@ def indel_context(s, d):
     return aligned.indel_context(aligned.edit_runs(p), states)
 
 
+def classified_domains(s, d):
+    p = _pairs(s, d)
+    marks, runs = aligned.reference_marks(p), aligned.edit_runs(p)
+    states = marks.select("ref_id", "ref_pos", aligned.structure_letter(F.col("residue")).alias("ss"))
+    return aligned.classified_domains(aligned.domain_marks(marks, runs, 50), aligned.indel_context(runs, states), 50, 20, 0.05)
+
+
+def matched_domain(s, d):
+    from ..operators import domains
+
+    return domains.matched_domain(aligned.reference_marks(_pairs(s, d)))
+
+
 def window_rule(s, d):
     """Whether all windows of a document's residues over the same backwards have their share of similar ones."""
     seq = alphabet.strip(F.col("text"))
@@ -113,7 +126,7 @@ def alignment_scores(s, d):
     return pairs.select("q", "s", whole["score"].cast("long").alias("whole"), local["score"].cast("long").alias("local"))
 
 
-_NAMES = (edit_runs, run_offsets, indel_histogram, identity_split, identity_filter, reference_marks, domain_marks, domain_scores, best_domain, domain_runs, query_positions, indel_context, window_rule, class_b_rule, residue_names, restore_letter, alignment_scores)
+_NAMES = (edit_runs, run_offsets, indel_histogram, identity_split, identity_filter, reference_marks, domain_marks, domain_scores, best_domain, domain_runs, query_positions, indel_context, classified_domains, matched_domain, window_rule, class_b_rule, residue_names, restore_letter, alignment_scores)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _SIMILAR = "".join(f",{a}{b}" for a in alignment.ORDER for b in alignment.ORDER if a != b and alignment.MATRICES["BLOSUM45"][ord(a), ord(b)] > 0) + ","
@@ -174,6 +187,15 @@ SELECT ref_id, domain_id, op, count(*) AS n FROM t GROUP BY 1, 2, 3""",
     "indel_context": _RUN + f""", z AS (SELECT ref_id, ref_pos, {_STATE} AS ss FROM p WHERE op = 'M')
 SELECT r.ref_id, r.run, r.op, r.ref_pos, r.n, CASE WHEN x.ss = y.ss AND x.ss IN ('H', 'E') THEN x.ss ELSE 'C' END AS context FROM r
 LEFT JOIN z x ON x.ref_id = r.ref_id AND x.ref_pos = r.ref_pos - 1 LEFT JOIN z y ON y.ref_id = r.ref_id AND y.ref_pos = r.ref_pos + CASE WHEN op = 'D' THEN r.n ELSE 0 END WHERE op <> 'M'""",
+    "classified_domains": _RUN + f""", z AS (SELECT ref_id, ref_pos, {_STATE} AS ss FROM p WHERE op = 'M'),
+e AS (SELECT r.* FROM r JOIN z x ON x.ref_id = r.ref_id AND x.ref_pos = r.ref_pos - 1 JOIN z y ON y.ref_id = r.ref_id AND y.ref_pos = r.ref_pos + CASE WHEN op = 'D' THEN r.n ELSE 0 END WHERE op <> 'M' AND x.ss = 'E' AND y.ss = 'E'),
+bad AS (SELECT DISTINCT ref_id, unnest(CASE WHEN op = 'I' THEN [greatest(ref_pos - 1, 0) // 50, ref_pos // 50] ELSE range(ref_pos // 50, (ref_pos + n - 1) // 50 + 1) END) AS domain_id FROM e),
+y AS (SELECT ref_id, ref_pos // 50 AS domain_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY ref_id, ref_pos // 50) AS m,
+  sum(CASE WHEN op = 'M' AND {_MARK} IN ('|', ':') THEN 1 ELSE 0 END) OVER (PARTITION BY ref_id, ref_pos // 50 ORDER BY ref_pos, op <> 'I', i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS hit
+  FROM p WINDOW w AS (PARTITION BY ref_id, ref_pos // 50 ORDER BY ref_pos, op <> 'I', i)),
+t AS (SELECT ref_id, domain_id, min(hit) FILTER (k >= least(m, 20)) >= 0.05::DOUBLE * least(any_value(m), 20) AS ok FROM y GROUP BY 1, 2)
+SELECT t.ref_id, t.domain_id, ok AND bad.domain_id IS NULL AS passes FROM t LEFT JOIN bad ON bad.ref_id = t.ref_id AND bad.domain_id = t.domain_id""",
+    "matched_domain": _COLS + """ SELECT ref_id, count(*) AS n, min(ref_pos) AS start, max(ref_pos) AS "end" FROM p WHERE op = 'M' GROUP BY ref_id""",
     "window_rule": f"""WITH d AS (SELECT doc_id AS ref_id, upper(regexp_replace(coalesce(text, ''), '[^{alphabet.RESIDUES}{alphabet.RESIDUES.lower()}]', '', 'g')) AS q FROM documents),
 c AS (SELECT ref_id, i, length(q) AS m, substr(q, i::INT, 1) AS a, substr(reverse(q), i::INT, 1) AS b FROM (SELECT *, unnest(range(1, length(q) + 1)) AS i FROM d)),
 h AS (SELECT ref_id, i, least(m, 40) AS w, sum((a = b OR contains('{_SIMILAR}', ',' || a || b || ','))::INT) OVER (PARTITION BY ref_id ORDER BY i ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) AS k FROM c)

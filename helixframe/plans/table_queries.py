@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import accession as acc
-from ..operators import batching, hits
-from .queries import _HITS, best_hit_per_query, sketch_search_topk
+from ..functions import alphabet
+from ..operators import batching, hits, lookup, search
+from .queries import _HITS, _SKETCH, best_hit_per_query, sketch_search_topk
 
 
 def _t(spark, d, name):
@@ -128,6 +129,23 @@ def adaptive_rounds(s, d):
     return out.select("id", "score", F.col("turn").cast("long").alias("turn"))
 
 
+def tiered_lookup(s, d):
+    """The first of three stores that has a document."""
+    docs = _t(s, d, "documents")
+    return lookup.first_tier(docs, "doc_id", docs.where("source = 'src0'"), _t(s, d, "labels").where("quality = 1"), docs.where("lang = 'en'")).select("doc_id", F.col("tier").cast("long").alias("tier"))
+
+
+def resumed_rows(s, d):
+    """What an earlier run left to do."""
+    return lookup.todo(_t(s, d, "documents").select("doc_id"), _t(s, d, "labels").where("quality = 1"), "doc_id")
+
+
+def sketch_arrays(s, d):
+    k = alphabet.distinct_kmers(_t(s, d, "documents").selectExpr("doc_id AS row_idx", "text"), "row_idx", "text")
+    kept = search.sketches(k, search.keep_band(search.document_frequency(k), 10), 100)
+    return search.sketch_arrays(kept, 100).select("row_idx", F.md5(F.array_join("sketch", ",")).alias("sketch"))
+
+
 def _ids(s, d):
     return _t(s, d, "documents").selectExpr("doc_id", "CASE pmod(doc_id, 4) WHEN 0 THEN concat(md5(CAST(doc_id AS STRING)), '|', doc_id, '|', doc_id * 3) WHEN 1 THEN concat('h', doc_id, '|x|3') WHEN 2 THEN concat('AF-Q', doc_id, '-F1') ELSE concat('a b/', doc_id, '.é') END AS id")
 
@@ -161,12 +179,10 @@ def first_column(s, d):
 
 def scan_lookup(s, d):
     """Keys of one prefix."""
-    from ..operators import lookup
-
     return lookup.lookup_scan(_t(s, d, "documents").select(F.md5(F.col("doc_id").cast("string")).alias("protein_hash")), "a")
 
 
-_NAMES = (distinct_counts, timing_stats, status_histogram, status_prefixes, sorted_filter, bound_if_present, top_orders, head_per_group, select_top_hits, set_union, set_difference, cascade_coverage, selected_queries, containment_gate, template_gates, first_success, stop_rule, length_gate, token_batches, batch_costs, adaptive_rounds, composite_ids, safe_names, file_urls, database_labels, first_column, scan_lookup)
+_NAMES = (distinct_counts, timing_stats, status_histogram, status_prefixes, sorted_filter, bound_if_present, top_orders, head_per_group, select_top_hits, set_union, set_difference, cascade_coverage, selected_queries, containment_gate, template_gates, first_success, stop_rule, length_gate, token_batches, batch_costs, adaptive_rounds, tiered_lookup, resumed_rows, sketch_arrays, composite_ids, safe_names, file_urls, database_labels, first_column, scan_lookup)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _IDS = "WITH i AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN md5(doc_id::VARCHAR) || '|' || doc_id || '|' || doc_id * 3 WHEN 1 THEN 'h' || doc_id || '|x|3' WHEN 2 THEN 'AF-Q' || doc_id || '-F1' ELSE 'a b/' || doc_id || '.é' END AS id FROM documents)"
@@ -198,6 +214,9 @@ SQL = {
     "batch_costs": _BATCH + " SELECT lane, batch, count(*) AS items, max(length) AS longest, count(*) * max(length) * max(length) AS cost FROM b GROUP BY 1, 2",
     "adaptive_rounds": """WITH s AS (SELECT c_custkey AS id, turn, (c_custkey * 37 + turn * 53) % 101 AS score FROM customer CROSS JOIN (SELECT unnest(range(0, 5)) AS turn))
 SELECT id, score, turn FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn) AS k FROM s WHERE score >= 80 OR turn >= 4 OR turn = 0 AND score < 15) WHERE k = 1""",
+    "tiered_lookup": "SELECT doc_id, CASE WHEN source = 'src0' THEN 0 WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 WHEN lang = 'en' THEN 2 END::BIGINT AS tier FROM documents",
+    "resumed_rows": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
+    "sketch_arrays": _SKETCH + " SELECT id AS row_idx, md5(array_to_string(list_resize(list(h ORDER BY h), 100, 4294967295), ',')) AS sketch FROM p GROUP BY id",
     "composite_ids": _IDS + " SELECT doc_id, split_part(id, '|', 1) AS hash, CASE WHEN doc_id % 4 = 0 THEN doc_id ELSE -1 END AS fragment_id, CASE WHEN doc_id % 4 = 0 THEN doc_id * 3 ELSE -1 END AS frag_row FROM i",
     "safe_names": _IDS + r" SELECT doc_id, regexp_replace(id, '[^A-Za-z0-9_.-]', '_', 'g') AS name, split_part(id, '|', 1) AS first FROM i WHERE doc_id % 4 <> 3",
     "file_urls": _IDS + " SELECT doc_id, 'https://models.example/files/' || id || '-model_v6.pdb' AS model, 'https://models.example/files/' || id || '-predicted_aligned_error_v6.json' AS pae, id || '-model_v6.pdb' AS name FROM i WHERE id LIKE 'AF-%'",

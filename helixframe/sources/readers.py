@@ -182,3 +182,81 @@ def append_rows(df: DataFrame, path: str, key: str) -> None:
 def create_index_table(df: DataFrame, name: str, key: str, buckets: int = 16) -> None:
     """A table in the warehouse, bucketed and sorted by its key: what an index is for."""
     df.write.bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(name)
+
+
+def read_pae(spark: SparkSession, path: str, step: int = 1) -> DataFrame:
+    """(ref_id, i, j, pae) of all JSON error matrices under a path, the file's stem as id."""
+    texts = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(?:\.json)?$", 1).alias("ref_id"), "value")
+    return pae_cells(texts, step)
+
+
+# fixed values: the 37 heavy atoms of residues in the order in which structure models write them
+ATOM37 = (
+    "N", "CA", "C", "CB", "O", "CG", "CG1", "CG2", "OG", "OG1", "SG", "CD", "CD1", "CD2", "ND1", "ND2", "OD1", "OD2", "SD",
+    "CE", "CE1", "CE2", "CE3", "NE", "NE1", "NE2", "OE1", "OE2", "CH2", "NH1", "NH2", "OH", "CZ", "CZ2", "CZ3", "NZ", "OXT",
+)
+
+
+def atom37_rows(structures: DataFrame) -> DataFrame:
+    """Atoms of structures (ref_id, sequence, mask, positions, confidence, residue_index): a row for each atom whose mask holds.
+
+    Mask and positions are arrays over residues of arrays over ``ATOM37``; a
+    confidence of at most 1.01 anywhere is a fraction, and becomes percent.
+    """
+    from ..functions.alphabet import three_letters
+
+    scale = F.when(F.array_max("confidence") <= 1.01, 100.0).otherwise(1.0)
+    each = F.arrays_zip(three_letters(F.col("sequence")).alias("resname"), F.col("mask"), F.col("positions"), F.col("confidence"), F.col("residue_index"))
+    rows = structures.withColumn("scale", scale).select("ref_id", "scale", F.explode(each).alias("r"))
+    rows = rows.select("ref_id", "scale", "r.*").select("ref_id", "scale", "resname", "confidence", "residue_index", F.posexplode(F.arrays_zip("mask", "positions")).alias("k", "a"))
+    name = F.element_at(F.array(*map(F.lit, ATOM37)), F.col("k") + 1)
+    xyz = (F.col("a.positions")[i].cast("double").alias(c) for i, c in enumerate("xyz"))
+    return rows.where("a.mask").select("ref_id", name.alias("atom"), "resname", F.lit("A").alias("chain"), F.col("residue_index").cast("int").alias("res"), *xyz, (F.col("confidence") * F.col("scale")).alias("plddt"))
+
+
+def decode_blobs(blobs: DataFrame) -> DataFrame:
+    """(ref_id, kind, value) of binary structures (ref_id, content): structure text as it is (pdb), zstd or gzip frames and brotli inflated, msgpack as JSON.
+
+    brotli and msgpack are read where their packages are installed, else such a blob's kind is ``unreadable``.
+    """
+    import gzip
+    import json
+
+    import pyarrow as pa
+    import zstandard
+
+    schema = pa.schema([("ref_id", pa.string()), ("kind", pa.string()), ("value", pa.string())])
+
+    def decode(raw: bytes) -> tuple[str, str | None]:
+        if raw[:4] == b"\x28\xb5\x2f\xfd":
+            raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+        elif raw[:2] == b"\x1f\x8b":
+            raw = gzip.decompress(raw)
+        if raw[:6].rstrip() in (b"HEADER", b"REMARK", b"ATOM", b"MODEL"):
+            return "pdb", raw.decode()
+        if raw[:1] in (b"{", b"["):
+            return "json", raw.decode()
+        try:
+            import brotli
+            import msgpack
+
+            return "json", json.dumps(msgpack.unpackb(brotli.decompress(raw)), default=lambda x: x.decode() if isinstance(x, bytes) else list(x))
+        except Exception:  # neither package, or neither format
+            return "unreadable", None
+
+    def run(batches):
+        for batch in batches:
+            rows = [(i, *decode(c)) if c is not None else (i, "missing", None) for i, c in zip(batch["ref_id"].to_pylist(), batch["content"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], schema=schema)
+
+    return blobs.select(F.col("ref_id").cast("string"), "content").mapInArrow(run, "ref_id string, kind string, value string")
+
+
+STRUCTURE = "struct<sequence: string, atom37_mask: array<array<boolean>>, atom37_positions: array<array<array<double>>>, confidence: array<double>, residue_index: array<int>>"
+
+
+def structures_of(decoded: DataFrame) -> DataFrame:
+    """What ``atom37_rows`` takes, of JSON structures; residues without an index are numbered from 1."""
+    rows = decoded.where("kind = 'json'").select("ref_id", F.from_json("value", STRUCTURE).alias("x")).where("x.sequence IS NOT NULL")
+    index = F.coalesce("x.residue_index", F.sequence(F.lit(1), F.length("x.sequence")))
+    return rows.select("ref_id", "x.sequence", F.col("x.atom37_mask").alias("mask"), F.col("x.atom37_positions").alias("positions"), "x.confidence", index.alias("residue_index"))

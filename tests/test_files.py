@@ -68,3 +68,29 @@ def test_append_and_index(spark, tmp_path):
         assert spark.table("indexed_rows").where("id = 3").first().v == 6 and about["Bucket Columns"] == about["Sort Columns"] == "[`id`]"
     finally:
         spark.sql("DROP TABLE indexed_rows")
+
+
+def test_error_matrices_of_a_folder(spark, tmp_path):
+    import json
+
+    for name, k in (("one", 1), ("two", 2)):
+        (tmp_path / f"{name}.json").write_text(json.dumps([{"predicted_aligned_error": [[k * (3 * i + j) for j in range(3)] for i in range(3)]}]))
+    got = {(r.ref_id, r.i, r.j): r.pae for r in readers.read_pae(spark, str(tmp_path)).collect()}
+    assert len(got) == 18 and got["two", 2, 1] == 14
+
+
+def test_blobs(spark):
+    import gzip as gz
+    import json
+
+    import zstandard
+
+    n = len(readers.ATOM37)
+    mask = [[k < 3 for k in range(n)], [k == 1 for k in range(n)]]
+    x = {"sequence": "WX", "atom37_mask": mask, "atom37_positions": [[[r, k, 0.5] for k in range(n)] for r in range(2)], "confidence": [0.5, 1.0]}
+    pdb = b"HEADER x\nATOM"
+    blobs = [("a", pdb), ("b", zstandard.ZstdCompressor().compress(json.dumps(x).encode())), ("c", gz.compress(pdb)), ("d", b"\x00\x01"), ("e", None)]
+    decoded = readers.decode_blobs(spark.createDataFrame(blobs, "ref_id string, content binary"))
+    assert {r.ref_id: r.kind for r in decoded.collect()} == {"a": "pdb", "b": "json", "c": "pdb", "d": "unreadable", "e": "missing"}
+    rows = sorted((r.res, r.atom, r.resname, r.x, r.y, r.plddt) for r in readers.atom37_rows(readers.structures_of(decoded)).collect())
+    assert rows == [(1, "C", "TRP", 0, 2, 50), (1, "CA", "TRP", 0, 1, 50), (1, "N", "TRP", 0, 0, 50), (2, "CA", "UNK", 1, 1, 100)]

@@ -80,3 +80,26 @@ def test_closed_loops(spark):
     assert max(r.distance for r in out) <= 0.15
     for r in range(5):
         assert [np.linalg.norm(at[r, k + 1] - at[r, k]) for k in range(7)] == pytest.approx([3.8] * 7)
+
+
+def test_modularity(spark):
+    rng = np.random.default_rng(4)
+    edges = [(1, i, j, 1.0) for k in range(3) for i in range(6 * k, 6 * k + 6) for j in range(i + 1, 6 * k + 6)]
+    edges += [(1, 2, 8, 0.5), (1, 9, 14, 0.5)] + [(2, int(i), int(j), float(w)) for i, j, w in zip(rng.integers(0, 5, 9), rng.integers(5, 9, 9), rng.random(9))]
+    got = {(r.ref_id, r.pos): r.first for r in domains.modularity_domains(spark.createDataFrame(edges, "ref_id long, i long, j long, weight double")).collect()}
+    assert all(got[1, k] == k // 6 * 6 for k in range(18))
+
+    def modularity(own, ref):
+        w = [e for e in edges if e[0] == ref]
+        total, share, inner = sum(e[3] for e in w), {}, 0
+        for _, i, j, x in w:
+            inner += x / total * (own[i] == own[j])
+            for k in (i, j):
+                share[own[k]] = share.get(own[k], 0) + x / total / 2
+        return inner - sum(v * v for v in share.values())
+
+    own = {p: f for (r, p), f in got.items() if r == 2}
+    best = modularity(own, 2)
+    for a in set(own.values()):
+        for b in set(own.values()):
+            assert modularity({p: a if f == b else f for p, f in own.items()}, 2) <= best + 1e-9

@@ -57,7 +57,7 @@ def test_index_round_trip(spark, tmp_path):
     index = search.build_index(docs)
     search.write_index(index, str(tmp_path / "i"), {"k": "9"})
     back, meta = search.read_index(spark, str(tmp_path / "i"))
-    assert meta == {"k": "9"} and sorted(back.collect()) == sorted(index.collect())
+    assert meta == {"scheme": "murphy2000_5", "k": "9"} and sorted(back.collect()) == sorted(index.collect())
     got = search.containment_search(back, docs.where("row_idx = 1").selectExpr("row_idx AS query", "text"))
     assert [r.row_idx for r in got.orderBy(F.desc("row_idx")).collect()] == [2, 1]
     assert search.max_frequency(0.001, 1000) == 1 and search.max_frequency(0.001, 5000) == 5 and search.max_frequency(50, 9) == 50
@@ -65,6 +65,8 @@ def test_index_round_trip(spark, tmp_path):
     lookup.write_prefix_index(rows, str(tmp_path / "p"))
     found = lookup.lookup(lookup.read_prefix_index(spark, str(tmp_path / "p")), rows.where("frag_row = 1"))
     assert [r.protein_hash for r in found.collect()] == ["cd"]
+    plan = lookup.read_prefix_index(spark, str(tmp_path / "p")).where("prefix = 'c'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(prefix" in plan
 
 
 def test_expand(spark):
