@@ -25,10 +25,10 @@ from helixframe.llm.quality import perplexities
 
 
 def _without(docs: DataFrame, judged: DataFrame, tag: str) -> DataFrame:
-    """Rows of ``docs`` whose doc_id and text ``judged`` (doc_id, mark, kept) keeps; the dropped are written first, so that the join can size both sides."""
+    """Rows of ``docs`` whose doc_id and text ``judged`` (doc_id, mark, kept) keeps; the same join at every size, whatever their number."""
     gone = Shelf(docs.sparkSession, tag).put(judged.where("NOT kept").selectExpr("doc_id AS _gone", "mark AS _mark").distinct())
     same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_mark"])
-    return docs.join(gone, same, "left_anti")
+    return docs.join(gone.hint("merge"), same, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = shelf.put(groups.where("NOT kept").select("doc_id", "_sha").distinct())
     again = groups.where("kept AND group_size > 1").groupBy("doc_id", "_sha").count().where("count > 1").select("doc_id", "_sha")
     sha = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), " \t\n\x0b\x0c\r", "").cast("binary"), 256)
-    out = docs.withColumn("_sha", sha).join(gone, ["doc_id", "_sha"], "left_anti")
+    out = docs.withColumn("_sha", sha).join(gone.hint("merge"), ["doc_id", "_sha"], "left_anti")
     if again.isEmpty():
         return out.select(*docs.columns)
     once = out.join(again, ["doc_id", "_sha"], "left_semi").dropDuplicates(["doc_id", "_sha"])
