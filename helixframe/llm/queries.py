@@ -13,6 +13,7 @@ from .licenses import license_scan
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import perplexities
+from .row_patterns import row_matches
 from .substring_dedup import remove_repeats
 from .url_filter import filter_urls
 from .vector_dedup import near_vectors
@@ -65,6 +66,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_row_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return row_matches(_table(spark, sf_dir, "clicks"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_license_scan, op3_url_filter, op4_exact_dedup, op5_warc, op6_quality_classifier, op7_packing, op8_mixing, op9_vector_dedup, op10_jaccard_join, pipeline)
+    for f in (op1_substring_dedup, op2_license_scan, op3_url_filter, op4_exact_dedup, op5_warc, op6_quality_classifier, op7_packing, op8_mixing, op9_vector_dedup, op10_jaccard_join, op11_row_patterns, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -127,4 +132,17 @@ l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc
 c AS (SELECT doc_id AS id, doc_id AS r FROM documents UNION SELECT c.id, l.b FROM c JOIN l ON c.r = l.a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.r AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(r) AS r FROM c GROUP BY id) m ON m.id = d.doc_id""",
+    "op11_row_patterns": """
+WITH RECURSIVE d AS (SELECT DISTINCT click_id, ts, arrived_at, client_id, kind, value, props FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+s AS (SELECT client_id, click_id, ts, kind, CASE WHEN isfinite(value) THEN floor(100 * value + 0.5)::BIGINT END AS c, row_number() OVER (PARTITION BY client_id ORDER BY ts, click_id) AS i FROM d),
+p AS (SELECT *, lag(c) OVER w AS pc, coalesce(ts - lag(ts) OVER w <= INTERVAL 10 MINUTE, false) AS near FROM s WINDOW w AS (PARTITION BY client_id ORDER BY i)),
+f AS MATERIALIZED (SELECT *, coalesce(near AND c <> pc AND kind <> 'error', false) AS mid, coalesce(near AND kind = 'purchase' AND c IS NOT NULL, false) AS goal FROM p),
+r AS MATERIALIZED (SELECT *, sum((NOT mid)::INT) OVER (PARTITION BY client_id ORDER BY i) AS run FROM f),
+b AS (SELECT *, lag(run) OVER (PARTITION BY client_id ORDER BY i) AS prior FROM r),
+m AS MATERIALIZED (SELECT a.client_id, a.i, min(g.i) AS j FROM r a JOIN b g ON a.client_id = g.client_id AND g.goal AND g.prior = a.run AND g.i > a.i AND g.c >= a.c GROUP BY 1, 2),
+t AS (SELECT client_id, min(i) AS i, 1::BIGINT AS no FROM m GROUP BY 1
+  UNION ALL SELECT t.client_id, (SELECT min(q.i) FROM m q WHERE q.client_id = t.client_id AND q.i > n.j) AS i, no + 1 FROM t JOIN m n ON n.client_id = t.client_id AND n.i = t.i WHERE t.i IS NOT NULL)
+SELECT t.client_id, t.no AS match_no, arg_min(r.click_id, r.i) AS first_id, arg_max(r.click_id, r.i) AS last_id, count(*) AS n_rows, sum(r.c)::BIGINT AS sum_cents,
+  sha256(string_agg(CASE WHEN r.i = n.i THEN 'A' WHEN r.i = n.j THEN 'P' WHEN r.c < r.pc THEN 'D' ELSE 'U' END, '' ORDER BY r.i)) AS labels_sha256
+FROM t JOIN m n ON n.client_id = t.client_id AND n.i = t.i JOIN r ON r.client_id = t.client_id AND r.i BETWEEN n.i AND n.j GROUP BY 1, 2""",
 }
