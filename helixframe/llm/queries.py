@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversation_trie import prefix_trie
 from .exact_dedup import exact_groups
 from .jaccard_join import near_duplicates
 from .licenses import license_scan
@@ -70,6 +71,10 @@ def op11_row_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_matches(_table(spark, sf_dir, "clicks"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_license_scan, op3_url_filter, op4_exact_dedup, op5_warc, op6_quality_classifier, op7_packing, op8_mixing, op9_vector_dedup, op10_jaccard_join, op11_row_patterns, pipeline)
+    for f in (op1_substring_dedup, op2_license_scan, op3_url_filter, op4_exact_dedup, op5_warc, op6_quality_classifier, op7_packing, op8_mixing, op9_vector_dedup, op10_jaccard_join, op11_row_patterns, op13_conversation_trie, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -145,4 +150,22 @@ t AS (SELECT client_id, min(i) AS i, 1::BIGINT AS no FROM m GROUP BY 1
 SELECT t.client_id, t.no AS match_no, arg_min(r.click_id, r.i) AS first_id, arg_max(r.click_id, r.i) AS last_id, count(*) AS n_rows, sum(r.c)::BIGINT AS sum_cents,
   sha256(string_agg(CASE WHEN r.i = n.i THEN 'A' WHEN r.i = n.j THEN 'P' WHEN r.c < r.pc THEN 'D' ELSE 'U' END, '' ORDER BY r.i)) AS labels_sha256
 FROM t JOIN m n ON n.client_id = t.client_id AND n.i = t.i JOIN r ON r.client_id = t.client_id AND r.i BETWEEN n.i AND n.j GROUP BY 1, 2""",
+    "op13_conversation_trie": """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+z AS (SELECT conv_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(str_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))) AS crc FROM (SELECT DISTINCT conv_id FROM t)),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(crc, 4294967295) % 6 AS h FROM z),
+n0 AS (SELECT conv_id, count(*) AS n FROM t GROUP BY 1),
+b AS (SELECT c.conv_id, pos AS depth, r, x FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+  UNION ALL SELECT c.conv_id, least(h, coalesce(n0.n, 0)) + pos - h, r, x FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h LEFT JOIN n0 ON n0.conv_id = c.base),
+k AS (SELECT conv_id, depth, sha256(string_agg(sha256(r) || sha256(x), '') OVER (PARTITION BY conv_id ORDER BY depth)) AS key, length(x) AS chars FROM b),
+m AS MATERIALIZED (SELECT conv_id, depth, key, coalesce(lag(key) OVER (PARTITION BY conv_id ORDER BY depth), '') AS above, chars FROM k UNION ALL SELECT conv_id, 0, '', NULL, 0 FROM c),
+n AS MATERIALIZED (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, min(above) AS above, min(chars) AS chars FROM m GROUP BY 1, 2),
+o AS MATERIALIZED (SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM n q WHERE q.depth = n.depth + 1 AND q.above = n.key) AS n_children FROM n LEFT JOIN n p ON p.depth = n.depth - 1 AND p.key = n.above),
+e AS (SELECT depth, key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, max(depth) AS depth, arg_max(key, depth) AS key FROM m GROUP BY 1) GROUP BY 1, 2),
+s AS (SELECT DISTINCT a.depth AS ad, a.key AS ak, b.depth AS bd, b.key AS bk FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+u AS (SELECT ad AS depth, ak AS key, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM s JOIN o ON o.depth = bd AND o.key = bk GROUP BY 1, 2)
+SELECT o.conv_id, o.depth::BIGINT AS depth, o.parent_conv_id, o.n_convs, o.n_children, u.n_leaves, u.saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM o JOIN u USING (depth, key) LEFT JOIN e USING (depth, key)""",
 }
