@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .conversation_trie import prefix_trie
+from .divergence import divergence_rules
 from .exact_dedup import exact_groups
 from .jaccard_join import near_duplicates
 from .licenses import license_scan
@@ -71,6 +72,10 @@ def op11_row_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_matches(_table(spark, sf_dir, "clicks"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_rules(_table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(_table(spark, sf_dir, "conversations"))
 
@@ -83,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_license_scan, op3_url_filter, op4_exact_dedup, op5_warc, op6_quality_classifier, op7_packing, op8_mixing, op9_vector_dedup, op10_jaccard_join, op11_row_patterns, op13_conversation_trie, pipeline)
+    for f in (op1_substring_dedup, op2_license_scan, op3_url_filter, op4_exact_dedup, op5_warc, op6_quality_classifier, op7_packing, op8_mixing, op9_vector_dedup, op10_jaccard_join, op11_row_patterns, op12_quality_rules, op13_conversation_trie, pipeline)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -150,6 +155,32 @@ t AS (SELECT client_id, min(i) AS i, 1::BIGINT AS no FROM m GROUP BY 1
 SELECT t.client_id, t.no AS match_no, arg_min(r.click_id, r.i) AS first_id, arg_max(r.click_id, r.i) AS last_id, count(*) AS n_rows, sum(r.c)::BIGINT AS sum_cents,
   sha256(string_agg(CASE WHEN r.i = n.i THEN 'A' WHEN r.i = n.j THEN 'P' WHEN r.c < r.pc THEN 'D' ELSE 'U' END, '' ORDER BY r.i)) AS labels_sha256
 FROM t JOIN m n ON n.client_id = t.client_id AND n.i = t.i JOIN r ON r.client_id = t.client_id AND r.i BETWEEN n.i AND n.j GROUP BY 1, 2""",
+    "op12_quality_rules": rf"""
+WITH r AS (SELECT row_number() OVER () AS id, doc_id, coalesce('=' || lang, '') AS lang, coalesce(text, '') AS x, {_WORDS} AS w FROM documents),
+a AS (SELECT r.*, coalesce(rank, 0) AS cls FROM r LEFT JOIN (SELECT lang, row_number() OVER (ORDER BY count(*) DESC, lang) AS rank FROM r GROUP BY lang QUALIFY rank <= 256) USING (lang)),
+g AS (SELECT id, i, count(*) OVER (PARTITION BY id, k) AS n FROM (SELECT id, i, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM r))),
+h AS (SELECT id, count(DISTINCT j) AS n FROM (SELECT id, unnest(range(i, i + 3)) AS j FROM g WHERE n > 1) GROUP BY id),
+l AS (SELECT id, list_filter(string_split(x, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS l FROM r),
+b AS MATERIALIZED (SELECT id, doc_id, cls, x, w, len(w)::BIGINT AS n_words, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(x, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(h.n, 0)::BIGINT AS n_repeat_words,
+  list_transform(['[^a-z]', '[^A-Z]', '[^0-9]', '[^\x20\x09\x0B-\x0D]', '[^\x0A]', '[^.,;:!?''"()\-]', '[^#*$%&|<>]', '[^\x00-\x08\x0E-\x1F/=@\[\\\]^_`{{}}~+\x7F]', '[\x00-\x7F]'], lambda c: length(regexp_replace(x, c, '', 'g'))::DOUBLE) AS c
+  FROM a JOIN l USING (id) LEFT JOIN h USING (id)),
+f AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+t AS MATERIALIZED (SELECT id, cls, word, count(*) AS n FROM (SELECT id, cls, unnest(w) AS word FROM f) GROUP BY 1, 2, 3),
+bins AS MATERIALIZED (SELECT cls, word FROM (SELECT cls, word, sum(n) AS n FROM t GROUP BY 1, 2) QUALIFY n * 1024 >= sum(n) OVER (PARTITION BY cls)),
+u AS MATERIALIZED (SELECT min(id) AS id, cls FROM f WHERE NOT base_failed GROUP BY cls, x),
+v AS MATERIALIZED (SELECT cls, count(*) AS texts, sum(n_words)::DOUBLE AS n, list_transform(range(1, 10), lambda k: list_sum(list_transform(list(c), lambda y: y[k]))) AS q FROM u JOIN f USING (id, cls) GROUP BY cls),
+y AS MATERIALIZED (SELECT cls, word, coalesce(sum(n), 0)::DOUBLE AS n FROM bins LEFT JOIN (SELECT t.* FROM t JOIN u USING (id, cls)) USING (cls, word) GROUP BY 1, 2),
+z AS (SELECT cls, texts, v.n, q, v.n - coalesce(ns, 0) AS rest, coalesce(ks, 0) + (v.n > coalesce(ns, 0))::INT - 1 AS bins FROM v LEFT JOIN (SELECT cls, sum(n) AS ns, count(*) FILTER (n > 0) AS ks FROM y GROUP BY 1) USING (cls)),
+e AS (SELECT id, sum(m)::DOUBLE AS seen, sum(q) AS q, sum(p * log2(2 * p / (p + q)) + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) AS s
+  FROM (SELECT f.id, t.n AS m, t.n / n_words::DOUBLE AS p, y.n / v.n AS q FROM f JOIN t USING (id, cls) JOIN y USING (cls, word) JOIN v USING (cls)) GROUP BY id),
+o AS (SELECT f.*, texts, bins, list_sum(c) AS m, len(list_filter(z.q, lambda k: k > 0)) - 1 AS kinds, list_transform(range(1, 10), lambda k: [c[k] / greatest(list_sum(c), 1), z.q[k] / list_sum(z.q)]) AS pq,
+  (n_words - coalesce(seen, 0)) / n_words AS po, rest / n AS qo, coalesce(s, 0) AS s, coalesce(e.q, 0) AS qs FROM f LEFT JOIN z USING (cls) LEFT JOIN e USING (id)),
+j AS (SELECT *, list_sum(list_transform(pq, lambda k: CASE WHEN k[1] > 0 THEN k[1] * log2(2 * k[1] / (k[1] + k[2])) ELSE 0 END + CASE WHEN k[2] > 0 THEN k[2] * log2(2 * k[2] / (k[1] + k[2])) ELSE 0 END)) / 2 AS by_char,
+  (s + (1 - qo - qs) + CASE WHEN po > 0 THEN po * log2(2 * po / (po + qo)) ELSE 0 END + CASE WHEN qo > 0 THEN qo * log2(2 * qo / (po + qo)) ELSE 0 END) / 2 AS by_word FROM o)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  CASE WHEN base_failed THEN false WHEN coalesce(texts, 0) < 20 THEN true
+    ELSE by_char <= 0.28 * 0.28 + 4.0 * kinds / (8 * ln(2)) / m AND by_word <= 0.36 * 0.36 + 0.4 * bins / (8 * ln(2)) / n_words END AS kept FROM j""",
     "op13_conversation_trie": """
 WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
