@@ -161,7 +161,7 @@ def _shared(df: DataFrame, size: int, seed: int, num: int, den: int, buckets: in
         n = np.diff(np.r_[f, len(sig)])
         head = np.zeros(len(sig), bool)
         head[f] = True
-        return (sig[f], key[f], need[f], (np.maximum.reduceat(several, f) | (n > 1)).astype(np.uint8)), (sig[~head], key[~head], need[~head])
+        return (sig[f], key[f], need[f], (np.maximum.reduceat(several, f) | (n > 1)).astype(np.uint8)), (key[~head], sig[~head], need[~head])  # dealt by set: one signature may have very many
 
     @lean
     def sign(batches):
@@ -180,12 +180,12 @@ def _shared(df: DataFrame, size: int, seed: int, num: int, den: int, buckets: in
 
     @lean
     def reduce(table):
-        mine, done = dealt(table, (np.uint64, np.int64, np.int64, np.uint8), (np.uint64, np.int64, np.int64))
+        mine, done = dealt(table, (np.uint64, np.int64, np.int64, np.uint8), (np.int64, np.uint64, np.int64))
         if len(mine[0]):
             (sig, key, need, several), rest = settle(*mine)
             ok = several > 0
-            done = [np.concatenate(x) for x in zip(done, rest, (sig[ok], key[ok], need[ok]), strict=True)]
-        return pa.Table.from_arrays([pa.array(done[0].view(np.int64)), pa.array(done[1]), pa.array(done[2])], schema=schema)
+            done = [np.concatenate(x) for x in zip(done, rest, (key[ok], sig[ok], need[ok]), strict=True)]
+        return pa.Table.from_arrays([pa.array(done[1].view(np.int64)), pa.array(done[0]), pa.array(done[2])], schema=schema)
 
     return df.mapInArrow(sign, Dealer.ddl).groupBy("bucket").applyInArrow(reduce, "sig long, id long, need long")
 

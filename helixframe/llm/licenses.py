@@ -6,8 +6,12 @@ tag in the raw text.  The expression after a tag, up to the end of its line, is
 parsed with precedence WITH > AND > OR and parentheses; its identifiers become
 labels, and AND / OR / WITH evaluate how freely the text may be used.
 
+An identifier is a family of ``FAMILIES``, with a version and a variant or without
+(``gpl-2.0-or-later``, ``bsd-3-clause``), an exception (``classpath-exception-2.0``), or a reference
+(``licenseref-...``).  Any other word after the tag is a fault: it gives no label.
+
 Defined cases: null text counts as empty; a malformed expression gives the
-identifiers before the fault; texts of any length are scanned whole; a repeated row
+identifiers before the fault, so ``see the file`` gives none; texts of any length are scanned whole; a repeated row
 is scanned each time; a null doc_id is kept; of labels with one score any gives it;
 an empty table gives none; extra columns are left out.
 """
@@ -50,6 +54,18 @@ FREE = {
     "proprietary": 0.0, "reserved": 0.0,
 }
 UNKNOWN = 0.5
+#: Families of SPDX identifiers, what stands before version and variant; fixed values.
+FAMILIES = (
+    "0bsd aal afl agpl apache apsl artistic beerware blueoak bittorrent bsd bsl busl catosl cc cc-by cc-by-nc cc-by-nc-nd cc-by-nc-sa cc-by-nd cc-by-sa cc-pddc cc0 cddl "
+    "cdla-permissive cdla-sharing cecill cern-ohl cern-ohl-p cern-ohl-s cern-ohl-w cnri-python cpal cpl curl dco dsdp ecl efl elastic epl eudatagrid eupl fsfap fsful "
+    "fsfullr ftl gfdl gpl hpnd icu ijg imagemagick intel ipa ipl isc jasper json lgpl lgpllr libpng libtiff lpl lppl mirros mit mit-0 mit-cmu mit-feh mpl ms-lpl "
+    "ms-pl ms-rl mulanpsl naist ncsa netcdf ngpl nist-pd nposl ntp oclc odbl odc-by ofl oldap openssl osl parity pddl php plexus polyform-noncommercial polyform-small-business "
+    "postgresql psf python qpl rpl rpsl rsa-md ruby sgi-b sissl sleepycat smlnj spl sspl tcl tmate unicode-dfs unlicense upl vim w3c wtfpl x11 xfree86 xnet zend zlib zpl"
+).split()
+_KNOWN = re.compile(
+    rf"(?:{'|'.join(map(re.escape, sorted(FAMILIES, key=len, reverse=True)))})(?:-\d+(?:\.\d+)*)?(?:-clause)?(?:-(?:only|or-later|no-invariants|invariants|universal|patent|clear|views|igo|rfn|no-rfn|cmu|feh|[a-z]{{2}}))*\+?"
+    r"|[a-z0-9.+-]*exception(?:-\d+(?:\.\d+)*)?|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+"
+)
 
 _GAP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+:-]*")
@@ -88,7 +104,7 @@ def postfix(expression: str) -> list[str]:
                 out.append(stack.pop())
             stack.append(token)
             operand = True
-        elif not operand:
+        elif not operand or not _KNOWN.fullmatch(token):
             break
         else:
             out.append(token)

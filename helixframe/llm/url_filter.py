@@ -71,7 +71,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, shelf: Shelf, damping: float =
         new = shelf.put(new)
         shelf.drop(rank)
         rank = new
-        if (rank.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
+        if (rank.agg(F.sum("moved")).first()[0] or 0.0) < tolerance:
             return rank.select("host", "score")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from helixframe.llm.common import Shelf
-from helixframe.llm.licenses import BASE, FREE, NOTICES, license_scan
+from helixframe.llm.licenses import BASE, FREE, NOTICES, license_scan, scan
 from helixframe.llm.mixing import mix_sources, mixture
 from helixframe.llm.packing import TOKENIZER, lower_bound, pack_documents
 from helixframe.llm.url_filter import filter_urls, propagate
@@ -41,6 +41,18 @@ def test_license_scan_of_all_documents(spark):
     assert found[-1].labels == "cc,cc-by,cc-by-nc,gpl-3.0-only,mit" and found[-1].score == 0.2
 
 
+@pytest.mark.parametrize(
+    ("line", "labels", "score"),
+    [
+        ("see LICENSE file", "", 1.0), ("<id> is the tag", "", 1.0), ("mitten or me", "", 1.0), ("MIT or see LICENSE", "mit", 1.0), ("GPL-3.0+", "gpl-3.0+", 0.4),
+        ("(BSD-3-Clause OR LicenseRef-Own) AND see this", "bsd-3-clause,licenseref-own", 1.0), ("GPL-2.0-or-later WITH Classpath-exception-2.0", "classpath-exception-2.0,gpl-2.0-or-later", 0.7),
+    ],
+)
+def test_identifiers_only(line, labels, score):
+    got = scan(f"x\nSPDX-License-Identifier: {line}\ny")
+    assert got[5] == labels and got[6] == pytest.approx(score)
+
+
 def _ranks(edges, seeds, damping=0.85):
     out, rank = defaultdict(int), dict(seeds)
     for s, _, n in edges:
@@ -65,6 +77,14 @@ def test_propagation(spark):
         assert r.score == pytest.approx(want[r.host], abs=1e-6)
 
 
+def test_propagation_over_a_star(spark):
+    """What reaches a hub over very many hosts, each of which moves very little, isn't lost."""
+    mid = spark.range(20_000).selectExpr("concat('m', id) AS mid")
+    edges = mid.selectExpr("'root' AS src", "mid AS dst", "1L AS n").unionAll(mid.selectExpr("mid AS src", "'hub' AS dst", "1L AS n"))
+    got = propagate(edges, spark.createDataFrame([("root", 1.0)], "host string, seed double"), Shelf(spark, "t"))
+    assert {r.host: r.score for r in got.where("host IN ('root', 'hub')").collect()} == {"root": 1.0, "hub": pytest.approx(0.85**2)}
+
+
 def test_link_farm(spark):
     page = lambda *to: "".join(f'<a href="http://{h}/x">y</a>' for h in to)
     rows = [("http://bad.net/es/a", ""), ("http://worse.net/fr/b", ""), ("http://good.com/", page("fine.org"))]

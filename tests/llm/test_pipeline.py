@@ -46,6 +46,19 @@ def test_near_stage(spark):
     assert kept == near([r for r in rows if shingles(r[1])]) + Counter({(4, ""): 1, (5, None): 1})
 
 
+def test_columns_that_clash(spark):
+    """Extra columns named as those that the stages use come through unchanged."""
+    rows = [(1, "a b c", "mine"), (2, "abc", "second"), (3, "other words", "third"), (3, "other words", "third"), (4, None, None)]
+    names = ("sha", "_sha", "_gone", "_mark", "kept", "mark", "group_size", "count")
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, *[v] * len(names)) for i, t, v in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    out = pipeline.exact_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, *r[5:]) for r in out.collect()) == Counter([(i, *[v] * len(names)) for i, v in ((1, "mine"), (3, "third"), (4, None))])
+    out = pipeline.near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, *r[5:]) for r in out.collect()) == Counter((i, *[v] * len(names)) for i, _, v in rows)
+
+
 def test_quality_stage(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     bad = perplexities(docs, labels).where("NOT kept").select("doc_id", "mark").collect()
