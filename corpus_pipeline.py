@@ -24,6 +24,16 @@ from helixframe.llm.packing import pack_documents
 from helixframe.llm.quality import perplexities
 
 
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of ``docs`` has."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def _without(docs: DataFrame, judged: DataFrame, tag: str) -> DataFrame:
     """Rows of ``docs`` whose doc_id and text ``judged`` (doc_id, mark, kept) keeps; the same join at every size, whatever their number."""
     gone = Shelf(docs.sparkSession, tag).put(judged.where("NOT kept").selectExpr("doc_id AS _gone", "mark AS _mark").distinct())
@@ -39,15 +49,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts; texts of a repeated doc_id count each for itself."""
     shelf = Shelf(spark, "stage-exact")
-    groups = shelf.put(exact_groups(docs).where("doc_id IS NOT NULL").select("doc_id", "group_size", "kept", F.col("text_sha256").alias("_sha")))
-    gone = shelf.put(groups.where("NOT kept").select("doc_id", "_sha").distinct())
-    again = groups.where("kept AND group_size > 1").groupBy("doc_id", "_sha").count().where("count > 1").select("doc_id", "_sha")
-    sha = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), " \t\n\x0b\x0c\r", "").cast("binary"), 256)
-    out = docs.withColumn("_sha", sha).join(gone.hint("merge"), ["doc_id", "_sha"], "left_anti")
+    (sha,) = _free(docs, "sha")
+    groups = shelf.put(exact_groups(docs).where("doc_id IS NOT NULL").select("doc_id", "group_size", "kept", F.col("text_sha256").alias(sha)))
+    gone = shelf.put(groups.where("NOT kept").select("doc_id", sha).distinct())
+    again = groups.where("kept AND group_size > 1").groupBy("doc_id", sha).count().where("count > 1").select("doc_id", sha)
+    digest = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), " \t\n\x0b\x0c\r", "").cast("binary"), 256)
+    out = docs.withColumn(sha, digest).join(gone.hint("merge"), ["doc_id", sha], "left_anti")
     if again.isEmpty():
         return out.select(*docs.columns)
-    once = out.join(again, ["doc_id", "_sha"], "left_semi").dropDuplicates(["doc_id", "_sha"])
-    return out.join(again, ["doc_id", "_sha"], "left_anti").select(*docs.columns).unionAll(once.select(*docs.columns))
+    once = out.join(again, ["doc_id", sha], "left_semi").dropDuplicates(["doc_id", sha])
+    return out.join(again, ["doc_id", sha], "left_anti").select(*docs.columns).unionAll(once.select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
