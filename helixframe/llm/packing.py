@@ -6,9 +6,12 @@ dealt evenly over partitions, and each partition packs its pieces best-fit
 decreasing.  Dual-feasible functions bound from below the bins that any packing
 of its pieces needs.  Where a partition meets its bound only its emptiest bin
 may still be improved by others' pieces; where it has a gap, its emptiest bins
-(``spare`` a gap bin, and one) are opened.  The pieces of opened bins move on to a
+(``spare`` a gap bin, and one) are opened, as long as their pieces make up no more
+than a ``fan``-th of a partition.  The pieces of opened bins move on to a
 partition that takes those of ``fan`` others, and are packed again, until one
-partition is left.
+partition is left.  So no partition ever has more than ``per_partition`` pieces (or, if
+that is more, ``fan`` bins of them), whatever the gaps are: bounds that no
+packing can meet open bins in vain, but never gather them.
 
 Defined cases: null text is empty, one end token; a null doc_id's pieces have a null
 doc_id; repeated rows are packed each for itself; pieces of one length stand in the
@@ -179,14 +182,15 @@ def lower_bound(lengths: np.ndarray, size: int) -> int:
     return best
 
 
-def certified(lengths: np.ndarray, size: int, spare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Bins, offsets, whether each piece's bin is opened, and the gap to the bound."""
+def certified(lengths: np.ndarray, size: int, spare: int, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Bins, offsets, whether each piece's bin is opened, and the gap to the bound; opened bins hold ``room`` pieces, or are one bin."""
     bins, offsets = best_fit(lengths, size)
     n = int(bins.max()) + 1 if len(bins) else 0
     gap = n - lower_bound(lengths, size)
     filled = np.bincount(bins, lengths, n)
-    opened = np.zeros(n, bool)
-    opened[np.argsort(filled, kind="stable")[: 1 + spare * gap]] = True
+    opened, emptiest = np.zeros(n, bool), np.argsort(filled, kind="stable")[: 1 + spare * gap]
+    within = np.cumsum(np.bincount(bins, minlength=n)[emptiest]) <= room
+    opened[emptiest[within]], opened[emptiest[:1]] = True, True
     opened &= filled < size
     return bins, offsets, opened[bins], gap
 
@@ -194,7 +198,11 @@ def certified(lengths: np.ndarray, size: int, spare: int) -> tuple[np.ndarray, n
 def pack_documents(df: DataFrame, size: int = 2048, end: int = 0, tokenizer: str = TOKENIZER, per_partition: int = 100_000, fan: int = 16, spare: int = 8) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of ``df`` (doc_id, text)."""
     shelf = Shelf(df.sparkSession, "packing")
-    pieces = shelf.put(cut_documents(df, size, end, tokenizer))
+    return pack_pieces(shelf.put(cut_documents(df, size, end, tokenizer)), shelf, size, per_partition, fan, spare)
+
+
+def pack_pieces(pieces: DataFrame, shelf: Shelf, size: int = 2048, per_partition: int = 100_000, fan: int = 16, spare: int = 8) -> DataFrame:
+    """The places of pieces (doc_id, piece, start, length, ids_crc32, and seq, each piece's own number)."""
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     out = pieces.where(f"length = {size}").selectExpr(*columns, "seq * 2 + 1 AS sequence_id", "0L AS offset")
     rest = pieces.where(f"length < {size}")
@@ -209,7 +217,7 @@ def pack_documents(df: DataFrame, size: int = 2048, end: int = 0, tokenizer: str
         @lean
         def pack_part(table):
             table = table.select([n for n, _ in kinds[:6]]).sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32")])
-            bins, offsets, opened, _ = certified(table["length"].to_numpy(), size, spare)
+            bins, offsets, opened, _ = certified(table["length"].to_numpy(), size, spare, per_partition // fan)
             seq = (((turn << 24 | table["part"][0].as_py()) << 32) + bins) * 2
             return pa.Table.from_arrays([*table.columns, pa.array(seq), pa.array(offsets), pa.array(opened & (not last))], schema=schema)
 

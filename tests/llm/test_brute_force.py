@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from helixframe.llm.common import Shelf
 from helixframe.llm.licenses import BASE, FREE, NOTICES, license_scan, scan
 from helixframe.llm.mixing import mix_sources, mixture
-from helixframe.llm.packing import TOKENIZER, lower_bound, pack_documents
+from helixframe.llm.packing import TOKENIZER, best_fit, certified, lower_bound, pack_documents, pack_pieces
 from helixframe.llm.url_filter import filter_urls, propagate
 
 SF = "/root/testdata/sf0.01"
@@ -119,6 +119,20 @@ def test_packing_of_all_documents(spark):
     assert len(pieces[None]) == 300 and len(sequences) <= 1.02 * lower_bound(np.array([r.length for r in rows]), 2048)
 
 
+@pytest.mark.parametrize(("low", "high"), [(600, 1100), (400, 700), (1, 2047)])
+def test_packing_moves_a_bounded_part(spark, low, high):
+    """Lengths whose bound no packing meets: few pieces move on, and the result is near that of one task."""
+    lengths = np.random.default_rng(5).integers(low, high, 60_000)
+    bins, _, opened, gap = certified(lengths[:5_000], 2048, 8, 500)
+    filled = np.bincount(bins, lengths[:5_000])
+    assert opened.sum() <= 500 and filled[np.unique(bins[opened])].max(initial=0) <= 2048
+    rows = [(i, 0, 0, int(x), 0, i) for i, x in enumerate(lengths)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, seq long")
+    got = pack_pieces(pieces, Shelf(spark, "t"), per_partition=5_000, fan=4).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k")).collect()
+    assert sum(r.k for r in got) == len(lengths) and max(r.n for r in got) <= 2048
+    assert len(got) <= 1.01 * (best_fit(lengths, 2048)[0].max() + 1)
+
+
 def test_mixture_carries_copies(spark):
     rows = [(1, "a b c", "s"), (1, "d e", "s"), (2, "f", "s"), (2, "f", "s"), (None, "g h", None), (3, "i " * 9, "t"), (4, None, "t"), (5, "", "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
