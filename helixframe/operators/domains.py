@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .aligned import best_domain, domain_scores
+from .leiden import merged
 
 
 def _labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -83,29 +84,8 @@ def modularity_domains(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     def merge(table):
         nodes, at = np.unique(np.r_[table["i"].to_numpy(), table["j"].to_numpy()], return_inverse=True)
         i, j = np.split(at, 2)
-        n = len(nodes)
-        w = np.zeros((n, n))
-        np.add.at(w, (i, j), table["weight"].to_numpy())
-        w = w + w.T
-        total = w.sum()
-        share, gain = w.sum(axis=1) / total, w / total
-        gain = 2 * (gain - resolution * np.outer(share, share))
-        linked = w > 0
-        own, live = np.arange(n), np.ones(n, bool)
-        while True:
-            open_ = np.where(np.triu(linked, 1), gain, -np.inf)
-            best = int(open_.argmax()) if n > 1 else 0
-            a, b = divmod(best, n)
-            if n < 2 or not open_[a, b] > 1e-12:
-                break
-            gain[a] += gain[b]
-            gain[:, a] = gain[a]
-            linked[a] |= linked[b]
-            linked[:, a] = linked[a]
-            linked[a, a] = False
-            linked[b] = linked[:, b] = False
-            own[own == b], live[b] = a, False
-        ref = np.full(n, table["ref_id"][0].as_py(), np.int64)
+        own = merged(len(nodes), i, j, table["weight"].to_numpy(), resolution)
+        ref = np.full(len(nodes), table["ref_id"][0].as_py(), np.int64)
         return pa.Table.from_arrays([pa.array(ref), pa.array(nodes[own], pa.int64()), pa.array(nodes, pa.int64())], schema=schema)
 
     rows = edges.selectExpr("CAST(ref_id AS LONG) AS ref_id", "CAST(i AS LONG) AS i", "CAST(j AS LONG) AS j", "CAST(weight AS DOUBLE) AS weight")
