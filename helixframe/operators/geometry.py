@@ -114,24 +114,44 @@ def transform(points: DataFrame, axis: tuple[float, float, float], degrees: floa
     return points.withColumns({c: v + k for c, v, k in zip("xyz", turned, move, strict=True)})
 
 
-def secondary_structure(points: DataFrame) -> DataFrame:
-    """(ref_id, residue, phi, psi, ss) of chains whose points are N, CA, C of residue after residue: helix, strand or coil by the backbone's angles; ends are coil."""
+def secondary_structure(points: DataFrame, letters: DataFrame | None = None) -> DataFrame:
+    """(ref_id, residue, phi, psi, ss) of chains whose points are N, CA, C of residue after residue: helix, strand or coil by the backbone's angles; ends are coil.
+
+    With ``letters`` (ref_id, residue, letter) prolines are coil, whatever their angles.
+    """
     by = Window.partitionBy("ref_id").orderBy("pos")
     at = lambda k: tuple(F.lead(c, k).over(by) if k >= 0 else F.lag(c, -k).over(by) for c in "xyz")
     rows = points.withColumns({f"{c}{k + 1}": v for k in (-1, 0, 1, 2, 3) for c, v in zip("xyz", at(k), strict=True)}).where("pos % 3 = 0")
     p = [vector(*(f"{c}{k}" for c in "xyz")) for k in range(5)]
-    rows = rows.withColumn("phi", dihedral(*p[:4])).withColumn("psi", dihedral(*p[1:]))
+    rows = rows.withColumn("phi", dihedral(*p[:4])).withColumn("psi", dihedral(*p[1:])).withColumn("residue", (F.col("pos") / 3).cast("long"))
     phi, psi = F.col("phi"), F.col("psi")
     ss = F.when(phi.between(-100, -30) & psi.between(-80, 0), "H").when((phi <= -40) & (psi >= 90), "E").otherwise("C")
-    return rows.select("ref_id", (F.col("pos") / 3).cast("long").alias("residue"), "phi", "psi", ss.alias("ss"))
+    if letters is not None:
+        rows = rows.join(letters.select("ref_id", "residue", "letter"), ["ref_id", "residue"], "left")
+        ss = F.when(F.col("letter") == "P", "C").otherwise(ss)
+    return rows.select("ref_id", "residue", "phi", "psi", ss.alias("ss"))
 
 
 def clashes(points: DataFrame, reach: float) -> DataFrame:
-    """(ref_id, i, j, distance) of points at least two apart in the chain and closer than ``reach``; joined by structure, which bounds the pairs."""
-    a = points.selectExpr("ref_id", "pos AS i", "x AS ax", "y AS ay", "z AS az")
-    b = points.selectExpr("ref_id", "pos AS j", "x AS bx", "y AS by", "z AS bz")
+    """(ref_id, i, j, distance) of points at least two apart in the chain and closer than ``reach``."""
+    return _near(points.withColumn("radius", F.lit(reach / 2)), reach, 1.0)
+
+
+def atom_clashes(atoms: DataFrame, widest: float = 1.7, share: float = 0.72) -> DataFrame:
+    """(ref_id, i, j, distance) of atoms (ref_id, pos, x, y, z, radius), at least two apart in ``pos``, closer than a share of their radii's sum; no radius exceeds ``widest``."""
+    return _near(atoms.where(F.col("radius") <= widest), 2 * share * widest, share)
+
+
+def _near(points: DataFrame, reach: float, share: float) -> DataFrame:
+    """Pairs by cells as wide as the reach: each point meets those of its own and the 26 cells around, so rows are linear in the points where these keep some distance."""
+    cell = [F.floor(F.col(c) / reach).alias(f"c{c}") for c in "xyz"]
+    a = points.select("ref_id", F.col("pos").alias("i"), *(F.col(c).alias(f"a{c}") for c in "xyz"), F.col("radius").alias("ar"), *cell)
+    b = points.select("ref_id", F.col("pos").alias("j"), *(F.col(c).alias(f"b{c}") for c in "xyz"), F.col("radius").alias("br"), *cell)
+    for c in "xyz":
+        a = a.withColumn(f"c{c}", F.explode(F.sequence(F.col(f"c{c}") - 1, F.col(f"c{c}") + 1)))
     d = "sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by) + (az - bz) * (az - bz))"
-    return a.join(b, "ref_id").where("j >= i + 2").selectExpr("ref_id", "i", "j", f"{d} AS distance").where(F.col("distance") < reach)
+    rows = a.join(b, ["ref_id", "cx", "cy", "cz"]).where("j >= i + 2").withColumn("distance", F.expr(d))
+    return rows.where(F.col("distance") < share * (F.col("ar") + F.col("br"))).select("ref_id", "i", "j", "distance")
 
 
 def trim_template(points: DataFrame, spans: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import aligned, domains, geometry, structures
+from ..operators import aligned, domains, geometry, loops, structures
 from .aligned_queries import _RUN, _pairs
 from .queries import _POINTS, _cells, _points
 
@@ -42,6 +42,42 @@ def clash_flags(s, d):
     return p.select("ref_id").distinct().join(hit, "ref_id", "left").na.fill(False)
 
 
+_RADII = (("N", 1.55), ("CA", 1.7), ("C", 1.7))
+
+
+def atom_clashes(s, d):
+    """Points as N, CA, C in turn with their radii, 0.4 of whose sum is too near."""
+    radius = F.element_at(F.array(*(F.lit(r) for _, r in _RADII)), (F.col("pos") % 3 + 1).cast("int"))
+    out = geometry.atom_clashes(_points(s, d).withColumn("radius", radius), share=0.4)
+    return out.select("ref_id", "i", "j", F.round("distance", 6).alias("distance"))
+
+
+def proline_coil(s, d):
+    """Secondary structure where residues have letters: each fifth one, by structure in turn, is a proline."""
+    p = _points(s, d)
+    letters = p.where("pos % 3 = 0").selectExpr("ref_id", "CAST(pos DIV 3 AS LONG) AS residue", "IF((pos DIV 3 + ref_id) % 5 = 0, 'P', 'A') AS letter")
+    return geometry.secondary_structure(p, letters).select("ref_id", "residue", "ss")
+
+
+def _ends(s, d):
+    """(ref_id, k, p): each vector's points as structs by place."""
+    p = _points(s, d)
+    return p.groupBy("ref_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x", "y", "z"))), lambda v: F.struct(*((v[c] * 4).alias(c) for c in "xyz"))).alias("p"))
+
+
+def closed_insertions(s, d):
+    """An insertion of three to six residues behind each vector's first three points, towards its fourth."""
+    letters = F.expr("substring('AVLMKD', 1, CAST(3 + ref_id % 4 AS INT))")
+    rows = _ends(s, d).select("ref_id", letters.alias("letters"), F.lit("C").alias("ss"), *(F.col("p")[k].alias(c) for k, c in enumerate(("n", "ca", "c", "target"))))
+    return loops.close_insertions(rows).select("ref_id", F.round("gap", 1).alias("gap"), "status", F.size("atoms").cast("long").alias("n"))
+
+
+def placed_fragments(s, d):
+    """Each vector's points but its ends as a fragment between these."""
+    rows = _ends(s, d).select("ref_id", F.slice("p", 2, 19).alias("points"), F.col("p")[0].alias("pre"), F.col("p")[20].alias("post"))
+    return loops.place_fragments(rows).select("ref_id", F.round("off", 3).alias("off"), "status", F.size("points").cast("long").alias("n"))
+
+
 def segment_centroids(s, d):
     out = structures.segment_centroids(structures.chain_breaks(_points(s, d), 1.5))
     return out.select("ref_id", F.col("segment").cast("long").alias("segment"), *(F.round(f"c{c}", 6).alias(f"c{c}") for c in "xyz"), "nearest")
@@ -95,7 +131,7 @@ def edit_sizes(s, d):
     return r.groupBy("ref_id").agg(F.count("*").alias("indels"), F.max("n").alias("longest"))
 
 
-_NAMES = (secondary_structure, structure_counts, placed_residue, rigid_transform, clash_pairs, clash_flags, segment_centroids, pae_subsample, domain_components, domains_by_size, domain_best, domain_status, trimmed_template, rebuilt_chain, edit_sizes)
+_NAMES = (secondary_structure, structure_counts, placed_residue, rigid_transform, clash_pairs, clash_flags, atom_clashes, proline_coil, closed_insertions, placed_fragments, segment_centroids, pae_subsample, domain_components, domains_by_size, domain_best, domain_status, trimmed_template, rebuilt_chain, edit_sizes)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 
@@ -169,6 +205,9 @@ SQL = {
     "rigid_transform": _POINTS + f" SELECT ref_id, pos, {_turned()} FROM p",
     "clash_pairs": _CLASH + " SELECT ref_id, i, j, round(distance, 6) AS distance FROM h",
     "clash_flags": _CLASH + " SELECT DISTINCT ref_id, ref_id IN (SELECT ref_id FROM h) AS clash FROM p",
+    "atom_clashes": _POINTS + f""", r AS (SELECT *, [1.55, 1.7, 1.7][(pos % 3 + 1)::INT]::DOUBLE AS radius FROM p)
+SELECT a.ref_id, a.pos AS i, b.pos AS j, round({_DIST}, 6) AS distance FROM r a JOIN r b ON a.ref_id = b.ref_id AND b.pos >= a.pos + 2 WHERE {_DIST} < 0.4::DOUBLE * (a.radius + b.radius)""",
+    "proline_coil": _ANGLES + " SELECT ref_id, residue, CASE WHEN (residue + ref_id) % 5 = 0 THEN 'C' ELSE ss END AS ss FROM s",
     "segment_centroids": _POINTS + """, s AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w) + (z - lag(z) OVER w) * (z - lag(z) OVER w)) AS step FROM p WINDOW w AS (PARTITION BY ref_id ORDER BY pos)),
 b AS (SELECT *, least(sum(CASE WHEN step > 1.5 THEN 1 ELSE 0 END) OVER (PARTITION BY ref_id ORDER BY pos), 25)::BIGINT AS segment FROM s),
 m AS (SELECT *, avg(x) OVER g AS cx, avg(y) OVER g AS cy, avg(z) OVER g AS cz FROM b WINDOW g AS (PARTITION BY ref_id, segment)),
