@@ -70,8 +70,12 @@ def kmer_codes(raw: np.ndarray, table: np.ndarray, k: int, base: int, segmented:
     return np.unique(code[ok])
 
 
-def distinct_kmers(df: DataFrame, key: str, text: str, k: int = 9, scheme: str = "murphy2000_5", segmented: bool = True, first: int | None = None) -> DataFrame:
-    """(key, codes): each row's distinct k-mer codes in order, the ``first`` smallest if given.
+#: Codes that a task counts in one array, and whose keep list goes to all tasks as a bit each (1 MB).
+DENSE = 1 << 23
+
+
+def distinct_kmers(df: DataFrame, key: str, text: str, k: int = 9, scheme: str = "murphy2000_5", segmented: bool = True, first: int | None = None, kept: np.ndarray | None = None) -> DataFrame:
+    """(key, codes): each row's distinct k-mer codes in order, only those whose bit in ``kept`` is set if given, the ``first`` smallest if given.
 
     Distinctness needs no shuffle: it is settled in the row.
     """
@@ -79,11 +83,36 @@ def distinct_kmers(df: DataFrame, key: str, text: str, k: int = 9, scheme: str =
     src = df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias("t"))
     schema = pa.schema([(key, pa.int64()), ("codes", pa.list_(pa.int64()))])
 
+    def of(t) -> np.ndarray:
+        c = kmer_codes(np.frombuffer(t.as_buffer(), np.uint8), table, k, base, segmented)
+        return (c if kept is None else c[(kept[c >> 3] >> (c & 7).astype(np.uint8)) & 1 > 0])[:first]
+
     def codes(batches):
         for batch in batches:
-            out = [kmer_codes(np.frombuffer(t.as_buffer(), np.uint8), table, k, base, segmented)[:first] for t in batch["t"]]
+            out = [of(t) for t in batch["t"]]
             at = np.r_[0, np.cumsum([len(c) for c in out])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch[key], lists], schema=schema)
 
     return src.mapInArrow(codes, f"{key} long, codes array<long>")
+
+
+def kmer_frequency(df: DataFrame, text: str, k: int = 9, scheme: str = "murphy2000_5", segmented: bool = True) -> DataFrame:
+    """(h, df): how many rows have each k-mer; a task counts all of its rows before anything is shuffled.  Only for at most DENSE codes."""
+    table, base = _table(scheme), len(SCHEMES[scheme])
+    if base**k > DENSE:
+        raise ValueError(f"{base}^{k} codes are more than {DENSE}")
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+
+    def count(batches):
+        n = np.zeros(base**k, np.int64)
+        for batch in batches:
+            for t in batch["t"]:
+                n[kmer_codes(np.frombuffer(t.as_buffer(), np.uint8), table, k, base, segmented)] += 1
+        h = np.flatnonzero(n)
+        for s in range(0, len(h), 1 << 16):
+            part = h[s : s + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], schema=schema)
+
+    rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(count, "h long, n long")
+    return rows.groupBy("h").agg(F.sum("n").alias("df"))

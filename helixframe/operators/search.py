@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import distinct_kmers
+from ..functions.alphabet import DENSE, SCHEMES, distinct_kmers, kmer_frequency
 
 
 def max_frequency(arg: float, total: int) -> int:
@@ -35,16 +36,28 @@ def sketches(kmers: DataFrame, keep: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("pos", rank).where(F.col("pos") <= n).select("row_idx", "pos", "h")
 
 
-def build_index(sequences: DataFrame, k: int = 9, n: int = 100, max_freq: float = 10, scheme: str = "murphy2000_5", segmented: bool = True) -> DataFrame:
-    """The postings (h, row_idx).
+def target_sketches(sequences: DataFrame, k: int = 9, n: int = 100, max_freq: float = 10, scheme: str = "murphy2000_5", segmented: bool = True) -> DataFrame:
+    """(row_idx, pos, h): the n smallest k-mers of each sequence within the frequency band.
 
-    One grouped pass gives each k-mer's frequency; the keep list joins back on
-    the same key, so both sides of that join share the exchange's partitioning.
+    Where all codes there can be are few (``DENSE``), only counts are shuffled, one
+    for each k-mer and task; the keep list goes to all tasks as a bit for each code, and a
+    sequence's sketch is taken where its k-mers are.  Beyond, k-mers are rows that
+    join with the keep list.
     """
-    total = sequences.count() if max_freq < 1 else 0
-    kmers = distinct_kmers(sequences, "row_idx", "text", k, scheme, segmented)
-    keep = keep_band(document_frequency(kmers), max_frequency(max_freq, total))
-    return sketches(kmers, keep, n).select("h", "row_idx")
+    most = max_frequency(max_freq, sequences.count() if max_freq < 1 else 0)
+    codes = len(SCHEMES[scheme]) ** k
+    if codes > DENSE:
+        kmers = distinct_kmers(sequences, "row_idx", "text", k, scheme, segmented)
+        return sketches(kmers, keep_band(document_frequency(kmers), most), n)
+    kept = np.zeros(codes, np.uint8)
+    kept[keep_band(kmer_frequency(sequences, "text", k, scheme, segmented), most).select("h").toArrow()["h"].to_numpy()] = 1
+    rows = distinct_kmers(sequences, "row_idx", "text", k, scheme, segmented, n, np.packbits(kept, bitorder="little"))
+    return rows.select("row_idx", F.posexplode("codes").alias("pos", "h")).select("row_idx", (F.col("pos") + 1).alias("pos"), "h")
+
+
+def build_index(sequences: DataFrame, k: int = 9, n: int = 100, max_freq: float = 10, scheme: str = "murphy2000_5", segmented: bool = True) -> DataFrame:
+    """The postings (h, row_idx)."""
+    return target_sketches(sequences, k, n, max_freq, scheme, segmented).select("h", "row_idx")
 
 
 def query_sketches(queries: DataFrame, k: int = 9, n: int = 100, scheme: str = "murphy2000_5", segmented: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import accession as acc
 from ..functions import alphabet, alignment
 from ..operators import cascade, hits, lookup, search, structures
+from ..sources.stage import staged
 
 
 def _t(spark, d, name):
@@ -31,7 +32,7 @@ def recode_alphabets(s, d):
 
 
 def kmer_doc_freq(s, d):
-    return search.document_frequency(alphabet.distinct_kmers(_db(s, d), "row_idx", "text"))
+    return alphabet.kmer_frequency(_db(s, d), "text")
 
 
 def kmer_keep_band(s, d):
@@ -39,8 +40,7 @@ def kmer_keep_band(s, d):
 
 
 def bottom_n_sketch(s, d):
-    k = alphabet.distinct_kmers(_db(s, d), "row_idx", "text")
-    return search.sketches(k, search.keep_band(search.document_frequency(k), 10), 100).withColumn("pos", F.col("pos").cast("long"))
+    return search.target_sketches(_db(s, d)).withColumn("pos", F.col("pos").cast("long"))
 
 
 def posting_lists(s, d):
@@ -194,8 +194,10 @@ def full_cascade(s, d):
     """Template classes of all queries, C split by coverage and identity, D without a hit."""
     q = _q(s, d).select("query", alphabet.strip(F.col("text")).alias("seq"))
     t = _db(s, d).select("row_idx", alphabet.strip(F.col("text")).alias("seq"))
-    found = search.containment_search(search.build_index(_db(s, d)), _q(s, d), top=100)
-    return cascade.template_classes(classes(found, q, t), cascade.aligned_hits(found, q, t), q)
+    found = staged(search.containment_search(search.build_index(_db(s, d)), _q(s, d), top=100), "hits")
+    solved = staged(classes(found, q, t), "classes")
+    still = found.join(solved.where("class IN ('A', 'B')").select("query"), "query", "left_anti")  # only these are aligned again
+    return cascade.template_classes(solved, cascade.aligned_hits(still, q, t), q)
 
 
 def first_seen(s, d):

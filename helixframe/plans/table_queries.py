@@ -141,8 +141,7 @@ def resumed_rows(s, d):
 
 
 def sketch_arrays(s, d):
-    k = alphabet.distinct_kmers(_t(s, d, "documents").selectExpr("doc_id AS row_idx", "text"), "row_idx", "text")
-    kept = search.sketches(k, search.keep_band(search.document_frequency(k), 10), 100)
+    kept = search.target_sketches(_t(s, d, "documents").selectExpr("doc_id AS row_idx", "text"))
     return search.sketch_arrays(kept, 100).select("row_idx", F.md5(F.array_join("sketch", ",")).alias("sketch"))
 
 
