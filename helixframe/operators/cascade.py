@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alignment
+from ..sources.stage import staged
 from . import hits, search
 
 
@@ -71,3 +72,26 @@ def whole_chain(marks: DataFrame, window: int = 40, threshold: float = 0.8) -> D
         return m.map(lambda x: alignment.windows_pass(x or "", window, threshold))
 
     return marks.select("ref_id", F.length("marks").alias("n"), run("marks").alias("passes"))
+
+
+def search_in_turn(queries: DataFrame, sources: dict[str, DataFrame], top: int = 5, **how) -> DataFrame:
+    """(query, source, row_idx, shared, containment): each source (name, postings) is asked only for the queries that no source before it has a hit for.
+
+    What is left is written between rounds, so a source's search isn't repeated by those after it.
+    """
+    left, out = queries.select("query", "text"), None
+    for name, postings in sources.items():
+        found = staged(search.containment_search(postings, left, top=top, **how).withColumn("source", F.lit(name)), "turn")
+        out = found if out is None else out.unionAll(found)
+        left = left.join(found.select("query").distinct(), "query", "left_anti")
+    return out.select("query", "source", "row_idx", "shared", "containment")
+
+
+def fragments_in_turn(segments: DataFrame, sources: dict[str, tuple[DataFrame, DataFrame]], **how) -> DataFrame:
+    """``fragment_templates`` over sources (name: postings and targets) in turn, with ``source``: the later ones see only segments without a template so far."""
+    left, out = segments.select("query", "text"), None
+    for name, (postings, targets) in sources.items():
+        found = staged(fragment_templates(left, postings, targets, **how).withColumn("source", F.lit(name)), "turn")
+        out = found if out is None else out.unionAll(found)
+        left = left.join(found.select("query"), "query", "left_anti")
+    return out

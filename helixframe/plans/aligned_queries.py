@@ -132,8 +132,8 @@ QUERIES = {f.__name__: f for f in _NAMES}
 _SIMILAR = "".join(f",{a}{b}" for a in alignment.ORDER for b in alignment.ORDER if a != b and alignment.MATRICES["BLOSUM45"][ord(a), ord(b)] > 0) + ","
 _MARK = f"CASE WHEN a = b THEN '|' WHEN contains('{_SIMILAR}', ',' || a || b || ',') THEN ':' ELSE '.' END"
 _GAPPED = "upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '-', 'g'))"
-_COLS = f"""WITH c AS (SELECT ref_id, i, substr(q, i::INT, 1) AS a, substr(s, i::INT, 1) AS b FROM
-  (SELECT ref_id, q, reverse(q) AS s, unnest(range(1, length(q) + 1)) AS i FROM (SELECT doc_id AS ref_id, {_GAPPED} AS q FROM documents))),
+_COLS = f"""WITH c AS (SELECT ref_id, unnest(range(1, length(q) + 1)) AS i, unnest(string_split(q, '')) AS a, unnest(string_split(reverse(q), '')) AS b
+  FROM (SELECT doc_id AS ref_id, {_GAPPED} AS q FROM documents) WHERE q <> ''),
 p AS MATERIALIZED (SELECT * FROM (SELECT *, CASE WHEN a = '-' THEN 'D' WHEN b = '-' THEN 'I' ELSE 'M' END AS op,
   (sum((b <> '-')::INT) OVER w - (b <> '-')::INT)::BIGINT AS ref_pos, (sum((a <> '-')::INT) OVER w - (a <> '-')::INT)::BIGINT AS q_pos,
   min(CASE WHEN a <> '-' THEN i END) OVER (PARTITION BY ref_id) AS lead_i, max(CASE WHEN a <> '-' THEN i END) OVER (PARTITION BY ref_id) AS tail_i

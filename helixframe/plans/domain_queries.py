@@ -77,7 +77,7 @@ _GAPPED = "upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '-', 'g'))"
 #: p: columns within the query's span, m: matched positions, v: residues.
 _ROWS = f"""WITH RECURSIVE t AS (SELECT doc_id AS ref_id, {_GAPPED} AS q FROM documents),
 w AS MATERIALIZED (SELECT t.ref_id, t.q, rpad(x.q, length(t.q)::INT, '-') AS s FROM t JOIN t x ON x.ref_id = t.ref_id + 1),
-c AS (SELECT ref_id, i, substr(q, i::INT, 1) AS a, substr(s, i::INT, 1) AS b FROM (SELECT *, unnest(range(1, length(q) + 1)) AS i FROM w)),
+c AS (SELECT ref_id, unnest(range(1, length(q) + 1)) AS i, unnest(string_split(q, '')) AS a, unnest(string_split(s, '')) AS b FROM w WHERE q <> ''),
 p AS MATERIALIZED (SELECT * FROM (SELECT *, CASE WHEN a = '-' THEN 'D' WHEN b = '-' THEN 'I' ELSE 'M' END AS op,
   (sum((b <> '-')::INT) OVER z - (b <> '-')::INT)::BIGINT AS ref_pos, (sum((a <> '-')::INT) OVER z - (a <> '-')::INT)::BIGINT AS q_pos,
   min(CASE WHEN a <> '-' THEN i END) OVER (PARTITION BY ref_id) AS lead_i, max(CASE WHEN a <> '-' THEN i END) OVER (PARTITION BY ref_id) AS tail_i

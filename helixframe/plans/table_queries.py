@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import accession as acc
 from ..functions import alphabet
-from ..operators import batching, hits, lookup, search
-from .queries import _HITS, _SKETCH, best_hit_per_query, sketch_search_topk
+from ..operators import batching, cascade, hits, lookup, search
+from ..sources.stage import shared_folder
+from .queries import _HITS, _SKETCH, _kmers, best_hit_per_query, sketch_search_topk
 
 
 def _t(spark, d, name):
@@ -145,6 +148,25 @@ def sketch_arrays(s, d):
     return search.sketch_arrays(kept, 100).select("row_idx", F.md5(F.array_join("sketch", ",")).alias("sketch"))
 
 
+def sources_in_turn(s, d):
+    """Two databases, the documents of odd and of even ids; the second is asked for what the first lacks."""
+    db = _t(s, d, "documents").selectExpr("doc_id AS row_idx", "text")
+    sources = {name: search.build_index(db.where(f"row_idx % 2 = {k}")) for k, name in ((1, "odd"), (0, "even"))}
+    return cascade.search_in_turn(_t(s, d, "benchmark").selectExpr("item_id AS query", "text"), sources)
+
+
+def written_lookup(s, d):
+    """The index written by prefix, then read for the keys alone: folders of other prefixes are pruned at run time."""
+    docs = _t(s, d, "documents").select(F.md5(F.col("doc_id").cast("string")).alias("h"), F.col("source"), F.col("doc_id"))
+    rows = lookup.fragment_rows(docs, "h", "source", "doc_id")
+    numbered = rows.withColumn("fragment_id", F.regexp_extract("fragment_id", "([0-9]+)$", 1).cast("int"))
+    path = f"{shared_folder(s)}/prefix-{uuid.uuid4().hex}"
+    lookup.write_prefix_index(numbered, path)
+    keys = _t(s, d, "labels").where("toxic = 1").select(F.md5(F.col("doc_id").cast("string")).alias("protein_hash"))
+    out = lookup.lookup(lookup.read_prefix_index(s, path), keys)
+    return out.select("protein_hash", F.col("fragment_id").cast("long").alias("fragment_id"), F.col("frag_row").cast("long").alias("frag_row"))
+
+
 def _ids(s, d):
     return _t(s, d, "documents").selectExpr("doc_id", "CASE pmod(doc_id, 4) WHEN 0 THEN concat(md5(CAST(doc_id AS STRING)), '|', doc_id, '|', doc_id * 3) WHEN 1 THEN concat('h', doc_id, '|x|3') WHEN 2 THEN concat('AF-Q', doc_id, '-F1') ELSE concat('a b/', doc_id, '.é') END AS id")
 
@@ -181,7 +203,7 @@ def scan_lookup(s, d):
     return lookup.lookup_scan(_t(s, d, "documents").select(F.md5(F.col("doc_id").cast("string")).alias("protein_hash")), "a")
 
 
-_NAMES = (distinct_counts, timing_stats, status_histogram, status_prefixes, sorted_filter, bound_if_present, top_orders, head_per_group, select_top_hits, set_union, set_difference, cascade_coverage, selected_queries, containment_gate, template_gates, first_success, stop_rule, length_gate, token_batches, batch_costs, adaptive_rounds, tiered_lookup, resumed_rows, sketch_arrays, composite_ids, safe_names, file_urls, database_labels, first_column, scan_lookup)
+_NAMES = (distinct_counts, timing_stats, status_histogram, status_prefixes, sorted_filter, bound_if_present, top_orders, head_per_group, select_top_hits, set_union, set_difference, cascade_coverage, selected_queries, containment_gate, template_gates, first_success, stop_rule, length_gate, token_batches, batch_costs, adaptive_rounds, tiered_lookup, resumed_rows, sketch_arrays, sources_in_turn, written_lookup, composite_ids, safe_names, file_urls, database_labels, first_column, scan_lookup)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _IDS = "WITH i AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN md5(doc_id::VARCHAR) || '|' || doc_id || '|' || doc_id * 3 WHEN 1 THEN 'h' || doc_id || '|x|3' WHEN 2 THEN 'AF-Q' || doc_id || '-F1' ELSE 'a b/' || doc_id || '.é' END AS id FROM documents)"
@@ -190,6 +212,17 @@ b AS (SELECT lane, id, length, k, 0::BIGINT AS batch, 1::BIGINT AS size FROM o W
   SELECT o.lane, o.id, o.length, o.k, CASE WHEN (size + 1) * o.length * o.length > 4000000 THEN batch + 1 ELSE batch END, CASE WHEN (size + 1) * o.length * o.length > 4000000 THEN 1 ELSE size + 1 END
   FROM b JOIN o ON o.lane = b.lane AND o.k = b.k + 1)"""
 
+def _in_turn() -> str:
+    """The search over each half of the documents for itself; of the second only queries without a hit in the first."""
+    half = """, f{k} AS (SELECT h, count(*) AS df FROM k WHERE id % 2 = {k} GROUP BY h),
+s{k} AS (SELECT id, h, row_number() OVER (PARTITION BY id ORDER BY h) AS pos FROM k JOIN f{k} USING (h) WHERE df <= 10 AND id % 2 = {k}),
+c{k} AS (SELECT q.id AS query, s.id AS row_idx, count(*) AS shared FROM q JOIN s{k} s USING (h) WHERE pos <= 100 GROUP BY 1, 2 HAVING count(*) >= 2),
+t{k} AS (SELECT query, row_idx, shared FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, row_idx DESC) AS n FROM c{k}) WHERE n <= 5)"""
+    return f"""WITH {_kmers('documents', 'doc_id', 'k')}, {_kmers('benchmark', 'item_id', 'qk')}, q AS (SELECT id, h FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY h) AS n FROM qk) WHERE n <= 100){half.format(k=1)}{half.format(k=0)}
+SELECT query, 'odd' AS source, row_idx, shared, shared / 100.0::DOUBLE AS containment FROM t1
+UNION ALL SELECT query, 'even', row_idx, shared, shared / 100.0::DOUBLE FROM t0 WHERE query NOT IN (SELECT query FROM t1)"""
+
+
 SQL = {
     "distinct_counts": "SELECT " + ", ".join(f"count(DISTINCT {c}) AS {c}" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")) + " FROM lineitem",
     "timing_stats": "SELECT event_type, min(value) AS lo, round(avg(value), 6) AS mean, max(value) AS hi, count(*) AS n FROM events GROUP BY 1",
@@ -215,6 +248,9 @@ SQL = {
 SELECT id, score, turn FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn) AS k FROM s WHERE score >= 80 OR turn >= 4 OR turn = 0 AND score < 15) WHERE k = 1""",
     "tiered_lookup": "SELECT doc_id, CASE WHEN source = 'src0' THEN 0 WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 WHEN lang = 'en' THEN 2 END::BIGINT AS tier FROM documents",
     "resumed_rows": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
+    "sources_in_turn": _in_turn(),
+    "written_lookup": """SELECT md5(doc_id::VARCHAR) AS protein_hash, regexp_extract(source, '([0-9]+)$', 1)::BIGINT AS fragment_id, r AS frag_row
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents) d WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
     "sketch_arrays": _SKETCH + " SELECT id AS row_idx, md5(array_to_string(list_resize(list(h ORDER BY h), 100, 4294967295), ',')) AS sketch FROM p GROUP BY id",
     "composite_ids": _IDS + " SELECT doc_id, split_part(id, '|', 1) AS hash, CASE WHEN doc_id % 4 = 0 THEN doc_id ELSE -1 END AS fragment_id, CASE WHEN doc_id % 4 = 0 THEN doc_id * 3 ELSE -1 END AS frag_row FROM i",
     "safe_names": _IDS + r" SELECT doc_id, regexp_replace(id, '[^A-Za-z0-9_.-]', '_', 'g') AS name, split_part(id, '|', 1) AS first FROM i WHERE doc_id % 4 <> 3",

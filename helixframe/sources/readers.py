@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Columns of a hit table as searches write it.
@@ -260,3 +260,24 @@ def structures_of(decoded: DataFrame) -> DataFrame:
     rows = decoded.where("kind = 'json'").select("ref_id", F.from_json("value", STRUCTURE).alias("x")).where("x.sequence IS NOT NULL")
     index = F.coalesce("x.residue_index", F.sequence(F.lit(1), F.length("x.sequence")))
     return rows.select("ref_id", "x.sequence", F.col("x.atom37_mask").alias("mask"), F.col("x.atom37_positions").alias("positions"), "x.confidence", index.alias("residue_index"))
+
+
+def read_pae_rows(spark: SparkSession, path: str, step: int = 1) -> DataFrame:
+    """``read_pae`` for large matrices: each row of a matrix is one record, so no task holds a matrix, and of each ``step``-th row only each ``step``-th number becomes a row.
+
+    Records end at ``]``; a file's records are numbered in its order, over its splits.
+    The flat layout has one list for all distances, which is one record.
+    """
+    rows = spark.read.text(path, lineSep="]").select(F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.json)?$", 1).alias("ref_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    rows = rows.where(F.col("value").contains("[")).select("ref_id", "block", "at", F.regexp_extract("value", r'"(\w+)"\s*:\s*\[', 1).alias("name"), F.regexp_extract("value", r"\[([^\[]*)$", 1).alias("numbers"))
+    numbers = F.split(F.col("numbers"), r"\s*,\s*")
+    flat = rows.where("name = 'distance'").select("ref_id", numbers.alias("v")).withColumn("n", F.round(F.sqrt(F.size("v"))).cast("int"))
+    every = F.expr(f"transform(sequence(0, (n - 1) DIV {step}), i -> struct(i, transform(sequence(0, (n - 1) DIV {step}), j -> struct(j, v[i * {step} * n + j * {step}] AS pae)) AS cells))")
+    flat = flat.where("n > 0").select("ref_id", F.inline(every)).select("ref_id", "i", F.inline("cells"))
+    matrix = rows.where("name IN ('', 'predicted_aligned_error') AND length(numbers) > 0")
+    place = F.row_number().over(Window.partitionBy("ref_id").orderBy("block", "at")) - 1
+    # rows of lists are numbered before their numbers are read; a matrix's rows are bounded by its length
+    matrix = matrix.withColumn("i", place).where(f"i % {step} = 0").select("ref_id", (F.expr(f"i DIV {step}")).cast("int").alias("i"), numbers.alias("v"))
+    cells = matrix.select("ref_id", "i", F.inline(F.expr(f"transform(sequence(0, (size(v) - 1) DIV {step}), j -> struct(j, v[j * {step}] AS pae))")))
+    out = cells.unionByName(flat)
+    return out.select("ref_id", "i", "j", F.trim("pae").cast("double").alias("pae"))
