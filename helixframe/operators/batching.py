@@ -31,6 +31,17 @@ def token_batches(items: DataFrame, budget: int) -> DataFrame:
     return rows.groupBy("lane").applyInArrow(fold, "lane string, id long, length long, batch long")
 
 
+def bounded_lanes(items: DataFrame, most: int = 100_000) -> DataFrame:
+    """Items (lane, id, length) with lanes of over ``most`` items dealt into several, by id in turn, named lane/0, lane/1, ...
+
+    Each of these is a fold of its own, so no task takes a whole large lane; that costs one open batch each.
+    """
+    parts = items.groupBy("lane").agg(F.ceil(F.count("*") / most).alias("parts"))
+    rows = items.join(parts.withColumnRenamed("lane", "_lane"), F.col("lane").eqNullSafe(F.col("_lane")))
+    part = F.concat(F.coalesce(F.col("lane").cast("string"), F.lit("")), F.lit("/"), F.expr("CAST(pmod(id, parts) AS STRING)"))
+    return rows.select(F.when(F.col("parts") > 1, part).otherwise(F.col("lane").cast("string")).alias("lane"), "id", "length")
+
+
 def batch_costs(batches: DataFrame) -> DataFrame:
     """(lane, batch, items, longest, cost): a batch's cost is its number of items times the square of its longest."""
     out = batches.groupBy("lane", "batch").agg(F.count("*").alias("items"), F.max("length").alias("longest"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alignment
@@ -95,3 +95,20 @@ def fragments_in_turn(segments: DataFrame, sources: dict[str, tuple[DataFrame, D
         out = found if out is None else out.unionAll(found)
         left = left.join(found.select("query"), "query", "left_anti")
     return out
+
+
+def class_rows(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of the tables that a run leaves: hits (query, row_idx, shared, containment) with ``class``, that of their query, and ``chosen``, whether the hit is the template; queries without a hit have a row of nulls."""
+    rows = classes.withColumnRenamed("row_idx", "template").join(found, "query", "left")
+    return rows.withColumn("chosen", F.coalesce(F.col("row_idx").eqNullSafe(F.col("template")) & F.col("template").isNotNull(), F.lit(False))).drop("template")
+
+
+def write_class_tables(rows: DataFrame, path: str) -> None:
+    """``class_rows`` as Parquet: a folder a class, written in one pass, so each class is a table of its own."""
+    rows.write.partitionBy("class").option("compression", "zstd").parquet(path)
+
+
+def read_class_table(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """One class's table, of which alone the files are read, or all."""
+    rows = spark.read.parquet(path)
+    return rows if name is None else rows.where(F.col("class") == name)

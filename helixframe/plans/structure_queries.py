@@ -78,6 +78,21 @@ def placed_fragments(s, d):
     return loops.place_fragments(rows).select("ref_id", F.round("off", 3).alias("off"), "status", F.size("points").cast("long").alias("n"))
 
 
+_EDITS = (("MKVLA", "MKVLA"), ("MK-LA", "MKVLA"), ("MKAVLA", "MK-VLA"), ("AMKVLA", "-MKVLA"), ("MKVLAF", "MKVLAF"), ("MKAAAAAAVLA", "MK------VLA"))
+
+
+def class_b_builds(s, d):
+    """Chains built along edits, by vector in turn, over its points as N, CA, C and O of five residues."""
+    p = _points(s, d)
+    edits = F.array(*(F.struct(F.lit(q).alias("q"), F.lit(t).alias("s")) for q, t in _EDITS))
+    pairs = p.select("ref_id").distinct().select("ref_id", F.element_at(edits, (F.col("ref_id") % len(_EDITS) + 1).cast("int")).alias("e")).select("ref_id", "e.q", "e.s")
+    atom = F.element_at(F.array(*map(F.lit, ("N", "CA", "C", "O"))), (F.col("pos") % 4 + 1).cast("int"))
+    backbone = p.where("pos < 20").select("ref_id", F.expr("pos DIV 4").alias("res"), atom.alias("atom"), *(F.col(c) * 3 for c in "xyz")).toDF("ref_id", "pos", "atom", "x", "y", "z")
+    ss = F.when(F.col("x") > 1.5, "E").when(F.col("x") < -1.5, "H").otherwise("C")
+    states = backbone.where("atom = 'CA'").select("ref_id", "pos", ss.alias("ss"))
+    return loops.build_class_b(pairs, backbone, states).select("ref_id", "status", F.size("atoms").cast("long").alias("n"))
+
+
 def segment_centroids(s, d):
     out = structures.segment_centroids(structures.chain_breaks(_points(s, d), 1.5))
     return out.select("ref_id", F.col("segment").cast("long").alias("segment"), *(F.round(f"c{c}", 6).alias(f"c{c}") for c in "xyz"), "nearest")
@@ -131,7 +146,7 @@ def edit_sizes(s, d):
     return r.groupBy("ref_id").agg(F.count("*").alias("indels"), F.max("n").alias("longest"))
 
 
-_NAMES = (secondary_structure, structure_counts, placed_residue, rigid_transform, clash_pairs, clash_flags, atom_clashes, proline_coil, closed_insertions, placed_fragments, segment_centroids, pae_subsample, domain_components, domains_by_size, domain_best, domain_status, trimmed_template, rebuilt_chain, edit_sizes)
+_NAMES = (secondary_structure, structure_counts, placed_residue, rigid_transform, clash_pairs, clash_flags, atom_clashes, proline_coil, closed_insertions, placed_fragments, class_b_builds, segment_centroids, pae_subsample, domain_components, domains_by_size, domain_best, domain_status, trimmed_template, rebuilt_chain, edit_sizes)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 

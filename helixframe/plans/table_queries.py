@@ -121,6 +121,11 @@ def token_batches(s, d):
     return batching.token_batches(_items(s, d), 4_000_000)
 
 
+def lane_batches(s, d):
+    """Batches of lanes of 60 items at most."""
+    return batching.token_batches(batching.bounded_lanes(_items(s, d), 60), 4_000_000)
+
+
 def batch_costs(s, d):
     return batching.batch_costs(batching.token_batches(_items(s, d), 4_000_000))
 
@@ -203,7 +208,7 @@ def scan_lookup(s, d):
     return lookup.lookup_scan(_t(s, d, "documents").select(F.md5(F.col("doc_id").cast("string")).alias("protein_hash")), "a")
 
 
-_NAMES = (distinct_counts, timing_stats, status_histogram, status_prefixes, sorted_filter, bound_if_present, top_orders, head_per_group, select_top_hits, set_union, set_difference, cascade_coverage, selected_queries, containment_gate, template_gates, first_success, stop_rule, length_gate, token_batches, batch_costs, adaptive_rounds, tiered_lookup, resumed_rows, sketch_arrays, sources_in_turn, written_lookup, composite_ids, safe_names, file_urls, database_labels, first_column, scan_lookup)
+_NAMES = (distinct_counts, timing_stats, status_histogram, status_prefixes, sorted_filter, bound_if_present, top_orders, head_per_group, select_top_hits, set_union, set_difference, cascade_coverage, selected_queries, containment_gate, template_gates, first_success, stop_rule, length_gate, token_batches, lane_batches, batch_costs, adaptive_rounds, tiered_lookup, resumed_rows, sketch_arrays, sources_in_turn, written_lookup, composite_ids, safe_names, file_urls, database_labels, first_column, scan_lookup)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _IDS = "WITH i AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN md5(doc_id::VARCHAR) || '|' || doc_id || '|' || doc_id * 3 WHEN 1 THEN 'h' || doc_id || '|x|3' WHEN 2 THEN 'AF-Q' || doc_id || '-F1' ELSE 'a b/' || doc_id || '.é' END AS id FROM documents)"
@@ -243,6 +248,7 @@ SQL = {
     "stop_rule": "SELECT l_orderkey, count(*) FILTER (l_quantity >= 40 OR l_linenumber > 5 OR l_linenumber = 1 AND l_quantity < 10) AS stopped, count(*) AS n FROM lineitem GROUP BY 1",
     "length_gate": "SELECT doc_id, CASE WHEN length(text) > 1000 THEN 'too_long' ELSE 'ok' END AS status, CASE WHEN strlen(text) > 2500 THEN 3 ELSE 2 END::BIGINT AS step FROM documents",
     "token_batches": _BATCH + " SELECT lane, id, length, batch FROM b",
+    "lane_batches": _BATCH.replace("coalesce(source, '') AS lane", "lane").replace("PARTITION BY source", "PARTITION BY lane").replace("FROM documents)", "FROM (SELECT *, coalesce(source, '') || CASE WHEN m > 1 THEN '/' || ((doc_id % m) + m) % m ELSE '' END AS lane FROM (SELECT *, ceil(count(*) OVER (PARTITION BY source) / 60.0)::BIGINT AS m FROM documents)))", 1) + " SELECT lane, id, length, batch FROM b",
     "batch_costs": _BATCH + " SELECT lane, batch, count(*) AS items, max(length) AS longest, count(*) * max(length) * max(length) AS cost FROM b GROUP BY 1, 2",
     "adaptive_rounds": """WITH s AS (SELECT c_custkey AS id, turn, (c_custkey * 37 + turn * 53) % 101 AS score FROM customer CROSS JOIN (SELECT unnest(range(0, 5)) AS turn))
 SELECT id, score, turn FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn) AS k FROM s WHERE score >= 80 OR turn >= 4 OR turn = 0 AND score < 15) WHERE k = 1""",

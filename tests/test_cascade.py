@@ -32,3 +32,14 @@ def test_fragment_templates(spark):
 def test_whole_chain(spark):
     marks = spark.createDataFrame([(1, "|" * 50), (2, "|" * 20 + "." * 30), (3, "")], "ref_id long, marks string")
     assert [r.passes for r in cascade.whole_chain(marks).orderBy("ref_id").collect()] == [True, False, False]
+
+
+def test_class_tables(spark, tmp_path):
+    classes = spark.createDataFrame([(1, 7, "A"), (2, 9, "C1"), (3, None, "D")], "query long, row_idx long, class string")
+    found = spark.createDataFrame([(1, 7, 50, 0.5), (1, 8, 40, 0.4), (2, 9, 9, 0.09)], "query long, row_idx long, shared long, containment double")
+    path = str(tmp_path / "tables")
+    cascade.write_class_tables(cascade.class_rows(found, classes), path)
+    got = sorted(((r["query"], r.row_idx, r.shared, r.chosen, r["class"]) for r in cascade.read_class_table(spark, path).collect()), key=str)
+    assert got == [(1, 7, 50, True, "A"), (1, 8, 40, False, "A"), (2, 9, 9, True, "C1"), (3, None, None, False, "D")]
+    one = cascade.read_class_table(spark, path, "A")
+    assert one.count() == 2 and "PartitionFilters: [isnotnull(class" in one._jdf.queryExecution().executedPlan().toString()
