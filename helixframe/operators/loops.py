@@ -27,7 +27,7 @@ CB = (1.53, 110.5, -121.5)
 RADII = {"N": 1.55, "CA": 1.70, "C": 1.70, "O": 1.52, "CB": 1.70}
 BACKBONE = ("N", "CA", "C", "O", "CB")
 #: Seed and number of the starts of a closure.
-SEED, STARTS = 42, 8
+SEED, STARTS = 20240, 8
 _STEP = 3.8
 
 
@@ -77,10 +77,9 @@ def _stepped(x: np.ndarray, residual, turns: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _starts() -> np.ndarray:
-    """Torsions (phi, psi of three residues) to start from: the two regular forms, two mixtures, and seeded random ones."""
-    e, h = (np.radians(TORSIONS[k]) for k in ("extended", "helix"))
-    fixed = [[*e, *e, *e], [*h, *h, *h], [e[0], h[1], *e, *e], [h[0], e[1], *h, *e]]
-    return np.array([*fixed, *np.random.default_rng(SEED).uniform(-math.pi, math.pi, (STARTS - 4, 6))])
+    """Torsions (phi, psi of three residues) to start from: each regular form throughout, and seeded random ones."""
+    forms = [np.tile(np.radians(form), 3) for form in TORSIONS.values()]
+    return np.array([*forms, *np.random.default_rng(SEED).uniform(-math.pi, math.pi, (STARTS - len(forms), 6))])
 
 
 def close_three(prev: np.ndarray, target: np.ndarray, turns: int = 80) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +106,7 @@ def close_three(prev: np.ndarray, target: np.ndarray, turns: int = 80) -> tuple[
 def directed(prev: np.ndarray, n: int, target: np.ndarray, form: str, more: int = 0) -> list[tuple[float, float]]:
     """Torsions (phi, psi) of ``n`` residues whose CAs go straight towards ``target``, leaving the way of ``more`` others; without these the last C comes as near to it as phi can bring it."""
     a, out = list(prev), []
-    psis, phis = np.radians(np.arange(-180, 180, 2)), np.radians(np.arange(-180, 180, 5))
+    psis = phis = np.radians(np.arange(-180, 180, 3))
     for left in range(n, 0, -1):
         want = a[1] + (target - a[1]) / (left + more)
         every = residue(*(np.broadcast_to(v, (len(psis), 3)) for v in a), np.zeros(len(psis)), psis)
