@@ -218,6 +218,11 @@ class _Writer(DataSourceArrowWriter):
             os.remove(left)
 
 
+def _local(path: str) -> str:
+    """A mounted path, also where it is written as a file URL."""
+    return path.removeprefix("file://")
+
+
 class Sidx(DataSource):
     """``spark.read.format("sidx").load(path)``: a file or a folder of files; options ``per``: k-mers in a partition, ``keys``: the only k-mers to read, with commas."""
 
@@ -231,10 +236,10 @@ class Sidx(DataSource):
     def reader(self, schema) -> _Reader:
         wanted = self.options.get("keys")
         keys = None if wanted is None else sorted({int(x) for x in wanted.split(",") if x})
-        return _Reader(self.options["path"], int(self.options.get("per", 1 << 20)), keys)
+        return _Reader(_local(self.options["path"]), int(self.options.get("per", 1 << 20)), keys)
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], overwrite, dict(self.options))
+        return _Writer(_local(self.options["path"]), overwrite, dict(self.options))
 
 
 def read_postings(spark: SparkSession, path: str, keys: Iterable[int] | None = None, per: int = 1 << 20) -> DataFrame:

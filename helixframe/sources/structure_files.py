@@ -122,7 +122,7 @@ class TextFiles(DataSource):
         return "name string, text string"
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], overwrite, self.options.get("suffix", ""))
+        return _Writer(self.options["path"].removeprefix("file://"), overwrite, self.options.get("suffix", ""))
 
 
 def write_structures(atoms: DataFrame, path: str, mode: str = "append") -> None:
