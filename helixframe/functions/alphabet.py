@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stage import spread
+
 # fixed values: residue classes of the reduced alphabets
 SCHEMES = {
     "murphy2000_4": ("LVIMC", "AGSTP", "FYW", "EDNQKRH"),
@@ -62,10 +64,11 @@ def kmer_codes(raw: np.ndarray, table: np.ndarray, k: int, base: int, segmented:
     n = len(d) - k + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    code, ok = np.zeros(n, np.int64), np.ones(n, bool)
+    code, ok = np.zeros(n, np.int32 if base**k < 1 << 31 else np.int64), np.ones(n, bool)
     for j in range(k):
         part = d[j : j + n]
-        code = code * base + part
+        code *= base
+        code += part
         ok &= part != 255
     return np.unique(code[ok])
 
@@ -91,10 +94,10 @@ def distinct_kmers(df: DataFrame, key: str, text: str, k: int = 9, scheme: str =
         for batch in batches:
             out = [of(t) for t in batch["t"]]
             at = np.r_[0, np.cumsum([len(c) for c in out])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(out).astype(np.int64) if out else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch[key], lists], schema=schema)
 
-    return src.mapInArrow(codes, f"{key} long, codes array<long>")
+    return spread(src).mapInArrow(codes, f"{key} long, codes array<long>")
 
 
 def kmer_frequency(df: DataFrame, text: str, k: int = 9, scheme: str = "murphy2000_5", segmented: bool = True) -> DataFrame:
@@ -114,5 +117,6 @@ def kmer_frequency(df: DataFrame, text: str, k: int = 9, scheme: str = "murphy20
             part = h[s : s + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], schema=schema)
 
-    rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(count, "h long, n long")
+    rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = spread(rows).mapInArrow(count, "h long, n long")
     return rows.groupBy("h").agg(F.sum("n").alias("df"))

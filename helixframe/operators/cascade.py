@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alignment
@@ -10,9 +12,13 @@ from ..sources.stage import staged
 from . import hits, search
 
 
-def aligned_hits(found: DataFrame, queries: DataFrame, targets: DataFrame, local: bool = False, matrix: str = "BLOSUM45") -> DataFrame:
-    """Hits with ``x``, their alignment; null for queries beyond the longest."""
-    rows = hits.annotate(found, queries, targets).repartition("query", "row_idx")
+def aligned_hits(found: DataFrame, queries: DataFrame, targets: DataFrame, local: bool = False, matrix: str = "BLOSUM45", clean: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Hits with ``x``, their alignment; null for queries beyond the longest; ``clean`` as in ``hits.annotate``.
+
+    Rows are few bytes and long work, so they go to a fixed number of partitions, which adaptive execution doesn't merge.
+    """
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = hits.annotate(found, queries, targets, clean=clean).repartition(parts, "query", "row_idx")
     return rows.withColumn("x", alignment.aligner(local, matrix=matrix)("full_qseq", "full_sseq"))
 
 

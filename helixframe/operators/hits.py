@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def annotate(hits: DataFrame, queries: DataFrame, targets: DataFrame, annotations: DataFrame | None = None) -> DataFrame:
-    """Hits with both sequences (rows without either go) and annotations with defaults."""
+def annotate(hits: DataFrame, queries: DataFrame, targets: DataFrame, annotations: DataFrame | None = None, clean: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Hits with both sequences (rows without either go) and annotations with defaults.
+
+    ``clean`` makes sequences of what the targets' ``seq`` holds, after the join, so only targets with hits are cleaned.
+    """
     out = hits.join(queries.selectExpr("query", "seq AS full_qseq"), "query").join(targets.selectExpr("row_idx", "seq AS full_sseq"), "row_idx")
-    out = out.where("length(full_qseq) > 0 AND length(full_sseq) > 0").withColumn("qlen", F.length("full_qseq")).withColumn("slen", F.length("full_sseq"))
+    if clean is not None:
+        out = out.withColumn("full_sseq", clean(F.col("full_sseq")))
+    # one predicate over both sides: a filter of the targets alone would go below the join and clean them all
+    out = out.where("least(length(full_qseq), length(full_sseq)) > 0").withColumn("qlen", F.length("full_qseq")).withColumn("slen", F.length("full_sseq"))
     if annotations is not None:
         out = out.join(annotations, "row_idx", "left").na.fill(0).na.fill("")
     return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import accession as acc
 from ..functions import alphabet, alignment
 from ..operators import cascade, hits, lookup, search, structures
-from ..sources.stage import staged
+from ..sources.stage import spread, staged
 
 
 def _t(spark, d, name):
@@ -28,7 +28,7 @@ def fasta_filter(s, d):
 
 def recode_alphabets(s, d):
     seq = alphabet.strip(F.col("text"))
-    return _t(s, d, "documents").select("doc_id", *(F.md5(alphabet.recode(seq, k)).alias(k) for k in alphabet.SCHEMES))
+    return spread(_t(s, d, "documents").select("doc_id", "text")).select("doc_id", *(F.md5(alphabet.recode(seq, k)).alias(k) for k in alphabet.SCHEMES))
 
 
 def kmer_doc_freq(s, d):
@@ -58,9 +58,9 @@ def sketch_search_segmented(s, d):
 
 def annotate_hits(s, d):
     q = _q(s, d).select("query", alphabet.strip(F.col("text")).alias("seq"))
-    t = _db(s, d).select("row_idx", alphabet.strip(F.col("text")).alias("seq"))
+    t = _db(s, d).withColumnRenamed("text", "seq")
     a = _t(s, d, "labels").selectExpr("doc_id AS row_idx", "quality AS group_size")
-    out = hits.annotate(sketch_search_topk(s, d), q, t, a)
+    out = hits.annotate(sketch_search_topk(s, d), q, t, a, alphabet.strip)
     return out.select("query", "row_idx", "shared", F.col("qlen").cast("long").alias("qlen"), F.col("slen").cast("long").alias("slen"), F.col("group_size").cast("long").alias("group_size"))
 
 
@@ -107,9 +107,9 @@ def gap_rules(s, d):
 def nw_best_hits(s, d):
     """Global alignment of each query, up to the longest query's length, with its best hit's sequence."""
     q = _q(s, d).select("query", alphabet.strip(F.col("text")).alias("seq"))
-    t = _db(s, d).select("row_idx", alphabet.strip(F.col("text")).alias("seq"))
-    out = hits.annotate(best_hit_per_query(s, d), q, t)
-    return out.withColumn("x", alignment.aligner()("full_qseq", "full_sseq")).select("query", "row_idx", "x.score", "x.identity", "x.coverage", "x.class_a")
+    t = _db(s, d).withColumnRenamed("text", "seq")
+    out = cascade.aligned_hits(best_hit_per_query(s, d), q, t, clean=alphabet.strip)
+    return out.select("query", "row_idx", "x.score", "x.identity", "x.coverage", "x.class_a")
 
 
 def _points(s, d):
@@ -174,9 +174,9 @@ def frequency_totals(s, d):
     return kmer_doc_freq(s, d).groupBy("df").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
 
 
-def classes(found, queries, targets):
+def classes(found, queries, targets, clean=None):
     """(query, row_idx, class), a row for each query: A with its first candidate that passes, else B or C by its best ranked, C without a row_idx where nothing could be aligned.  B asks for an identity of 0.4 over the query's span."""
-    rows = hits.annotate(found, queries, targets).select("query", "row_idx", "shared", "full_qseq", "full_sseq")
+    rows = hits.annotate(found, queries, targets, clean=clean).select("query", "row_idx", "shared", "full_qseq", "full_sseq")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     picked = rows.groupBy("query").applyInPandas(alignment.first_class_a(), f"query {kinds['query']}, row_idx {kinds['row_idx']}, q string, s string, class_a boolean, identity double")
     kind = F.when(F.col("class_a"), "A").when(alignment.class_b(F.col("q"), F.col("s")) & (F.col("identity") >= 0.4), "B").otherwise("C")
@@ -186,18 +186,18 @@ def classes(found, queries, targets):
 def identity_classes(s, d):
     """Rule classes of all queries: their candidates are aligned in order of rank until one is of class A."""
     q = _q(s, d).select("query", alphabet.strip(F.col("text")).alias("seq"))
-    t = _db(s, d).select("row_idx", alphabet.strip(F.col("text")).alias("seq"))
-    return classes(search.containment_search(search.build_index(_db(s, d)), _q(s, d), top=100), q, t)
+    t = _db(s, d).withColumnRenamed("text", "seq")
+    return classes(search.containment_search(search.build_index(_db(s, d)), _q(s, d), top=100), q, t, alphabet.strip)
 
 
 def full_cascade(s, d):
     """Template classes of all queries, C split by coverage and identity, D without a hit."""
     q = _q(s, d).select("query", alphabet.strip(F.col("text")).alias("seq"))
-    t = _db(s, d).select("row_idx", alphabet.strip(F.col("text")).alias("seq"))
+    t = _db(s, d).withColumnRenamed("text", "seq")
     found = staged(search.containment_search(search.build_index(_db(s, d)), _q(s, d), top=100), "hits")
-    solved = staged(classes(found, q, t), "classes")
+    solved = staged(classes(found, q, t, alphabet.strip), "classes")
     still = found.join(solved.where("class IN ('A', 'B')").select("query"), "query", "left_anti")  # only these are aligned again
-    return cascade.template_classes(solved, cascade.aligned_hits(still, q, t), q)
+    return cascade.template_classes(solved, cascade.aligned_hits(still, q, t, clean=alphabet.strip), q)
 
 
 def first_seen(s, d):

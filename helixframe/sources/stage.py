@@ -26,3 +26,18 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     path, schema = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table's rows dealt to all cores, for work that takes far longer than moving a row.
+
+    A file of one row group is one task, whatever Spark's splits are.  Small is what doesn't fill
+    a split of ``spark.sql.files.maxPartitionBytes`` on each core, so what moves is bounded by
+    the cluster; larger tables stay as they are and aren't shuffled.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df
