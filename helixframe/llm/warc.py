@@ -2,11 +2,11 @@
 
 Records are rows whose text is the whole record; Spark's text sink, with the
 record separator CR LF CR LF as line separator, writes them as gzipped WARC 1.1
-files, to any store Spark writes to.  Pages of a size class (each four times as
-large as the one before) go to files of their own, so many to a file that none
-exceeds ``volume`` bytes, or of larger pages one; a warcinfo record stands in a file
-beside them.  A file is one gzip stream: the sink can't begin a member for each
-record.  Reading goes by binaryFile and Content-Length; a file is inflated piece by
+files, to any store Spark writes to.  The pages are scanned and written once: each
+task numbers its files as it goes and begins the next one where a record would take
+it over ``volume`` bytes before compression, so a file has at most that or one record;
+a warcinfo record stands in a file beside them.  A file is one gzip stream: the sink
+can't begin a member for each record.  Reading goes by binaryFile and Content-Length; a file is inflated piece by
 piece, so a task holds the compressed file and a record.
 
 Revisits: headers, without payloads, are dealt by payload digest; of equal
@@ -28,6 +28,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def headers(pages: DataFrame) -> DataFrame:
     """page_id, digest and size of each page's payload."""
     html = "coalesce(html, '')"
-    return pages.selectExpr("CAST(page_id AS LONG) AS page_id", f"sha1({html}) AS digest", f"CAST(octet_length({html}) AS LONG) AS size", "CAST(octet_length(url) AS LONG) AS url_size")
+    return pages.selectExpr("CAST(page_id AS LONG) AS page_id", f"sha1({html}) AS digest", f"CAST(octet_length({html}) AS LONG) AS size")
 
 
 def revisits(heads: DataFrame, shelf: Shelf, least: int = 1000) -> DataFrame:
@@ -79,19 +80,30 @@ def records(pages: DataFrame, refers: DataFrame, date: str = "2024-01-01T00:00:0
     return rows.select(F.expr(f"concat({head})").alias("record"))
 
 
-#: Bytes of the smallest size class.
-_CLASS = 1 << 16
+def by_volume(rows: DataFrame, volume: int) -> DataFrame:
+    """Rows (record) with ``file``, numbered in each task: a file's records take ``volume`` bytes at most, or it has one."""
+    schema = pa.schema([("record", pa.string()), ("file", pa.int32())])
 
+    @lean
+    def number(batches):
+        file, held = 0, 0
+        for batch in batches:
+            files = []
+            for size in pc.binary_length(batch["record"]).to_pylist():
+                size += len(_END)
+                if held and held + size > volume:
+                    file, held = file + 1, 0
+                held += size
+                files.append(file)
+            yield pa.RecordBatch.from_arrays([batch["record"], pa.array(files, pa.int32())], schema=schema)
+
+    return rows.mapInArrow(number, "record string, file int")
 
-def write_archive(pages: DataFrame, refers: DataFrame, heads: DataFrame, path: str, volume: int = 1 << 27) -> None:
-    """Pages as an archive of files of at most ``volume`` bytes, or one record; refers and heads as of ``revisits`` and ``headers``."""
-    spark, size = pages.sparkSession, "coalesce(octet_length(html), 0) + coalesce(octet_length(url), 0)"
-    place = f"CAST(greatest(0, ceil(log(4, greatest(1, size) / {_CLASS}D) - 1e-9)) AS INT)"
-    used = sorted(r["k"] for r in heads.selectExpr("coalesce(size, 0) + coalesce(url_size, 0) AS size").selectExpr(f"{place} AS k").distinct().collect())  # at most 16: sizes are below 2^31
-    for k in used:
-        part = pages.where(F.expr(place.replace("size", f"({size})")) == k)
-        rows, each = records(part, refers), max(1, volume // (_CLASS * 4**k + 4096))
-        rows.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", each).text(f"{path}/class-{k}")
+
+def write_archive(pages: DataFrame, refers: DataFrame, path: str, volume: int = 1 << 27) -> None:
+    """Pages as an archive of files of at most ``volume`` bytes, or one record; refers as of ``revisits``."""
+    spark = pages.sparkSession
+    by_volume(records(pages, refers), volume).write.partitionBy("file").option("lineSep", _END).option("compression", "gzip").text(f"{path}/records")
     fields = "software: helixframe\r\nformat: WARC File Format 1.1\r\n"
     info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(fields)}\r\n\r\n{fields}"
     spark.createDataFrame([(info,)], "record string").write.option("lineSep", _END).option("compression", "gzip").text(f"{path}/info")
@@ -195,5 +207,5 @@ def archive_pages(pages: DataFrame, path: str | None = None, least: int = 1000)
     shelf = Shelf(spark, "warc")
     path = path or f"{shelf.root}/archive-{uuid.uuid4().hex}"
     heads = shelf.put(headers(pages))
-    write_archive(pages, shelf.put(revisits(heads, shelf, least)), heads, path)
+    write_archive(pages, shelf.put(revisits(heads, shelf, least)), path)
     return resolve(shelf.put(read_archive(spark, path)))

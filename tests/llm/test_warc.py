@@ -11,7 +11,7 @@ def test_large_pages_in_files_of_their_own(spark, tmp_path):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
     shelf, path = Shelf(spark, "t"), str(tmp_path / "a")
     heads = headers(pages)
-    write_archive(pages, revisits(heads, shelf), heads, path, volume=1 << 18)
+    write_archive(pages, revisits(heads, shelf), path, volume=1 << 18)
     sizes = []
     for f in (tmp_path / "a").rglob("*.gz"):
         raw = gzip.decompress(f.read_bytes())
