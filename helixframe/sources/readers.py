@@ -218,31 +218,44 @@ def decode_blobs(blobs: DataFrame) -> DataFrame:
     """(ref_id, kind, value) of binary structures (ref_id, content): structure text as it is (pdb), zstd or gzip frames and brotli inflated, msgpack as JSON.
 
     brotli and msgpack are read where their packages are installed, else such a blob's kind is ``unreadable``.
+    ``broken`` is what a package or the frame's own format can't read: cut frames, other bytes, text that isn't UTF-8.
     """
     import gzip
     import json
+    import zlib
 
     import pyarrow as pa
     import zstandard
 
     schema = pa.schema([("ref_id", pa.string()), ("kind", pa.string()), ("value", pa.string())])
 
+    def plain(x):
+        return x.decode() if isinstance(x, bytes) else list(x)
+
     def decode(raw: bytes) -> tuple[str, str | None]:
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
-        elif raw[:2] == b"\x1f\x8b":
-            raw = gzip.decompress(raw)
-        if raw[:6].rstrip() in (b"HEADER", b"REMARK", b"ATOM", b"MODEL"):
-            return "pdb", raw.decode()
-        if raw[:1] in (b"{", b"["):
-            return "json", raw.decode()
+        try:
+            if raw[:4] == b"\x28\xb5\x2f\xfd":
+                inflater = zstandard.ZstdDecompressor().decompressobj()
+                raw = inflater.decompress(raw)
+                if not inflater.eof:
+                    return "broken", None
+            elif raw[:2] == b"\x1f\x8b":
+                raw = gzip.decompress(raw)
+            if raw[:6].rstrip() in (b"HEADER", b"REMARK", b"ATOM", b"MODEL"):
+                return "pdb", raw.decode()
+            if raw[:1] in (b"{", b"["):
+                return "json", raw.decode()
+        except (zstandard.ZstdError, zlib.error, OSError, EOFError, UnicodeDecodeError):
+            return "broken", None
         try:
             import brotli
             import msgpack
-
-            return "json", json.dumps(msgpack.unpackb(brotli.decompress(raw)), default=lambda x: x.decode() if isinstance(x, bytes) else list(x))
-        except Exception:  # neither package, or neither format
+        except ImportError:
             return "unreadable", None
+        try:
+            return "json", json.dumps(msgpack.unpackb(brotli.decompress(raw)), default=plain)
+        except (brotli.error, msgpack.UnpackException, ValueError, TypeError):
+            return "broken", None
 
     def run(batches):
         for batch in batches:

@@ -1,6 +1,7 @@
 """Sources and sinks: fallbacks, discovery, matrices, structures, appending, indexed tables."""
 
 import gzip
+from importlib.util import find_spec
 
 import numpy as np
 import pytest
@@ -90,7 +91,9 @@ def test_blobs(spark):
     x = {"sequence": "WX", "atom37_mask": mask, "atom37_positions": [[[r, k, 0.5] for k in range(n)] for r in range(2)], "confidence": [0.5, 1.0]}
     pdb = b"HEADER x\nATOM"
     blobs = [("a", pdb), ("b", zstandard.ZstdCompressor().compress(json.dumps(x).encode())), ("c", gz.compress(pdb)), ("d", b"\x00\x01"), ("e", None)]
+    blobs += [("f", blobs[1][1][:-9]), ("g", gz.compress(pdb)[:-9]), ("h", b"HEADER \xff"), ("i", b"\x28\xb5\x2f\xfd\xff\xff\xff\xff")]
+    other = "broken" if find_spec("brotli") and find_spec("msgpack") else "unreadable"
     decoded = readers.decode_blobs(spark.createDataFrame(blobs, "ref_id string, content binary"))
-    assert {r.ref_id: r.kind for r in decoded.collect()} == {"a": "pdb", "b": "json", "c": "pdb", "d": "unreadable", "e": "missing"}
+    assert {r.ref_id: r.kind for r in decoded.collect()} == {"a": "pdb", "b": "json", "c": "pdb", "d": other, "e": "missing"} | dict.fromkeys("fghi", "broken")
     rows = sorted((r.res, r.atom, r.resname, r.x, r.y, r.plddt) for r in readers.atom37_rows(readers.structures_of(decoded)).collect())
     assert rows == [(1, "C", "TRP", 0, 2, 50), (1, "CA", "TRP", 0, 1, 50), (1, "N", "TRP", 0, 0, 50), (2, "CA", "UNK", 1, 1, 100)]
