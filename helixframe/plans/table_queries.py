@@ -69,7 +69,8 @@ def set_union(s, d):
 
 
 def set_difference(s, d):
-    return _t(s, d, "customer").select(F.col("c_custkey").alias("id")).subtract(_t(s, d, "orders").select(F.col("o_custkey").alias("id")))
+    """Customers without a finished order."""
+    return _t(s, d, "customer").select(F.col("c_custkey").alias("id")).subtract(_t(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")))
 
 
 def cascade_coverage(s, d):
@@ -239,7 +240,7 @@ SQL = {
     "head_per_group": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3",
     "select_top_hits": "SELECT user_id AS query, event_id AS row_idx FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 0) DESC, event_id DESC) AS k FROM events) WHERE k <= 4",
     "set_union": "SELECT o_custkey AS id FROM orders WHERE o_custkey % 3 = 0 UNION SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0",
-    "set_difference": "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "set_difference": "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'",
     "cascade_coverage": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 OR quality = 0 AND toxic = 1) AND NOT coalesce(source = 'src0' AND lang = 'en', false)",
     "selected_queries": _HITS + ", b AS (SELECT query, max(row_idx) AS row_idx FROM t JOIN (SELECT query, max(shared) AS shared FROM t GROUP BY query) USING (query, shared) GROUP BY query) SELECT row_idx, count(*) AS n, string_agg(query::VARCHAR, ',' ORDER BY query) AS queries FROM b GROUP BY row_idx",
     "containment_gate": _HITS + " SELECT query, row_idx, shared FROM t WHERE containment >= 0.08",
