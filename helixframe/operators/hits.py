@@ -63,9 +63,9 @@ def first_seen(rows: DataFrame, key: str, pos: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(pos).alias(pos))
 
 
-def first_qualifying(rows: DataFrame, key: str, rank: str, passes: Column) -> DataFrame:
-    """Of each key the row with the smallest rank that passes."""
-    return best(rows.where(passes), key, F.asc(rank))
+def first_qualifying(rows: DataFrame, key: str, rank: str, passes: Column, *ties: str) -> DataFrame:
+    """Of each key the row with the smallest rank that passes; of equal ranks the first by ``ties``."""
+    return best(rows.where(passes), key, *(F.asc(c) for c in (rank, *ties)))
 
 
 def mask_letter(seq: Column, old: str = "U", new: str = "C") -> Column:

@@ -205,7 +205,9 @@ def first_seen(s, d):
 
 
 def first_qualifying(s, d):
-    out = hits.first_qualifying(_t(s, d, "lineitem"), "l_orderkey", "l_linenumber", F.col("l_quantity") >= 30)
+    """Line numbers repeat within an order: of equal ones the row that stands first in the files."""
+    rows = _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    out = hits.first_qualifying(rows, "l_orderkey", "l_linenumber", F.col("l_quantity") >= 30, "file", "at")
     return out.select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), "l_partkey")
 
 
