@@ -11,9 +11,9 @@ and 3 or more come from the counts of counts.  With D for the discount,
 
     p(w | v) = (n(vw) - D) / n(v) + back(v) p(w),   p(w) = (N(w) - D') / N + rest / (V + 1)
 
-where N(w) counts different words before w.  Pairs and words seen less than
-``least`` times leave the model once all is counted; the mass of such pairs goes to
-back(v), that of such words to the unknown ones, of which they then are.
+where N(w) counts different words before w.  All that was counted stays in the model,
+unless ``least`` is raised: pairs and words seen less often then leave it, the mass of
+such pairs goes to back(v), that of such words to the unknown ones, of which they then are.
 
 Scoring.  The logarithm of a document's probability is a sum of independent terms:
 of an unknown word for each place, and for each known word and each kept pair
@@ -464,7 +464,7 @@ def _scored(docs: DataFrame, model: DataFrame, shelf: Shelf, seqs: Sequences, bu
     return done
 
 
-def perplexities(df: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.15, prior: int = 8, least: int = 2, folds: int = 4, head: int = 20, bloom: int = 27, languages: int = 1000, repeats: bool = True) -> DataFrame:
+def perplexities(df: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.15, prior: int = 8, least: int = 1, folds: int = 4, head: int = 20, bloom: int = 27, languages: int = 1000, repeats: bool = True) -> DataFrame:
     """doc_id, mark (a hash of the text), lang (null without a model), n_words, perplexity, threshold and kept of each document of ``df`` (doc_id, text, lang); labels (doc_id, quality)."""
     spark, shelf = df.sparkSession, Shelf(df.sparkSession, "quality")
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))

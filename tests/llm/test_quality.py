@@ -63,6 +63,16 @@ def test_perplexity_of_the_model(spark, least, head):
         assert math.log(r.perplexity) == pytest.approx(-logp(texts[r.doc_id]) / (len(texts[r.doc_id].split()) + 1), rel=1e-4)
 
 
+def test_pairs_seen_once_stay_by_default(spark):
+    """Nothing that was counted leaves the model unless it is asked for."""
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(GOOD)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(len(GOOD))], "doc_id long, quality int")
+    held = {r.id for r in spark.range(len(GOOD)).where("pmod(xxhash64(id, 17), 4) = 0").collect()}
+    logp = kneser_ney([t for i, t in enumerate(GOOD) if i not in held], 1)
+    for r in perplexities(docs, labels, prior=0).collect():
+        assert math.log(r.perplexity) == pytest.approx(-logp(GOOD[r.doc_id]) / (len(GOOD[r.doc_id].split()) + 1), rel=1e-4)
+
+
 def test_held_out_accuracy(spark):
     """Labels of a fifth of the documents are kept from the classifier: good ones stay, junk goes."""
     sf = "/root/testdata/sf0.01"
