@@ -161,3 +161,20 @@ def test_rows_and_at_least_the_greedy(spark):
         a, b = (quality(n, i, j, w, np.array([own.get(v, v) for v in range(n)]), 1.0, "modularity") for own in (good[k], greedy[k]))
         assert a >= b - 1e-9
         assert all(own <= v for v, own in good[k].items())
+
+
+def test_graphs_are_solved_by_the_batch(spark):
+    """Not a group's overhead for each small graph, and the same whatever the order in which edges come."""
+    rows = [(s, c, i, j, 0.1 + ((7 * i + 3 * j + s) % 11) / 7, 0.5) for s in range(40) for c in (0.4, 0.7) for i in range(8) for j in range(8) if (i * j + s) % 3]
+    ddl = "structure long, cutoff double, i long, j long, weight double, resolution double"
+    found = communities(spark.createDataFrame(rows, ddl), ("structure", "cutoff"))
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().toString()
+    again = communities(spark.createDataFrame(rows[::-1], ddl).repartition(5), ("structure", "cutoff"))
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(map(tuple, again.collect())) and len({r[:2] for r in got}) == 80
+    for s, c in ((0, 0.4), (17, 0.7)):
+        mine = [r[2:5] for r in rows if r[:2] == (s, c)]
+        nodes = sorted({v for i, j, _ in mine for v in (i, j)})
+        own = plain(len(nodes), [(nodes.index(i), nodes.index(j), w) for i, j, w in mine], 0.5, "cpm")
+        alone = leiden(len(nodes), *(np.array([nodes.index(r[k]) for r in mine]) for k in (0, 1)), np.array([r[2] for r in mine]), 0.5, "cpm", greedy=False)
+        assert list(alone) == list(own)
