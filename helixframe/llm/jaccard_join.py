@@ -265,29 +265,42 @@ def _quick(rows: DataFrame) -> DataFrame:
     return best.selectExpr("least(id, p) AS a", "greatest(id, p) AS b").distinct()
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    """(sig, id, need, f) with the bucket's size ``f``, less the smallest buckets of each set: half as many as it needs."""
-    freq = rows.groupBy("sig").agg(F.count("*").alias("f"))
-    by = Window.partitionBy("id", "need").orderBy("f", "sig")
-    return rows.join(freq, "sig").withColumn("r", F.row_number().over(by)).where(f"r > {_NEED} DIV 2").select("sig", "id", "need", "f")
+def _sized(rows: DataFrame) -> DataFrame:
+    """(sig, id, need, f) with the bucket's size ``f``."""
+    return rows.join(rows.groupBy("sig").agg(F.count("*").alias("f")), "sig").select("sig", "id", "need", "f")
 
 
-def _small(ranked: DataFrame, joined: DataFrame, few: int, num: int, den: int) -> DataFrame:
+def _small(sized: DataFrame, joined: DataFrame, few: int, num: int, den: int) -> DataFrame:
     """(a, b): sets of different components that share enough buckets of at most ``few`` sets, so at most few / 2 pairs a row.
 
-    In one order of the buckets what either of two sets leaves out of those they
-    share is an end of these, so at least the other half of the larger need is
-    still shared.  Needs are for sets as large as the band allows; smaller ones may
+    What links shares as many buckets as the larger need.  Either at least half of
+    these are small ones, or more than the other half are large (see ``_apart``).
+    Needs are for sets as large as the band allows; smaller ones may
     differ less, so they share more: what their slacks take off the allowed
     differences.
     """
-    rows = _named(ranked.where(F.col("f") <= few), joined)
+    rows = _named(sized.where(F.col("f") <= few), joined)
     others = rows.selectExpr("sig", "id AS p", "need AS m", "component AS c")
     met = rows.join(others, "sig").where("c <> component AND id < p").groupBy("id", "need", "p", "m").agg(F.count("*").alias("n"))
     most, sure = f"greatest({_NEED}, {_NEED.replace('need', 'm')})", f"(((need >> 32) + (m >> 32)) * {den - num}) DIV {den + num}"
     return met.where(f"n >= {most} + {sure} - {most} DIV 2").selectExpr("id AS a", "p AS b").distinct()
 
 
+def _apart(sized: DataFrame, few: int) -> DataFrame:
+    """(id, p): sets with the pivots of their buckets of more than ``few`` sets, less half as many of these buckets as a set needs.
+
+    Two sets that must meet here share more than half of the larger need.  All sets
+    leave out buckets in one order, so of those that two share the last stays with
+    both.  Pivots of the fewest rows go first: sets that share a passage with many
+    keep the pivot that is most like them, not one for each passage.
+    """
+    rows = sized.where(F.col("f") > few).select("sig", "id", "need")
+    pivots = rows.join(_pivots(rows), "sig")
+    named = pivots.join(pivots.groupBy("p").agg(F.count("*").alias("w")), "p")
+    by = Window.partitionBy("id", "need").orderBy("w", "p", "sig")
+    return named.withColumn("r", F.row_number().over(by)).where(f"r > {_NEED} DIV 2").select("id", "p").distinct()
+
+
 def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(p, id, n, pn, d, outer, diff) of pairs (id, p): sizes, the shingles in which a set differs from its pivot, and whether it doesn't link with it."""
     schema = pa.schema([("p", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("pn", pa.int64()), ("d", pa.int64()), ("outer", pa.bool_()), ("diff", pa.list_(pa.int64()))])
@@ -307,7 +320,7 @@ def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     return pairs.select("p", "id", "x", "y").mapInArrow(differ, "p long, id long, n long, pn long, d long, outer boolean, diff array<long>")
 
 
-def _large(ranked: DataFrame, rows: DataFrame, joined: DataFrame, few: int, sets: DataFrame, shelf: Shelf, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def _large(sized: DataFrame, joined: DataFrame, few: int, sets: DataFrame, shelf: Shelf, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(a, b) twice: links with pivots, and pairs to compare, for buckets of more than ``few`` sets.
 
     Each set is reduced to its difference from the bucket's pivot.  Sets that link
@@ -320,13 +333,11 @@ def _large(ranked: DataFrame, rows: DataFrame, joined: DataFrame, few: int, sets
     own way, is rare, so they meet few others, however many share the pivot.
     """
     c = f"{den - num} / {den + num}D"
-    big = rows.join(ranked.where(F.col("f") > few).select("sig").distinct(), "sig", "left_semi")
-    mine = ranked.where(F.col("f") > few).select("sig", "id")
-    pairs = shelf.put(mine.join(_pivots(big), "sig").select("id", "p").distinct())
-    sized = pairs.join(pairs.groupBy("p").agg(F.count("*").alias("g")), "p")
-    sized = pairs.join(sized.groupBy("id").agg(F.expr("max_by(p, struct(g, p))").alias("main")), "id")
-    mixed = sized.groupBy("p").agg(F.min("main").alias("lo"), F.max("main").alias("hi"))
-    pairs = shelf.put(sized.join(mixed, "p").where("id <> p AND (p = main OR lo < hi)").select("id", "p"))
+    pairs = shelf.put(_apart(sized, few))
+    grown = pairs.join(pairs.groupBy("p").agg(F.count("*").alias("g")), "p")
+    named = pairs.join(grown.groupBy("id").agg(F.expr("max_by(p, struct(g, p))").alias("main")), "id")
+    mixed = named.groupBy("p").agg(F.min("main").alias("lo"), F.max("main").alias("hi"))
+    pairs = shelf.put(named.join(mixed, "p").where("id <> p AND (p = main OR lo < hi)").select("id", "p"))
     diffs = shelf.put(_differences(pairs, sets, num, den))
     links = diffs.where("NOT outer").selectExpr("least(id, p) AS a", "greatest(id, p) AS b")
     live = diffs.join(diffs.where("outer").select("p").distinct(), "p", "left_semi").where("d > 0")
@@ -376,9 +387,9 @@ def near_groups(df: DataFrame, size: int = 5, percent: int = 80, few: int = 16)
     rows = shelf.put(_open(members, joined))
     shelf.drop(members, links)
     if not rows.isEmpty():
-        ranked = shelf.put(_ranked(rows))
-        near, pairs = _large(ranked, rows, joined, few, sets, shelf, num, den)
-        pairs = shelf.put(_small(ranked, joined, few, num, den).unionAll(pairs).distinct())
+        sized = shelf.put(_sized(rows))
+        near, pairs = _large(sized, joined, few, sets, shelf, num, den)
+        pairs = shelf.put(_small(sized, joined, few, num, den).unionAll(pairs).distinct())
         found = _links(pairs, sets, num, den).unionAll(near).unionAll(joined.selectExpr("component AS a", "id AS b"))
         joined = components(found, shelf)
     release(df.sparkSession)
