@@ -19,10 +19,12 @@ Scoring.  The logarithm of a document's probability is a sum of independent term
 of an unknown word for each place, and for each known word and each kept pair
 what it adds to that.  So the model is one table of n-gram and gain, in shards.
 Each document's n-grams and their counts are dealt to the shards and joined with
-them there; the gains found go back to the document and are summed.  N-grams that
+them there; the gains found go back to the document and are summed.  Documents are
+scored in ``rounds``, each all of a share told by a hash of id and length, so that what is on
+the way to the shards at once is that share.  N-grams that
 are at least 2^-``head`` of the training text (2^head at most, by their share) are
 looked up in the task, so no shard gets a row for each document; a Bloom filter of
-``2^bloom`` bits keeps those at home that no shard has.  Neither changes a result.
+``2^bloom`` bits keeps those at home that no shard has.  None of these changes a result.
 
 A document is rejected when its perplexity exceeds ``margin`` times the
 ``quantile`` of its language's held-out trusted documents, which the model has not
@@ -41,6 +43,8 @@ perplexity equal to the threshold stays; extra columns are left out.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -381,8 +385,8 @@ _MODEL = (np.uint64, np.float32, np.uint8)
 _STATS = (np.int64, np.uint8, np.int64, np.int64, np.int64, np.float64)
 
 
-def _scored(docs: DataFrame, model: DataFrame, shelf: Shelf, seqs: Sequences, buckets: int, bloom: int) -> DataFrame:
-    """doc_id, mark, class, words and gain (over unknown words) of each document.  Written to the shelf."""
+def _scored(docs: DataFrame, model: DataFrame, shelf: Shelf, seqs: Sequences, buckets: int, bloom: int, rounds: int) -> list[DataFrame]:
+    """doc_id, mark, class, words and gain (over unknown words) of each document, a table on the shelf for each round."""
     spark, nbits = docs.sparkSession, buckets.bit_length() - 1
 
     def every(batch):
@@ -399,6 +403,7 @@ def _scored(docs: DataFrame, model: DataFrame, shelf: Shelf, seqs: Sequences, bu
     often, gain = got["k"].to_numpy().view(np.uint64), got["gain"].to_numpy()
     o = np.argsort(often)
     sent = spark.sparkContext.broadcast((often[o], gain[o], bloom_of(model, every, bloom)))
+    release(spark)
     schema = pa.schema([("bucket", pa.int32()), ("base", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
     ddl = "bucket int, base long, kind int, blob binary"
 
@@ -457,14 +462,18 @@ def _scored(docs: DataFrame, model: DataFrame, shelf: Shelf, seqs: Sequences, bu
         parts = [pa.RecordBatch.from_arrays([pa.array(i, mask=ok == 0), pa.array(mark), pa.array(cls), pa.array(n), pa.array(gain)], schema=out) for i, ok, mark, cls, n, gain in done.values()]
         return pa.Table.from_batches(parts, out)
 
-    asks = docs.select("doc_id", "mark", "text", "lang").mapInArrow(ask, ddl)
-    answers = asks.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(answer, ddl)
-    done = shelf.put(answers.groupBy("bucket").applyInArrow(total, "doc_id long, mark long, class long, words long, gain double"))
+    done = []
+    for k in range(rounds):
+        share = docs.where(F.expr(f"pmod(xxhash64(doc_id, octet_length(text)), {rounds}) = {k}"))
+        asks = share.select("doc_id", "mark", "text", "lang").mapInArrow(ask, ddl)
+        answers = asks.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(answer, ddl)
+        done.append(shelf.put(answers.groupBy("bucket").applyInArrow(total, "doc_id long, mark long, class long, words long, gain double")))
+        release(spark)  # the next round's n-grams take the place of this one's
     sent.destroy()
     return done
 
 
-def perplexities(df: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.15, prior: int = 8, least: int = 1, folds: int = 4, head: int = 20, bloom: int = 27, languages: int = 1000, repeats: bool = True) -> DataFrame:
+def perplexities(df: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float = 1.15, prior: int = 8, least: int = 1, folds: int = 4, head: int = 20, bloom: int = 27, languages: int = 1000, repeats: bool = True, rounds: int = 4) -> DataFrame:
     """doc_id, mark (a hash of the text), lang (null without a model), n_words, perplexity, threshold and kept of each document of ``df`` (doc_id, text, lang); labels (doc_id, quality)."""
     spark, shelf = df.sparkSession, Shelf(df.sparkSession, "quality")
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -478,7 +487,8 @@ def perplexities(df: DataFrame, labels: DataFrame, quantile: float = 0.99, margi
     seqs = Sequences(classes, other, min(64, max(48, 8 * -(-(18 + size.bit_length()) // 8))), repeats)
     buckets = n_buckets(docs, each=8 << 20)
 
-    few = bloom_of(trust, lambda b: [b["id"].to_numpy().view(np.uint64)], min(bloom, 26))
+    counted = trust.where("NOT held")
+    few = bloom_of(counted, lambda b: [b["id"].to_numpy().view(np.uint64)], min(bloom, 26))
     sent = spark.sparkContext.broadcast(few)
 
     @lean
@@ -489,7 +499,7 @@ def perplexities(df: DataFrame, labels: DataFrame, quantile: float = 0.99, margi
 
     maybe = docs.mapInArrow(likely, "doc_id long, text string, lang string")
     # by the same join at every size: no broadcast of ids while they are few
-    trained = maybe.join(trust.where("NOT held").hint("merge"), F.col("doc_id") == F.col("id"), "left_semi")
+    trained = maybe.join(counted.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi")
     trainer = Trainer(trained, shelf, seqs, n_classes, buckets, least, head)
     model = trainer.model()
     sent.destroy()
@@ -499,12 +509,12 @@ def perplexities(df: DataFrame, labels: DataFrame, quantile: float = 0.99, margi
     table = [(k, names.get(k), float(unknown[k])) for k in range(n_classes)]
     table = F.broadcast(spark.createDataFrame(table, "class long, lang string, unknown double"))
 
-    gains = _scored(docs.withColumn("mark", F.xxhash64("text")), model, shelf, seqs, buckets, bloom)
+    # a table of a few megabytes takes little disk in one round
+    gains = _scored(docs.withColumn("mark", F.xxhash64("text")), model, shelf, seqs, buckets, bloom, rounds if size >= 8 << 20 else 1)
     shelf.drop(model)
-    release(spark)
-    sums = gains.join(table, "class", "left").withColumn("loss", F.expr("-gain - (words + 1) * unknown"))
+    sums = reduce(DataFrame.unionAll, gains).join(table, "class", "left").withColumn("loss", F.expr("-gain - (words + 1) * unknown"))
     sums = shelf.put(sums.join(trust.selectExpr("id AS doc_id", "held"), "doc_id", "left"))
-    shelf.drop(gains, trust)
+    shelf.drop(*gains, trust)
     # by class and whether held out; held-out documents count where there are any
     means = sums.where("held IS NOT NULL AND loss IS NOT NULL").groupBy("class").agg(F.expr("coalesce(sum(loss) FILTER (WHERE held) / sum(words + 1) FILTER (WHERE held), sum(loss) / sum(words + 1))").alias("mean"))
     scored = sums.join(F.broadcast(means), "class", "left").withColumn("perplexity", F.expr(f"exp((loss + {prior} * mean) / (words + 1 + {prior}))"))

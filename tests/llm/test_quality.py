@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.llm import quality
 from helixframe.llm.quality import perplexities
 
 GOOD = [
@@ -89,3 +90,33 @@ def test_repeated_words_go(spark):
     junk = spark.createDataFrame([(-1, "Orre " * 300, "en"), (-3, "the " * 90, "en"), (-4, "of " * 50 + "is " * 50, "en"), (-2, "THE!! ONES!! ARE!! " * 40, "en")], docs.schema)
     out = perplexities(docs.unionAll(junk), spark.read.parquet(f"{sf}/labels.parquet")).where("doc_id < 0").collect()
     assert not any(r.kept for r in out)
+
+
+def stages_written(spark):
+    """The bytes that each stage has left for the next one."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_a_round_sends_a_share_and_changes_nothing(spark, tmp_path, monkeypatch):
+    """Documents are scored in rounds, so that no exchange holds the n-grams of all of them; each row is scored once."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang"), spark.read.parquet(f"{sf}/labels.parquet")
+    odd = [(None, "a text without an id", "en"), (None, None, "en"), (None, "the same", None), (7, "another text of this id", "en"), (7, "another text of this id", "en"), (-1, "", "en"), (-2, None, None)]
+    docs.unionAll(spark.createDataFrame(odd, docs.schema)).repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs, most = spark.read.parquet(f"{tmp_path}/docs"), []
+
+    def scored(*args, f=quality._scored):
+        before = stages_written(spark)
+        out = f(*args)
+        most.append(max(n for k, n in stages_written(spark).items() if k not in before))
+        return out
+
+    monkeypatch.setattr(quality, "_scored", scored)
+    # a small filter, so that the n-grams are the largest of what is sent
+    got, want = (sorted(map(tuple, perplexities(docs, labels, bloom=20, **x).collect()), key=str) for x in ({}, {"rounds": 1}))
+    assert len(got) == docs.count() and most[0] < 0.7 * most[1], most
+    for a, b in zip(got, want, strict=True):
+        assert a[:4] == b[:4] and a[6] == b[6] and all(x == y or x == pytest.approx(y, rel=1e-6) for x, y in zip(a[4:6], b[4:6], strict=True)), (a, b)
